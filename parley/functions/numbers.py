@@ -43,3 +43,24 @@ def format_percent(fraction: Column) -> Column:
     size = F.abs(tenths)
     whole = F.floor(size / 10).cast("string")
     return F.concat(sign, whole, F.lit("."), (size % 10).cast("string"), F.lit("%"))
+
+
+def plain_number(value: Column) -> Column:
+    """Shortest decimal text of a double: no ``.0``, exponents only below one millionth."""
+    text = value.cast("string")
+    small = r"^(-?)(\d)\.(\d+)E-(\d+)$"
+
+    def part(i):
+        return F.regexp_extract(text, small, i)
+
+    places = part(4).try_cast("int")
+    digits = F.regexp_replace(F.concat(part(2), part(3)), r"(?<=.)0+\z", "")
+    plain = F.concat(part(1), F.lit("0."), F.lpad(F.lit(""), places - 1, "0"), digits)
+    fraction = F.regexp_replace(part(3), r"\A0\z", "")
+    dot = F.when(fraction == "", "").otherwise(".")
+    scientific = F.concat(part(1), part(2), dot, fraction, F.lit("e-"), part(4))
+    return (
+        F.when(~text.rlike(small), F.regexp_replace(text, r"\.0\z", ""))
+        .when(places <= 6, plain)
+        .otherwise(scientific)
+    )

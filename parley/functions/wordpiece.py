@@ -61,9 +61,9 @@ def token_length_udf(spark: SparkSession, vocabulary: Iterable[str]):
             kept = []
             for ch in plain:
                 kind = unicodedata.category(ch)
-                if kind == "Mn" or ch in "\x00�":
+                if kind == "Mn" or ord(ch) == 0xFFFD:
                     continue
-                if kind in ("Cc", "Cf") and ch not in "\t\n\r":
+                if kind[0] == "C" and ch not in "\t\n\r":
                     continue
                 kept.append(f" {ch} " if is_mark(ch) else ch)
             return special + sum(count(w) for w in re.split(r"\s+", "".join(kept)) if w)
