@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parley.functions.numbers import plain_number
+
 
 def to_number(value: Column) -> Column:
     """Numeric value or null; NaN counts as missing."""
@@ -37,6 +40,7 @@ def multilabel_json(columns: Sequence[str]) -> Column:
 
 
 def score_json(column: str) -> Column:
-    return F.to_json(
-        F.struct(to_number(F.col(column)).alias(column)), {"ignoreNullFields": "false"}
-    )
+    """Compact JSON of the original score; a missing score is ``null``."""
+    number = plain_number(to_number(F.col(column)), keep_zero=True, places=4)
+    name = json.dumps(column, ensure_ascii=False)
+    return F.concat(F.lit("{" + name + ":"), F.coalesce(number, F.lit("null")), F.lit("}"))

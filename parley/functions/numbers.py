@@ -45,22 +45,27 @@ def format_percent(fraction: Column) -> Column:
     return F.concat(sign, whole, F.lit("."), (size % 10).cast("string"), F.lit("%"))
 
 
-def plain_number(value: Column) -> Column:
-    """Shortest decimal text of a double: no ``.0``, exponents only below one millionth."""
+def plain_number(value: Column, keep_zero: bool = False, places: int = 6) -> Column:
+    """Decimal text of a double below ten million, without an exponent where that is readable.
+
+    Numbers with up to ``places - 1`` zeros after the point are written out; smaller ones get
+    an exponent (two digits with ``keep_zero``, which also keeps a final ``.0``).
+    """
     text = value.cast("string")
     small = r"^(-?)(\d)\.(\d+)E-(\d+)$"
 
     def part(i):
         return F.regexp_extract(text, small, i)
 
-    places = part(4).try_cast("int")
-    digits = F.regexp_replace(F.concat(part(2), part(3)), r"(?<=.)0+\z", "")
-    plain = F.concat(part(1), F.lit("0."), F.lpad(F.lit(""), places - 1, "0"), digits)
+    exponent = part(4).try_cast("int")
     fraction = F.regexp_replace(part(3), r"\A0\z", "")
+    zeros = F.lpad(F.lit(""), exponent - 1, "0")
+    plain = F.concat(part(1), F.lit("0."), zeros, part(2), fraction)
+    shown = F.lpad(part(4), 2, "0") if keep_zero else part(4)
     dot = F.when(fraction == "", "").otherwise(".")
-    scientific = F.concat(part(1), part(2), dot, fraction, F.lit("e-"), part(4))
+    scientific = F.concat(part(1), part(2), dot, fraction, F.lit("e-"), shown)
     return (
-        F.when(~text.rlike(small), F.regexp_replace(text, r"\.0\z", ""))
-        .when(places <= 6, plain)
+        F.when(~text.rlike(small), text if keep_zero else F.regexp_replace(text, r"\.0\z", ""))
+        .when(exponent <= places, plain)
         .otherwise(scientific)
     )

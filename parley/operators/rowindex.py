@@ -17,12 +17,8 @@ from parley.session import scratch_path
 BLOCK_BITS = 20
 
 
-def _running_offsets(sizes: DataFrame, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
-    before = (
-        Window.partitionBy(*within)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+def _running_offsets(sizes: DataFrame, order: Sequence[str]) -> DataFrame:
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn("__offset", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
 
 
@@ -49,7 +45,7 @@ def index_by_key(df: DataFrame, key: str, out: str, start: int = 0) -> DataFrame
 
 def number_file_rows(df: DataFrame, out: str, start: int = 0, generate: Column | None = None,
                      generated: str = "value") -> DataFrame:
-    """Number the rows of each input file in file order.
+    """Number the rows of a file or of a folder of files, in file name and file order.
 
     ``df`` must be a direct file read. A split's rows are numbered by the task that reads it
     (``monotonically_increasing_id`` grows by one within a split); the table of splits supplies
@@ -66,7 +62,8 @@ def number_file_rows(df: DataFrame, out: str, start: int = 0, generate: Column |
     splits = rows.groupBy("__file", "__split").agg(
         F.count(F.lit(1)).alias("__rows"), F.min("__id").alias("__first")
     )
-    offsets = _running_offsets(splits, ["__split"], ["__file"]).drop("__rows")
+    # One row per input split.
+    offsets = _running_offsets(splits, ["__file", "__split"]).drop("__rows")
     number = F.col("__id") - F.col("__first") + F.col("__offset") + start
     return (
         rows.join(offsets, ["__file", "__split"])

@@ -65,8 +65,7 @@ def _schema_error(path: str, expected, found) -> SchemaError:
 def load_multilabel(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read the mandatory source: ``id`` if present, the text and the six labels.
 
-    Adds ``source_row_index``. A folder should hold one file per source, since rows are
-    numbered within a file.
+    Adds ``source_row_index``; the files of a folder count as one table in name order.
     """
     df = _open(spark, path, fmt)
     if df is None:
