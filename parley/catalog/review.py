@@ -93,7 +93,7 @@ _CUES = sql.cue_rows("documents", "doc_id", "text")
 )
 def detect_cues(spark, sf_dir):
     rows = inputs.documents(spark, sf_dir).select(
-        F.col("doc_id").alias("row_id"), F.explode(cu.detect_cues(F.col("text"))).alias("c")
+        F.col("doc_id").alias("row_id"), F.explode(cu.detect_cues("text")).alias("c")
     )
     spans = F.transform(
         "c.positions", lambda p: F.concat(p["start"].cast("string"), F.lit("-"), p["end"].cast("string"))
@@ -118,7 +118,7 @@ _SUMMARY = (
 def cue_summary_text(spark, sf_dir):
     return inputs.documents(spark, sf_dir).select(
         F.col("doc_id").alias("row_id"),
-        cu.cue_summary(cu.detect_cues(F.col("text"))).alias("keyword_cues"),
+        cu.cue_summary(cu.detect_cues("text")).alias("keyword_cues"),
     )
 
 
@@ -132,7 +132,7 @@ def cue_statistics(spark, sf_dir):
 
 def _highlighted(spark, sf_dir):
     return inputs.comments(spark, sf_dir).withColumn(
-        "cues", cu.detect_cues(F.col("text"))
+        "cues", cu.detect_cues("text")
     ).withColumn("spans", cu.highlight_spans(F.col("text"), F.col("cues")))
 
 

@@ -5,6 +5,7 @@ Offsets are code points of the original text.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -21,72 +22,63 @@ CUES_TYPE = (
 SPANS_TYPE = "array<struct<start:int,end:int,keyword:string,category:string,severity:string>>"
 
 
-def _term_positions(text: Column, pattern: str) -> Column:
-    """All matches as ``{start, end}``: running length over the gaps between the matches."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    widths = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    # The last gap has no match behind it and gets a null width.
-    pairs = F.arrays_zip(gaps.alias("gap"), widths.alias("width"))
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast(POSITIONS_TYPE).alias("found")
-    )
+def _pattern_literal(pattern: str) -> str:
+    return 'r"' + pattern.replace('"', r"\x22") + '"'
 
-    def step(acc, pair):
-        begin = acc["at"] + pair["gap"]
-        end = begin + F.coalesce(pair["width"], F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"))
-        found = F.when(
-            pair["width"].isNotNull(), F.concat(acc["found"], F.array(span))
-        ).otherwise(acc["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+def detect_cues(text: str, terms: Iterable[CueTerm] = CUE_TERMS) -> Column:
+    """The cue records of the column ``text``."""
+    return F.expr(cues_sql(text, terms))
 
 
-def detect_cues(text: Column, terms: Iterable[CueTerm] = CUE_TERMS) -> Column:
-    """One record per matching term, ordered by its first span.
+def cues_sql(text: str, terms: Iterable[CueTerm] = CUE_TERMS) -> str:
+    """One record per term that occurs in the column ``text``, ordered by its first span.
 
     One combined pattern decides whether a text has any cue at all, so the per-term work is
-    spent on the few texts that do.
+    spent on the few texts that do. A term's offsets are the running length over the pieces
+    between its hits. Written as SQL, since a term is five calls and one parse serves them all.
     """
     terms = tuple(terms)
     records = []
     for cue in terms:
-        pattern = rx.any_term((cue.keyword,))
-        # Guarding each term spares it the split and the fold over texts it is absent from.
-        positions = F.when(text.rlike(pattern), _term_positions(text, pattern))
+        pattern = _pattern_literal(rx.any_term((cue.keyword,)))
+        keyword, category, severity = (
+            json.dumps(v, ensure_ascii=False) for v in (cue.keyword, cue.category, cue.severity)
+        )
         records.append(
-            F.struct(
-                F.lit(cue.keyword).alias("keyword"),
-                F.lit(cue.category).alias("category"),
-                F.lit(cue.severity).alias("severity"),
-                positions.alias("positions"),
-            )
+            f"named_struct('keyword', {keyword}, 'category', {category}, 'severity', {severity}, "
+            f"'gaps', CASE WHEN `{text}` RLIKE {pattern} THEN split(`{text}`, {pattern}, -1) END, "
+            f"'hits', CASE WHEN `{text}` RLIKE {pattern} THEN regexp_extract_all(`{text}`, {pattern}, 0) END)"
         )
-    hits = F.filter(F.array(*records), lambda r: r["positions"].isNotNull())
-    full = F.transform(
-        hits,
-        lambda r: F.struct(
-            r["keyword"].alias("keyword"),
-            r["category"].alias("category"),
-            r["severity"].alias("severity"),
-            r["positions"][0]["start"].alias("start"),
-            r["positions"][0]["end"].alias("end"),
-            F.size(r["positions"]).alias("count"),
-            r["positions"].alias("positions"),
-        ),
+    # The last gap has no hit behind it.
+    positions = f"""
+        aggregate(
+            arrays_zip(transform(r.gaps, g -> length(g)), transform(r.hits, h -> length(h))),
+            named_struct('at', 0, 'found', CAST(array() AS {POSITIONS_TYPE})),
+            (acc, p) -> named_struct(
+                'at', acc.at + p.`0` + coalesce(p.`1`, 0),
+                'found', CASE WHEN p.`1` IS NULL THEN acc.found ELSE concat(acc.found, array(
+                    named_struct('start', acc.at + p.`0`, 'end', acc.at + p.`0` + p.`1`))) END),
+            acc -> acc.found)"""
+    found = f"""
+        transform(
+            filter(array({", ".join(records)}), r -> r.gaps IS NOT NULL),
+            r -> named_struct('keyword', r.keyword, 'category', r.category,
+                              'severity', r.severity, 'positions', {positions}))"""
+    whole = f"""
+        transform({found}, r -> named_struct(
+            'keyword', r.keyword, 'category', r.category, 'severity', r.severity,
+            'start', r.positions[0].start, 'end', r.positions[0].end,
+            'count', size(r.positions), 'positions', r.positions))"""
+    ordered = f"""
+        array_sort({whole}, (a, b) -> CASE
+            WHEN a.start <> b.start THEN CAST(sign(a.start - b.start) AS INT)
+            ELSE CAST(sign(a.end - b.end) AS INT) END)"""
+    has_any = _pattern_literal(rx.any_term(cue.keyword for cue in terms))
+    return (
+        f"CASE WHEN `{text}` RLIKE {has_any} THEN {ordered} ELSE CAST(array() AS {CUES_TYPE}) END"
     )
 
-    def by_first_span(a, b):
-        return F.coalesce(
-            F.nullif(F.signum(a["start"] - b["start"]), F.lit(0.0)),
-            F.signum(a["end"] - b["end"]),
-        ).cast("int")
-
-    empty = F.array().cast(CUES_TYPE)
-    has_any = text.rlike(rx.any_term(cue.keyword for cue in terms))
-    return F.when(has_any, F.array_sort(full, by_first_span)).otherwise(empty)
-
 
 def cue_summary(cues: Column) -> Column:
     """``keyword (category, severity) xN`` joined by ``"; "``."""

@@ -7,8 +7,6 @@ null and keeps its JVM value.
 
 from __future__ import annotations
 
-from functools import cache
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,8 +14,7 @@ from pyspark.sql import functions as F
 from parley.functions import patterns as rx
 
 
-@cache
-def _unescape_nfkc_udf():
+def unescape_nfkc_udf():
     # The function is nested so that it travels to the workers by value.
     def unescape_nfkc(texts: pd.Series) -> pd.Series:
         import html
@@ -31,8 +28,7 @@ def _unescape_nfkc_udf():
     return F.pandas_udf(unescape_nfkc, "string").asNondeterministic()
 
 
-@cache
-def _casefold_udf():
+def casefold_udf():
     def casefold(texts: pd.Series) -> pd.Series:
         return texts.map(str.casefold, na_action="ignore")
 
@@ -47,13 +43,13 @@ def _unstable(text: Column) -> Column:
 def unescape_nfkc(text: Column) -> Column:
     """HTML entities resolved, then Unicode NFKC; null stays null."""
     has_entity = text.contains("&") & text.rlike(rx.ENTITY_START)
-    return F.coalesce(_unescape_nfkc_udf()(F.when(has_entity | _unstable(text), text)), text)
+    return F.coalesce(unescape_nfkc_udf()(F.when(has_entity | _unstable(text), text)), text)
 
 
 def casefold(text: Column) -> Column:
     """Full Unicode case folding."""
     simple = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    return F.coalesce(_casefold_udf()(F.when(_unstable(text), text)), simple)
+    return F.coalesce(casefold_udf()(F.when(_unstable(text), text)), simple)
 
 
 def strip(text: Column) -> Column:

@@ -110,10 +110,11 @@ def duplicate_counts(df: DataFrame, text_column: str, fold: bool = True) -> Data
     )
 
 
-def _tall(row: DataFrame, prefix: str = "") -> DataFrame:
+def _tall(row: DataFrame) -> DataFrame:
     """A one-row table as ``(metric, value)`` rows."""
-    doubles = row.select(*[F.col(c).cast("double").alias(prefix + c) for c in row.columns])
-    return doubles.unpivot([], doubles.columns, "metric", "value")
+    doubles = row.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in row.columns])
+    names = [F.col(f"`{c}`") for c in doubles.columns]
+    return doubles.unpivot([], names, "metric", "value")
 
 
 def audit_dataset(

@@ -11,10 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.session import scratch_path
+from parley.session import scratch_path, staged
 
 # A block holds at most 2**20 distinct integer keys.
 BLOCK_BITS = 20
+# Split tables up to this size (some 20 MB) are broadcast; larger ones are joined by shuffling.
+BROADCAST_SPLITS = 100_000
 
 
 def _running_offsets(sizes: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -59,11 +61,16 @@ def number_file_rows(df: DataFrame, out: str, start: int = 0, generate: Column |
     if generate is not None:
         meta = meta.withColumn(generated, generate)
     rows = meta.withColumn("__id", F.monotonically_increasing_id())
-    splits = rows.groupBy("__file", "__split").agg(
-        F.count(F.lit(1)).alias("__rows"), F.min("__id").alias("__first")
+    # One small row per input split, stored so that its size is known before it is joined.
+    splits = staged(
+        rows.groupBy("__file", "__split").agg(
+            F.count(F.lit(1)).alias("__rows"), F.min("__id").alias("__first")
+        ),
+        "splits",
     )
-    # One row per input split.
     offsets = _running_offsets(splits, ["__file", "__split"]).drop("__rows")
+    if splits.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     number = F.col("__id") - F.col("__first") + F.col("__offset") + start
     return (
         rows.join(offsets, ["__file", "__split"])

@@ -127,7 +127,7 @@ def build_review_items(
         format_percent(p).alias("risk_score_percent"),
         _by_band(p, 2).alias("review_recommendation"),
         _by_band(p, 3).alias("review_priority"),
-        detect_cues(F.col("__text"), terms).alias("detected_cues"),
+        detect_cues("__text", terms).alias("detected_cues"),
         F.struct(
             F.col("__label").alias("predicted_label"),
             label.alias("numeric_label"),
