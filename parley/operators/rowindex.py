@@ -49,18 +49,19 @@ def number_file_rows(df: DataFrame, out: str, start: int = 0, generate: Column |
                      generated: str = "value") -> DataFrame:
     """Number the rows of a file or of a folder of files, in file name and file order.
 
-    ``df`` must be a direct file read. A split's rows are numbered by the task that reads it
-    (``monotonically_increasing_id`` grows by one within a split); the table of splits supplies
-    the offsets. ``generate`` may explode one column into several rows first.
+    ``df`` must be a direct file read. It is stored once as Parquet with the position of each
+    row in its input split (``monotonically_increasing_id`` grows by one within a split). All
+    later steps use the stored positions, so a re-read with other splits cannot shift them.
+    ``generate`` may explode one column into several rows first.
     """
-    meta = df.select(
+    rows = df.select(
         "*",
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__split"),
     )
     if generate is not None:
-        meta = meta.withColumn(generated, generate)
-    rows = meta.withColumn("__id", F.monotonically_increasing_id())
+        rows = rows.withColumn(generated, generate)
+    rows = staged(rows.withColumn("__id", F.monotonically_increasing_id()), "rows")
     # One small row per input split, stored so that its size is known before it is joined.
     splits = staged(
         rows.groupBy("__file", "__split").agg(
