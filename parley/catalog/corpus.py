@@ -29,30 +29,44 @@ def query(name: str, statement: str | None = None):
 
 # --- text ---------------------------------------------------------------------------------
 
-def _text_query(name: str, alias: str, column, expression: str):
+def _text_query(name: str, alias: str, add, expression: str):
     @query(name, f"WITH {sql.COMMENTS} SELECT src, id, {expression} AS {alias} FROM comments")
     def run(spark, sf_dir):
-        return inputs.comments(spark, sf_dir).select("src", "id", column(F.col("text")).alias(alias))
+        return add(inputs.comments(spark, sf_dir), alias).select("src", "id", alias)
 
 
-_text_query("html_unescape_nfkc", "normalized", tx.unescape_nfkc, sql.unescape("text"))
-_text_query("text_clean", "text_clean", tx.clean_text, sql.clean("text"))
-_text_query("normalize_for_duplicate", "normalized", tx.duplicate_key_text, sql.key_text("text"))
+def _column(fn):
+    return lambda df, out: df.withColumn(out, fn(F.col("text")))
+
+
+def _clean(df, out):
+    return tx.add_clean_text(df, "text", out)
+
+
+_text_query("html_unescape_nfkc", "normalized", _column(tx.unescape_nfkc), sql.unescape("text"))
+_text_query("text_clean", "text_clean", _clean, sql.clean("text"))
 _text_query(
-    "text_tfidf", "text_tfidf", lambda c: tx.casefold(tx.clean_text(c)), sql.fold(sql.clean("text"))
+    "normalize_for_duplicate", "normalized",
+    lambda df, out: tx.add_duplicate_text(df, "text", out), sql.key_text("text"),
 )
 _text_query(
-    "export_clean_text", "clean_text", lambda c: tx.export_text(tx.clean_text(c)),
+    "text_tfidf", "text_tfidf", lambda df, out: tx.add_casefolded(_clean(df, "c"), "c", out),
+    sql.fold(sql.clean("text")),
+)
+_text_query(
+    "export_clean_text", "clean_text", lambda df, out: tx.add_export_text(_clean(df, "c"), "c", out),
     sql.export(sql.clean("text")),
 )
 _text_query(
-    "char_len", "char_len", lambda c: F.length(tx.clean_text(c)),
+    "char_len", "char_len", lambda df, out: _clean(df, "c").withColumn(out, F.length("c")),
     f"length({sql.clean('text')})::INTEGER",
 )
-_text_query("word_count", "word_count", tx.word_count, sql.words("text"))
-_text_query("sha256_text", "sha256", tx.sha256_text, "sha256(text)")
-_text_query("clean_for_scoring", "cleaned_text", tx.clean_text, sql.clean("text"))
-_text_query("strip_cell", "cell", tx.strip_cell, r"regexp_replace(text, '^\s+|\s+$', '', 'g')")
+_text_query("word_count", "word_count", _column(tx.word_count), sql.words("text"))
+_text_query("sha256_text", "sha256", _column(tx.sha256_text), "sha256(text)")
+_text_query("clean_for_scoring", "cleaned_text", _clean, sql.clean("text"))
+_text_query(
+    "strip_cell", "cell", _column(tx.strip_cell), r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+)
 
 
 @query(
@@ -61,7 +75,7 @@ _text_query("strip_cell", "cell", tx.strip_cell, r"regexp_replace(text, '^\s+|\s
     f"sha256({sql.key_text('text')}) AS text_hash_normalized FROM comments",
 )
 def text_hashes(spark, sf_dir):
-    return inputs.comments(spark, sf_dir).withColumn("key", tx.duplicate_key_text(F.col("text"))).select(
+    return tx.add_duplicate_text(inputs.comments(spark, sf_dir), "text", "key").select(
         "src", "id",
         tx.sha256_text(F.col("text")).alias("text_hash_raw"),
         tx.sha256_text(F.col("key")).alias("text_hash_normalized"),
@@ -77,7 +91,7 @@ def bert_token_len(spark, sf_dir):
     """The vocabulary of single characters makes every character of a word one piece."""
     letters = [chr(c) for c in range(33, 127)] + list("äöüßñçœæø")
     lengths = token_length_udf(spark, letters + ["##" + c for c in letters])
-    docs = inputs.documents(spark, sf_dir).withColumn("clean", tx.clean_text(F.col("text")))
+    docs = tx.add_clean_text(inputs.documents(spark, sf_dir), "text", "clean")
     return docs.select("doc_id", lengths(F.col("clean")).alias("bert_token_len"))
 
 
@@ -129,9 +143,8 @@ def has_identity_scores(spark, sf_dir):
     f"{sql.has_explicit(sql.clean('comment_text'))})::INTEGER AS implicit_proxy FROM labelled",
 )
 def implicit_proxy(spark, sf_dir):
-    rows = inputs.labelled(spark, sf_dir).select(
-        "source_row_index", inputs.main_label().alias("binary_label"),
-        tx.clean_text(F.col("comment_text")).alias("text_clean"),
+    rows = tx.add_clean_text(inputs.labelled(spark, sf_dir), "comment_text").select(
+        "source_row_index", inputs.main_label().alias("binary_label"), "text_clean"
     )
     return slices.add_flags(rows).select("source_row_index", "implicit_proxy")
 
@@ -212,9 +225,8 @@ def standardize_scored(spark, sf_dir):
 
 
 def _keyed(spark, sf_dir):
-    return inputs.documents(spark, sf_dir).select(
-        "doc_id", "text", tx.sha256_text(tx.duplicate_key_text(F.col("text"))).alias("h")
-    )
+    keyed = tx.add_duplicate_text(inputs.documents(spark, sf_dir), "text", "key")
+    return keyed.select("doc_id", "text", tx.sha256_text(F.col("key")).alias("h"))
 
 
 _KEYED = f"keyed AS (SELECT doc_id, text, sha256({sql.key_text('text')}) AS h FROM documents)"
@@ -523,7 +535,7 @@ def export_row_counts(spark, sf_dir):
 
 def _assigned(spark, sf_dir):
     """All documents, duplicates included, in three groups, so that groups share texts."""
-    keyed = inputs.documents(spark, sf_dir).withColumn("key", tx.duplicate_key_text(F.col("text")))
+    keyed = tx.add_duplicate_text(inputs.documents(spark, sf_dir), "text", "key")
     return keyed.select(
         F.element_at(F.array(F.lit("test"), F.lit("train"), F.lit("val")), (F.col("doc_id") % 3 + 1).cast("int")).alias("split"),
         tx.sha256_text(F.col("text")).alias("text_hash_raw"),

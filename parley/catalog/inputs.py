@@ -18,40 +18,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for an input with fewer file splits than cores; larger inputs stay put."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, sf_dir: str, *key: str) -> DataFrame:
+    """Use all cores if the documents have fewer file splits than there are cores.
+
+    Larger inputs stay as they are read.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    few = table(spark, sf_dir, "documents").rdd.getNumPartitions() < cores
+    return df.repartition(cores, *key) if few else df
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(docs, sf_dir, "doc_id")
 
 
 def comments(spark, sf_dir) -> DataFrame:
     """Every text of the test set: ``(src, id, text)``."""
-    docs = table(spark, sf_dir, "documents").select(F.lit("d").alias("src"), F.col("doc_id").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents").select(
+        F.lit("d").alias("src"), F.col("doc_id").alias("id"), "text"
+    )
     turns = table(spark, sf_dir, "conversations").select(
         F.lit("c").alias("src"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text"
     )
     pages = table(spark, sf_dir, "pages").select(
         F.lit("p").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text")
     )
-    return docs.union(turns).union(pages).repartition(
-        max(8, spark.sparkContext.defaultParallelism), "id"
-    ) if _small(spark, sf_dir) else docs.union(turns).union(pages)
-
-
-def _small(spark, sf_dir) -> bool:
-    splits_ = table(spark, sf_dir, "documents").rdd.getNumPartitions()
-    return splits_ < spark.sparkContext.defaultParallelism
+    return spread(docs.union(turns).union(pages), sf_dir, "src", "id")
 
 
 def labelled(spark, sf_dir) -> DataFrame:
     """Documents with six label columns, as a multi-label source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.join(table(spark, sf_dir, "labels"), "doc_id")
-    return spread(rows, "doc_id").select(
+    return spread(rows, sf_dir, "doc_id").select(
         F.col("doc_id").alias("source_row_index"),
         F.col("doc_id").cast("string").alias("id"),
         F.col("text").alias("comment_text"),
@@ -67,7 +68,7 @@ def labelled(spark, sf_dir) -> DataFrame:
 def partly_labelled(spark, sf_dir) -> DataFrame:
     """All documents; labels are missing where no label row exists."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread(docs.join(table(spark, sf_dir, "labels"), "doc_id", "left"), "doc_id")
+    return spread(docs.join(table(spark, sf_dir, "labels"), "doc_id", "left"), sf_dir, "doc_id")
 
 
 def ratio(multiplier: int, column: str = "doc_id"):

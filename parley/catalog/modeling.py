@@ -78,9 +78,9 @@ def balanced_class_weights(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    train = inputs.labelled(spark, sf_dir).select(
-        inputs.main_label().alias("binary_label"),
-        tx.casefold(tx.clean_text(F.col("comment_text"))).alias("text_tfidf"),
+    clean = tx.add_clean_text(inputs.labelled(spark, sf_dir), "comment_text")
+    train = tx.add_casefolded(clean, "text_clean", "text_tfidf").select(
+        inputs.main_label().alias("binary_label"), "text_tfidf"
     )
     return modeling.fit_logistic(staged(train, "train"), max_features=5000)
 

@@ -1,4 +1,4 @@
-"""Text normalisation and hashing as Column expressions.
+"""Text normalisation and hashing.
 
 HTML unescaping, NFKC and full case folding have no Spark built-in. They run in two small
 Arrow UDFs that receive only the texts they can change; every other text arrives there as
@@ -8,7 +8,7 @@ null and keeps its JVM value.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import patterns as rx
@@ -41,13 +41,13 @@ def _unstable(text: Column) -> Column:
 
 
 def unescape_nfkc(text: Column) -> Column:
-    """HTML entities resolved, then Unicode NFKC; null stays null."""
+    """HTML entities resolved, then Unicode NFKC; null stays null. Pass a plain column."""
     has_entity = text.contains("&") & text.rlike(rx.ENTITY_START)
     return F.coalesce(unescape_nfkc_udf()(F.when(has_entity | _unstable(text), text)), text)
 
 
 def casefold(text: Column) -> Column:
-    """Full Unicode case folding."""
+    """Full Unicode case folding. Pass a plain column."""
     simple = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     return F.coalesce(casefold_udf()(F.when(_unstable(text), text)), simple)
 
@@ -89,62 +89,80 @@ def mask_emails(text: Column, token: str) -> Column:
     return F.when(text.contains("@"), masked).otherwise(text)
 
 
-def clean_normalized(
-    normalized: Column,
-    replace_urls: bool = True,
-    replace_emails: bool = True,
-    url_token: str = "<URL>",
-    email_token: str = "<EMAIL>",
-) -> Column:
-    """The cleaning that follows :func:`unescape_nfkc`: e-mails, then URLs, then whitespace."""
-    return mask_collapsed(
-        F.coalesce(collapse(normalized), F.lit("")),
-        replace_urls, replace_emails, url_token, email_token,
+def add_flat_text(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """Add the unescaped, normalised text with collapsed whitespace; null becomes empty.
+
+    The functions from here on add columns instead of returning expressions: each step uses its
+    input several times, and a named column is computed once where a nested expression would be
+    repeated.
+    """
+    return (
+        df.withColumn("__norm", unescape_nfkc(F.col(raw)))
+        .withColumn(out, F.coalesce(collapse(F.col("__norm")), F.lit("")))
+        .drop("__norm")
     )
 
 
-def mask_collapsed(
-    collapsed: Column,
+def add_masked_text(
+    df: DataFrame,
+    flat: str,
+    out: str,
     replace_urls: bool = True,
     replace_emails: bool = True,
     url_token: str = "<URL>",
     email_token: str = "<EMAIL>",
-) -> Column:
-    """E-mails, then URLs, replaced in a text whose whitespace is already collapsed.
+) -> DataFrame:
+    """Add the flat text with e-mails, then URLs, replaced.
 
-    No address contains whitespace, so collapsing first gives the same text, and the collapsed
-    form can be shared with the duplicate key.
+    No address contains whitespace, so collapsing before masking gives the same text, and the
+    flat form can be shared with the duplicate key.
     """
-    text = collapsed
-    if replace_emails:
-        text = mask_emails(text, email_token)
-    if replace_urls:
-        text = mask_urls(text, url_token)
+    df = df.withColumn(
+        "__mailed", mask_emails(F.col(flat), email_token) if replace_emails else F.col(flat)
+    )
+    df = df.withColumn(
+        out, mask_urls(F.col("__mailed"), url_token) if replace_urls else F.col("__mailed")
+    ).drop("__mailed")
     used = [t for t, on in ((email_token, replace_emails), (url_token, replace_urls)) if on]
     plain = all(t and t == " ".join(t.split()) for t in used)
-    return text if plain else collapse(text)
+    return df if plain else df.withColumn(out, collapse(F.col(out)))
+
+
+def add_clean_text(df: DataFrame, raw: str, out: str = "text_clean", **options) -> DataFrame:
+    """Add the lightly cleaned text; null becomes the empty string."""
+    flat = add_flat_text(df, raw, "__flat")
+    return add_masked_text(flat, "__flat", out, **options).drop("__flat")
 
 
-def clean_text(raw: Column, **options) -> Column:
-    """Light cleaning of raw text; null becomes the empty string."""
-    return clean_normalized(unescape_nfkc(raw), **options)
+def add_casefolded(df: DataFrame, source: str, out: str) -> DataFrame:
+    return df.withColumn(out, casefold(F.col(source)))
 
 
-def duplicate_key_text(raw: Column, fold: bool = True) -> Column:
-    """The text two comments must share to be duplicates; nothing is masked."""
-    collapsed = F.coalesce(collapse(unescape_nfkc(raw)), F.lit(""))
-    return casefold(collapsed) if fold else collapsed
+def add_duplicate_text(df: DataFrame, raw: str, out: str, fold: bool = True) -> DataFrame:
+    """Add the text two comments must share to be duplicates; nothing is masked."""
+    if not fold:
+        return add_flat_text(df, raw, out)
+    return add_casefolded(add_flat_text(df, raw, "__flat"), "__flat", out).drop("__flat")
 
 
-def export_text(clean: Column) -> Column:
-    """Lower-case letters and digits only, masks and addresses dropped.
+def add_export_text(df: DataFrame, clean: str, out: str = "clean_text") -> DataFrame:
+    """Add lower-case letters and digits only, masks and addresses dropped.
 
     The input is already clean; it is unescaped a second time on purpose.
     """
-    text = F.lower(unescape_nfkc(clean))
-    text = mask_emails(mask_urls(text, " "), " ")
-    text = F.replace(F.replace(text, F.lit("<url>"), F.lit(" ")), F.lit("<email>"), F.lit(" "))
-    return F.coalesce(F.trim(F.regexp_replace(text, "[^a-z0-9]++", " ")), F.lit(""))
+    bare = F.col("__bare")
+    for token in ("<url>", "<email>"):
+        bare = F.replace(bare, F.lit(token), F.lit(" "))
+    return (
+        df.withColumn("__norm", unescape_nfkc(F.col(clean)))
+        .withColumn("__low", F.lower("__norm"))
+        .withColumn("__unlinked", mask_urls(F.col("__low"), " "))
+        .withColumn("__bare", mask_emails(F.col("__unlinked"), " "))
+        .withColumn(
+            out, F.coalesce(F.trim(F.regexp_replace(bare, "[^a-z0-9]++", " ")), F.lit(""))
+        )
+        .drop("__norm", "__low", "__unlinked", "__bare")
+    )
 
 
 def word_count_collapsed(collapsed: Column) -> Column:

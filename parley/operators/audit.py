@@ -98,11 +98,10 @@ def class_distribution(df: DataFrame, label: str = "binary_label") -> DataFrame:
 def duplicate_counts(df: DataFrame, text_column: str, fold: bool = True) -> DataFrame:
     """Rows beyond the first of each exact and of each normalised text."""
     text = F.col(text_column)
-    hashed = df.withColumn("__flat", F.coalesce(tx.collapse(tx.unescape_nfkc(text)), F.lit("")))
-    flat = F.col("__flat")
+    hashed = tx.add_duplicate_text(df, text_column, "__text", fold)
     keys = hashed.select(
         F.sha2(text, 256).alias("__exact"),
-        F.sha2(tx.casefold(flat) if fold else flat, 256).alias("__normalized"),
+        F.sha2("__text", 256).alias("__normalized"),
     )
     exact, normalized = surplus_rows(F.col("__exact"), F.col("__normalized"))
     return keys.agg(

@@ -136,8 +136,9 @@ def score_comments(
     clash = sorted(set(PREDICTION_COLUMNS) & set(df.columns))
     if clash:
         raise ValueError(f"input already has prediction columns {clash}")
-    prepared = df.withColumn(
-        "original_text", F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    ).withColumn("cleaned_text", tx.clean_text(F.col("original_text")))
+    original = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    prepared = tx.add_clean_text(
+        df.withColumn("original_text", original), "original_text", "cleaned_text"
+    )
     scored = apply_threshold(scorer(prepared, "cleaned_text"), threshold)
     return scored.select(*df.columns, *PREDICTION_COLUMNS)

@@ -40,11 +40,9 @@ def _flagged(
     }
     # Masking never empties a text, so blankness shows before it; a blank token is the exception.
     tokens_show = settings.url_token.strip() and settings.email_token.strip()
-    # One column per step: the optimiser keeps a step that is used several times as it is.
+    flat = tx.add_flat_text(base, "raw_text", "__flat")
     return (
-        base.withColumn("__norm", tx.unescape_nfkc(F.col("raw_text")))
-        .withColumn("__flat", F.coalesce(tx.collapse(F.col("__norm")), F.lit("")))
-        .withColumn("text_clean", tx.mask_collapsed(F.col("__flat"), **options))
+        tx.add_masked_text(flat, "__flat", "text_clean", **options)
         .withColumn("__raw_blank", tx.is_blank(F.col("raw_text")))
         .withColumn("__no_label", F.col("binary_label").isNull())
         .withColumn("__clean_blank", F.col("__flat" if tokens_show else "text_clean") == "")

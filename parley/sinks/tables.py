@@ -46,11 +46,8 @@ def write_slice_tables(df: DataFrame, folder: str) -> None:
 
 def simple_export(df: DataFrame) -> DataFrame:
     """The three-column hand-off table, with its split."""
-    return df.select(
-        "raw_text",
-        tx.export_text(F.col("text_clean")).alias("clean_text"),
-        F.col("binary_label").alias("label"),
-        "split",
+    return tx.add_export_text(df, "text_clean").select(
+        "raw_text", "clean_text", F.col("binary_label").alias("label"), "split"
     )
 
 

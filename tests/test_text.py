@@ -45,14 +45,23 @@ def check(rows, column, expected):
 T = "text"
 
 
+def check_added(df, out, expected):
+    for row in df.select("text", out).collect():
+        assert row[out] == expected(row["text"]), repr(row["text"])[:200]
+
+
 def test_normalisation_matches_the_specification(rows):
-    text = F.col(T)
-    check(rows, tx.unescape_nfkc(text), lambda t: None if t is None else spec.normal(t))
-    check(rows, tx.clean_text(text), spec.clean)
-    check(rows, tx.duplicate_key_text(text), spec.key)
-    check(rows, tx.duplicate_key_text(text, fold=False), lambda t: "" if t is None else spec.flat(spec.normal(t)))
-    check(rows, tx.casefold(text), lambda t: None if t is None else t.casefold())
-    check(rows, tx.export_text(tx.clean_text(text)), lambda t: spec.export(spec.clean(t)))
+    check(rows, tx.unescape_nfkc(F.col(T)), lambda t: None if t is None else spec.normal(t))
+    check(rows, tx.casefold(F.col(T)), lambda t: None if t is None else t.casefold())
+    check_added(tx.add_duplicate_text(rows, T, "x"), "x", spec.key)
+    check_added(
+        tx.add_duplicate_text(rows, T, "x", fold=False), "x",
+        lambda t: "" if t is None else spec.flat(spec.normal(t)),
+    )
+    clean = tx.add_clean_text(rows, T)
+    check_added(clean, "text_clean", spec.clean)
+    check_added(tx.add_export_text(clean, "text_clean"), "clean_text", lambda t: spec.export(spec.clean(t)))
+    check_added(tx.add_casefolded(clean, "text_clean", "x"), "x", lambda t: spec.clean(t).casefold())
 
 
 def test_lengths_hashes_and_blanks(rows):
@@ -138,19 +147,27 @@ def test_hostile_texts_are_linear(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     started = time.time()
     got = [r[0] for r in df.select(dt.has_obfuscation(F.col("text"))).collect()]
-    df.select(tx.clean_text(F.col("text")), dt.contains_email(F.col("text")), cu.detect_cues("text")).collect()
+    tx.add_clean_text(df, T).select("text_clean", dt.contains_email(F.col("text")), cu.detect_cues("text")).collect()
     assert time.time() - started < 60
     assert got == [True, True, False, True, True, True, False, False]
 
 
 def test_switches_and_replacement_text(spark):
     df = spark.createDataFrame([("a@b.com www.x.de  z",)], "text string")
-    text = F.col("text")
-    row = df.select(
-        tx.clean_text(text, replace_urls=False), tx.clean_text(text, replace_emails=False),
-        tx.clean_text(text, url_token="$1\\", email_token=" "),
-    ).first()
-    assert tuple(row) == ("<EMAIL> www.x.de z", "a@b.com <URL> z", "$1\\ z")
+
+    def clean(**options):
+        return tx.add_clean_text(df, T, **options).first()["text_clean"]
+
+    assert clean(replace_urls=False) == "<EMAIL> www.x.de z"
+    assert clean(replace_emails=False) == "a@b.com <URL> z"
+    assert clean(url_token="$1\\", email_token=" ") == "$1\\ z"
+
+
+def test_python_is_asked_once_per_step(rows):
+    """Two UDF nodes, one for entities and NFKC, one for folding, each with one call."""
+    plan = tx.add_casefolded(tx.add_clean_text(rows, T), "text_clean", "x")._jdf.queryExecution().executedPlan().toString()
+    nodes = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert len(nodes) == 2 and all(n.count("pythonUDF0") == 1 and "pythonUDF1" not in n for n in nodes)
 
 
 def test_rounding_follows_the_binary_value(spark):
