@@ -15,9 +15,9 @@ from parley import catalog
 from parley.session import local_session
 
 HEADLINE = (
-    "text_clean", "normalize_for_duplicate", "export_clean_text", "text_hashes", "bert_token_len",
+    "text_clean", "normalize_for_duplicate", "teammate_clean_text", "text_hash_normalized", "bert_token_len",
     "has_obfuscation", "has_identity_term", "contains_email", "standardize", "standardize_scored",
-    "dedup_normalized", "removal_summary", "duplicate_counts", "audit_dataset", "length_stats",
+    "dedup_normalized", "removal_summary", "normalized_duplicate_count", "audit_dataset", "length_stats",
     "slice_summary", "stratified_split3", "stratified_split2", "capped_sample",
     "split_hash_overlap", "pool_external_overlap", "detect_cues", "cue_statistics",
     "highlight_segments", "build_review_item", "review_queue", "queue_topk", "queue_rank",

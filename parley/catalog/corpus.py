@@ -54,7 +54,7 @@ _text_query(
     sql.fold(sql.clean("text")),
 )
 _text_query(
-    "export_clean_text", "clean_text", lambda df, out: tx.add_export_text(_clean(df, "c"), "c", out),
+    "teammate_clean_text", "clean_text", lambda df, out: tx.add_export_text(_clean(df, "c"), "c", out),
     sql.export(sql.clean("text")),
 )
 _text_query(
@@ -69,17 +69,12 @@ _text_query(
 )
 
 
-@query(
-    "text_hashes",
-    f"WITH {sql.COMMENTS} SELECT src, id, sha256(text) AS text_hash_raw, "
-    f"sha256({sql.key_text('text')}) AS text_hash_normalized FROM comments",
+_text_query("text_hash_raw", "text_hash_raw", _column(tx.sha256_text), "sha256(text)")
+_text_query(
+    "text_hash_normalized", "text_hash_normalized",
+    lambda df, out: tx.add_duplicate_text(df, "text", "key").withColumn(out, tx.sha256_text(F.col("key"))),
+    f"sha256({sql.key_text('text')})",
 )
-def text_hashes(spark, sf_dir):
-    return tx.add_duplicate_text(inputs.comments(spark, sf_dir), "text", "key").select(
-        "src", "id",
-        tx.sha256_text(F.col("text")).alias("text_hash_raw"),
-        tx.sha256_text(F.col("key")).alias("text_hash_normalized"),
-    )
 
 
 @query(
@@ -185,7 +180,7 @@ def score_to_binary(spark, sf_dir):
 
 
 @query(
-    "multilabel_json",
+    "orig_label_json_multi",
     f"WITH {sql.LABELLED} SELECT source_row_index, {sql.LABEL_JSON} AS orig_label_info FROM labelled",
 )
 def multilabel_json(spark, sf_dir):
@@ -195,7 +190,7 @@ def multilabel_json(spark, sf_dir):
 
 
 @query(
-    "score_json",
+    "orig_label_json_score",
     f"WITH {sql.SCORED} SELECT source_row_index, '{{\"toxicity\":' || toxicity::VARCHAR || '}}' AS orig_label_info FROM scored_raw",
 )
 def score_json(spark, sf_dir):
@@ -276,12 +271,22 @@ def removal_summary(spark, sf_dir):
 
 
 @query(
-    "duplicate_counts",
-    f"SELECT count(*) - count(DISTINCT text) AS exact_duplicate_count, "
-    f"count(*) - count(DISTINCT {sql.key_text('text')}) AS normalized_duplicate_count FROM documents",
+    "exact_duplicate_count",
+    f"WITH {sql.COMMENTS} SELECT count(*) - count(DISTINCT text) AS exact_duplicate_count FROM comments",
 )
-def duplicate_counts(spark, sf_dir):
-    return audit.duplicate_counts(inputs.documents(spark, sf_dir), "text")
+def exact_duplicate_count(spark, sf_dir):
+    rows = inputs.comments(spark, sf_dir).select(F.sha2("text", 256).alias("h"))
+    return rows.agg(dedup.surplus_rows(F.col("h"))[0].alias("exact_duplicate_count"))
+
+
+@query(
+    "normalized_duplicate_count",
+    f"WITH {sql.COMMENTS} SELECT count(*) - count(DISTINCT {sql.key_text('text')}) AS normalized_duplicate_count FROM comments",
+)
+def normalized_duplicate_count(spark, sf_dir):
+    return audit.duplicate_counts(inputs.comments(spark, sf_dir), "text").select(
+        "normalized_duplicate_count"
+    )
 
 
 @query(
@@ -463,12 +468,13 @@ def split_summary(spark, sf_dir):
 
 @query(
     "capped_sample",
-    f"WITH {sql.POOL} SELECT sample_id, text_hash_raw FROM pool WHERE split = 'aug_pool' "
-    "QUALIFY row_number() OVER (ORDER BY sha256('46|' || sample_id)) <= 250",
+    f"WITH {sql.MAIN}, {sql.POOL} SELECT sample_id, text_hash_raw FROM pool WHERE split = 'aug_pool' "
+    "QUALIFY row_number() OVER (ORDER BY sha256('46|' || sample_id)) <= (SELECT count(*) FROM main WHERE split = 'train')",
 )
 def capped_sample(spark, sf_dir):
     pool = inputs.split_scored(spark, sf_dir).filter(F.col("split") == "aug_pool")
-    return splits.capped_sample(pool, 250).select("sample_id", "text_hash_raw")
+    rows = inputs.main_train_rows(spark, sf_dir)
+    return splits.capped_sample(pool, rows).select("sample_id", "text_hash_raw")
 
 
 @query(

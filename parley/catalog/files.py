@@ -164,14 +164,16 @@ _SCORED_TABLES = {
 
 @query(
     "write_scored_outputs",
-    f"WITH {sql.POOL}, t AS ("
+    f"WITH {sql.MAIN}, {sql.POOL}, t AS ("
     + " UNION ALL ".join(f"SELECT '{n}' AS artefact, sample_id FROM pool WHERE {c}" for n, c in _SCORED_TABLES.items())
     + " UNION ALL SELECT 'aug_pool_capped', sample_id FROM (SELECT sample_id FROM pool WHERE split = 'aug_pool' "
-    "QUALIFY row_number() OVER (ORDER BY sha256('46|' || sample_id)) <= 250)) SELECT artefact, sample_id FROM t",
+    "QUALIFY row_number() OVER (ORDER BY sha256('46|' || sample_id)) <= (SELECT count(*) FROM main WHERE split = 'train'))) SELECT artefact, sample_id FROM t",
 )
 def write_scored_outputs(spark, sf_dir):
     folder = scratch_path(spark, "tables")
-    out.write_scored_outputs(inputs.split_scored(spark, sf_dir), folder, 250)
+    out.write_scored_outputs(
+        inputs.split_scored(spark, sf_dir), folder, inputs.main_train_rows(spark, sf_dir)
+    )
     names = (*_SCORED_TABLES, "aug_pool_capped")
     result = None
     for name in names:
@@ -182,13 +184,15 @@ def write_scored_outputs(spark, sf_dir):
 
 @query(
     "scored_output_counts",
-    f"WITH {sql.POOL} SELECT 'aug_pool_full' AS artefact, count(*) FILTER (split = 'aug_pool') AS rows FROM pool "
+    f"WITH {sql.MAIN}, {sql.POOL} SELECT 'aug_pool_full' AS artefact, count(*) FILTER (split = 'aug_pool') AS rows FROM pool "
     "UNION ALL SELECT 'external_test', count(*) FILTER (split = 'external_test') FROM pool "
-    "UNION ALL SELECT 'aug_pool_capped', least(250, count(*) FILTER (split = 'aug_pool')) FROM pool "
+    "UNION ALL SELECT 'aug_pool_capped', least((SELECT count(*) FROM main WHERE split = 'train'), count(*) FILTER (split = 'aug_pool')) FROM pool "
     "UNION ALL SELECT 'aug_pool_identity', count(*) FILTER (split = 'aug_pool' AND has_identity_term = 1) FROM pool",
 )
 def scored_output_counts(spark, sf_dir):
-    return out.scored_output_counts(inputs.split_scored(spark, sf_dir), 250)
+    return out.scored_output_counts(
+        inputs.split_scored(spark, sf_dir), inputs.main_train_rows(spark, sf_dir)
+    )
 
 
 @query(

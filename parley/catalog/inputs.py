@@ -116,6 +116,11 @@ def split_corpus(spark, sf_dir) -> DataFrame:
     return splits.stratified_split3(sliced_corpus(spark, sf_dir))
 
 
+def main_train_rows(spark, sf_dir) -> int:
+    """The cap of the scored sample: as many rows as the main source trains on."""
+    return split_corpus(spark, sf_dir).filter(F.col("split") == "train").count()
+
+
 def split_scored(spark, sf_dir) -> DataFrame:
     stored = staged(
         slices.add_flags(scored_corpus(spark, sf_dir), score_columns=IDENTITY), "scored"

@@ -46,17 +46,14 @@ def vocabulary(
     A frequent term is one partial row per task before the shuffle.
     """
     termed = with_terms(df.select(text_column), text_column)
-    counted = termed.select(
-        F.explode(
-            F.concat(
-                F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-                F.transform(
-                    F.array_distinct("terms"),
-                    lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
-                ),
-            )
-        ).alias("x")
-    ).select("x.*")
+    # Each text lists its terms, then its distinct terms: the first part counts occurrences,
+    # the second texts.
+    listed = termed.select(
+        F.size("terms").alias("n"),
+        F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"),
+    )
+    first = F.col("at") < F.col("n")
+    counted = listed.select("term", first.cast("long").alias("tf"), (~first).cast("long").alias("df"))
     return (
         counted.groupBy("term")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))

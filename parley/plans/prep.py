@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,14 +170,25 @@ def run_prep(
 
 
 def publish(result: PrepResult, output: str, train_rows: int, settings: cfg.PrepSettings) -> None:
-    main = result.main
-    out.write_split_tables(main.corpus, f"{output}/main")
-    out.write_slice_tables(main.corpus, f"{output}/main")
-    out.export_simple(main.corpus, f"{output}/main")
-    out.write_summaries(main.summaries, f"{output}/metadata/main")
-    if result.scored is not None:
-        out.write_scored_outputs(result.scored.corpus, f"{output}/scored", train_rows, settings)
-        out.write_summaries(result.scored.summaries, f"{output}/metadata/scored")
+    """Write everything; independent outputs share the cluster instead of queueing."""
+    main, scored = result.main, result.scored
     spark = main.corpus.sparkSession
     warnings = spark.createDataFrame(result.warnings, "source string, code string, message string")
-    out.write_summaries({"warnings": warnings}, f"{output}/metadata")
+    jobs = [
+        lambda: out.write_split_tables(main.corpus, f"{output}/main"),
+        lambda: out.write_slice_tables(main.corpus, f"{output}/main"),
+        lambda: out.export_simple(main.corpus, f"{output}/main"),
+        lambda: out.write_summaries({"warnings": warnings}, f"{output}/metadata"),
+    ]
+    for name, table in main.summaries.items():
+        jobs.append(lambda n=name, t=table: out.write_summaries({n: t}, f"{output}/metadata/main"))
+    if scored is not None:
+        for name, table in out.scored_outputs(scored.corpus, train_rows, settings).items():
+            jobs.append(lambda n=name, t=table: out.write_both(t, f"{output}/scored/{n}"))
+        for name, table in scored.summaries.items():
+            jobs.append(
+                lambda n=name, t=table: out.write_summaries({n: t}, f"{output}/metadata/scored")
+            )
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
