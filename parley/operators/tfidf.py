@@ -96,7 +96,12 @@ class TfidfModel:
                 "tfidf",
                 F.struct(
                     F.col("__indices").alias("indices"),
-                    F.transform("__raw", lambda w: w / F.col("__norm")).alias("weights"),
+                    # The norm as an argument: inside the lambda it would be summed per element.
+                    F.zip_with(
+                        "__raw",
+                        F.array_repeat("__norm", F.size("__raw")),
+                        lambda w, norm: w / norm,
+                    ).alias("weights"),
                 ),
             )
             .drop("__terms", "__counts", "__indices", "__raw", "__norm")

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, app: str = "parley") -> SparkSession:
+def local_session(
+    cores: int | str = "*", partitions: int = 8, app: str = "parley", conf: dict | None = None
+) -> SparkSession:
     """A single-machine session for tests and the bench; clusters bring their own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -18,6 +20,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "parle
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config(map=conf or {})
         .getOrCreate()
     )
 

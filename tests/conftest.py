@@ -10,8 +10,13 @@ from parley.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8)
+def shared_folder(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("shared"))
+
+
+@pytest.fixture(scope="session")
+def spark(shared_folder):
+    session = local_session(8, conf={"spark.checkpoint.dir": shared_folder})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
