@@ -25,7 +25,14 @@ _EITHER_EDGE = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
 WORD_TOKEN = rf"[{WORD}]{{2,}}+"
 
 URL = rf"(?iuU){WORD_START}(?:https?://|www\.)[^{WS}]++"
-EMAIL = rf"(?iu){_EITHER_EDGE}[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{{2,}}+{WORD_END}"
+# An address starts at the first word boundary of a run of local-part characters. Entering a run
+# only at its beginning (or where the last address ended) and keeping what lies before that
+# boundary as group 1 reads each run once.
+_LOCAL = "A-Z0-9._%+-"
+EMAIL = (
+    rf"(?iu)(?:\G|(?<![{_LOCAL}]))((?<![{WORD}])[.%+-]*+|(?<=[{WORD}])[A-Z0-9_]*+)"
+    rf"[{_LOCAL}]++@[A-Z0-9.-]+\.[A-Z]{{2,}}+{WORD_END}"
+)
 DIGIT = r"\p{Nd}"
 REPEATED_PUNCTUATION = r"([!?.,;:])\1{2}"
 ALL_CAPS = rf"{WORD_START}[A-Z]{{2,}}+{WORD_END}"
@@ -39,10 +46,14 @@ _SYMBOLS = rf"[^a-z0-9{WS}]"
 _WORD_SYMBOL = rf"[{WORD}&&[^a-z0-9]]"
 # Letters, symbols, letters, symbols, letters; if a word-like symbol follows, the chain goes
 # on until its first word end.
-INSERTED_SYMBOL = (
+_CHAIN = (
     rf"(?iuU){WORD_START}[a-z]++{_SYMBOLS}++[a-z]++{_SYMBOLS}++[a-z]++"
-    rf"(?:{_WORD_SYMBOL}{_SYMBOLS}*+[a-z]++)*+{WORD_END}"
+    rf"(?:{_WORD_SYMBOL}{_SYMBOLS}*+[a-z]++)*+"
 )
+INSERTED_SYMBOL = _CHAIN + WORD_END
+# The same chains, whether or not they end at a word end; group 1 is the character behind those
+# that do. Listing them reads a text once, however many chains fail.
+ANY_CHAIN = rf"{_CHAIN}([^{WORD}])?"
 
 
 def spaced_letters(words: Iterable[str]) -> str:

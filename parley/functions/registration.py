@@ -18,7 +18,7 @@ def register_functions(spark: SparkSession) -> None:
     spark.udf.register("parley_unescape_nfkc", unescape_nfkc_udf())
     spark.udf.register("parley_casefold", casefold_udf())
     flat = f'coalesce(trim(regexp_replace(parley_unescape_nfkc(t), {_raw(rx.WS_RUN)}, " ")), "")'
-    mails = f'regexp_replace({flat}, {_raw(rx.EMAIL)}, "<EMAIL>")'
+    mails = f'regexp_replace({flat}, {_raw(rx.EMAIL)}, "$1<EMAIL>")'
     bodies = {
         "parley_text_clean": ("STRING", f'regexp_replace({mails}, {_raw(rx.URL)}, "<URL>")'),
         "parley_duplicate_key": ("STRING", f"sha2(parley_casefold({flat}), 256)"),

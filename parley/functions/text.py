@@ -85,7 +85,7 @@ def mask_urls(text: Column, token: str) -> Column:
 
 
 def mask_emails(text: Column, token: str) -> Column:
-    masked = F.regexp_replace(text, rx.EMAIL, _quoted(token))
+    masked = F.regexp_replace(text, rx.EMAIL, "$1" + _quoted(token))
     return F.when(text.contains("@"), masked).otherwise(text)
 
 

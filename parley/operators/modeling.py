@@ -120,7 +120,7 @@ def fit_logistic(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-4,
+        tol=1e-6,
     ).fit(table)
     return LinearScorer(
         model, tuple(float(x) for x in regression.coefficients), float(regression.intercept)

@@ -143,13 +143,31 @@ def test_stable_texts_need_no_python():
 
 
 def test_hostile_texts_are_linear(spark):
-    texts = ["a" * 20000, "a-" * 20000, "a_" * 20000, "a_a-" * 5000, "a." * 20000, "f-" * 20000, "0a" * 10000 + "é", " " * 30000]
+    texts = ["a" * 20000, "a-" * 20000, "a_" * 20000, "a_a-" * 5000, "a." * 20000, "f-" * 20000, "0a" * 10000 + "é", " " * 30000, "a_-" * 20000, "a." * 20000 + " @"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     started = time.time()
     got = [r[0] for r in df.select(dt.has_obfuscation(F.col("text"))).collect()]
     tx.add_clean_text(df, T).select("text_clean", dt.contains_email(F.col("text")), cu.detect_cues("text")).collect()
     assert time.time() - started < 60
-    assert got == [True, True, False, True, True, True, False, False]
+    assert got == [True, True, False, True, True, True, False, False, False, True]
+
+
+def test_random_texts_match_the_specification(spark, monkeypatch):
+    import random
+
+    pick = random.Random(5)
+    parts = list("aabxéß19_03!.,-+%@@/: \n'") + ["www.", "http://", ".com", "@b.de", "fu", "ck", "&amp;", "Ａ", "x\u0301", "²", "a-b-c", "_-"]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randint(1, 40))) for _ in range(6000)]
+    texts += ["a@b.com.c@d.com", "é.user@x.com", "éuser.name@x.com", "-user@x.com", "+.a@b.cc@d.ee", "_@a.bc", "a@b.c1.de"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    text = F.col(T)
+    check_added(tx.add_clean_text(df, T), "text_clean", spec.clean)
+    check(df, dt.contains_email(text), lambda t: bool(spec.MAIL.search(t)))
+    check(df, dt.contains_url(text), lambda t: bool(spec.LINK.search(t)))
+    check(df, dt.has_obfuscation(text), spec.obfuscated)
+    check(df, dt.has_inserted_symbols(text), lambda t: bool(spec.OBFUSCATION[0].search(t)))
+    monkeypatch.setattr(dt, "_LONG_TEXT", 0)
+    check(df, dt.has_inserted_symbols(text), lambda t: bool(spec.OBFUSCATION[0].search(t)))
 
 
 def test_switches_and_replacement_text(spark):
