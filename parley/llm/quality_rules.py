@@ -149,7 +149,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; documents labelled with quality 1 are the trusted target."""
     good = (
         table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
-        .withColumn("__good", F.lit(True))
+        .withColumn("__good", F.lit(True)).hint("merge")
     )
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
     return quality_rules(docs, "text", "__good").drop("text", "__good")
