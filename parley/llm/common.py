@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,3 +136,12 @@ def merged_chunks(parts: DataFrame, dtype: str, out: str, limit: int) -> DataFra
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A table in the shared folder; see ``parley.session.staged``."""
     return staged(df, f"llm-{name}")
+
+
+def ship(spark: SparkSession, value) -> Broadcast:
+    """Broadcast a value of bounded size, its classes included; see ``received``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shipped: Broadcast):
+    return cloudpickle.loads(shipped.value)
