@@ -1,7 +1,9 @@
 """All registered queries of the training-data operators, with the SQL where there is one."""
 
-from parley.llm import line_dedup, quality_rules, sharding
+from parley.llm import (
+    classifier, decontamination, line_dedup, packing, quality_rules, sharding, warc,
+)
 
-_PARTS = (sharding, quality_rules, line_dedup)
+_PARTS = (sharding, quality_rules, warc, line_dedup, packing, decontamination, classifier)
 QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 ORACLE = {name: text for part in _PARTS for name, text in part.ORACLE.items()}
