@@ -1,9 +1,13 @@
 """All registered queries of the training-data operators, with the SQL where there is one."""
 
 from parley.llm import (
-    classifier, decontamination, line_dedup, packing, quality_rules, sharding, warc,
+    classifier, decontamination, jaccard_join, line_dedup, packing, quality_rules, sharding,
+    substring_dedup, warc,
 )
 
-_PARTS = (sharding, quality_rules, warc, line_dedup, packing, decontamination, classifier)
+_PARTS = (
+    sharding, quality_rules, warc, line_dedup, packing, decontamination, classifier,
+    substring_dedup, jaccard_join,
+)
 QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 ORACLE = {name: text for part in _PARTS for name, text in part.ORACLE.items()}
