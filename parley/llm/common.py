@@ -10,7 +10,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +18,10 @@ from parley.session import staged
 
 # Words: runs of bytes other than space, tab, LF, VT, FF and CR.
 BLANKS = r"[\x20\x09-\x0D]+"
-# Most words that one worker remembers the hash of (some 60 MB).
+# Most words that one worker remembers something about (some 60 MB).
 MEMO_WORDS = 400_000
+# Bytes of a long text that are hashed at a time.
+PART_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -45,43 +46,78 @@ def crc32_of_id(column: str) -> Column:
 
 def words_of(text: str | None) -> list[bytes]:
     """Blank-separated words in UTF-8; none for a null text."""
-    return [] if text is None else text.encode("utf-8", "surrogatepass").split()
+    return utf8(text).split()
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered for up to MEMO_WORDS words."""
+class Words:
+    """64-bit hashes of the blank-separated words of a text, without a Python object per word.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    A word's hash is a polynomial of its bytes, taken from running sums over the text, mixed
+    with its length.
+    """
 
+    def __init__(self) -> None:
+        self.powers = Powers()
+        self.blank = np.zeros(256, bool)
+        self.blank[[0x20, *range(0x09, 0x0E)]] = True
 
-class Windows:
-    """Hashes of all runs of k consecutive values, in constant time per run."""
+    def of(self, data: bytes) -> np.ndarray:
+        if not data:
+            return np.empty(0, np.uint64)
+        text = np.frombuffer(data, np.uint8)
+        word = np.zeros(len(text) + 2, bool)
+        np.logical_not(self.blank[text], out=word[1:-1])
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        out = np.empty(len(starts), np.uint64)
+        first = 0
+        while first < len(starts):
+            # Long texts are hashed in parts that end with a word.
+            low = starts[first]
+            last = max(first + 1, int(np.searchsorted(ends, low + PART_BYTES, side="right")))
+            begin, end = starts[first:last] - low, ends[first:last] - low
+            power, inverse = self.powers.upto(int(end[-1]))
+            sums = np.zeros(end[-1] + 1, np.uint64)
+            np.cumsum((text[low : low + end[-1]] + np.uint64(1)) * power, out=sums[1:])
+            length = (end - begin).astype(np.uint64)
+            out[first:last] = mixed(
+                (sums[end] - sums[begin]) * inverse[begin] + length * np.uint64(0xD6E8FEB86659FD93))
+            first = last
+        return out
+
+
+def utf8(text: str | None) -> bytes:
+    return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+class Powers:
+    """Powers of an odd constant and of its inverse modulo 2**64."""
 
     def __init__(self) -> None:
-        self.power = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
+        self.power = self.inverse = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.power) < n:
             size = max(n, 2 * len(self.power), 4096)
             self.power = np.cumprod(np.full(size, _ODD, np.uint64)) * _ODD_INVERSE
             self.inverse = np.cumprod(np.full(size, _ODD_INVERSE, np.uint64)) * _ODD
+        return self.power[:n], self.inverse[:n]
+
+
+class Windows:
+    """Hashes of all runs of k consecutive values, in constant time per run."""
+
+    def __init__(self) -> None:
+        self.powers = Powers()
 
     def of(self, values: np.ndarray, k: int) -> np.ndarray:
         n = len(values) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        self._grow(len(values))
+        power, inverse = self.powers.upto(len(values))
         sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.power[: len(values)], out=sums[1:])
-        return mixed((sums[k:] - sums[:n]) * self.inverse[:n])
+        np.cumsum(values * power, out=sums[1:])
+        return mixed((sums[k:] - sums[:n]) * inverse[:n])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -91,10 +127,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n positions lie in a run of ``length`` that begins at one of the starts."""
     edges = np.zeros(n + length + 1, np.int64)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import WordHashes, Windows, covered, received, ship, stored, table
+from parley.llm.common import Windows, Words, covered, received, ship, stored, table, utf8
 
 WINDOW = 10
 GRAM = 5
@@ -37,8 +37,9 @@ _TABLE = bytes(
 )
 
 
-def item_words(text: str | None) -> list[bytes]:
-    return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+def plain(text: str | None) -> bytes:
+    """The words of a text, with blanks between them."""
+    return utf8(text).translate(_TABLE)
 
 
 def winnowed(grams: np.ndarray) -> np.ndarray:
@@ -52,11 +53,11 @@ class Index:
     """Fingerprints and windows of one block of items."""
 
     def __init__(self, items: Iterable[tuple[str, str | None]]) -> None:
-        hashes, windows = WordHashes(), Windows()
+        words, windows = Words(), Windows()
         prints: list[np.ndarray] = [np.empty(0, np.uint64)]
         owners: dict[int, dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
-            values = hashes.of(item_words(text))
+            values = words.of(plain(text))
             length = min(WINDOW, len(values))
             if not length:
                 continue
@@ -96,7 +97,7 @@ def _pass(index, text: str):
     """One pass of documents against a broadcast block; earlier passes' hits are joined."""
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, windows = WordHashes(), Windows()
+        words, windows = Words(), Windows()
         block: Index = received(index)
         for batch in batches:
             bits, lists, counts, hits = [], [], [], []
@@ -105,13 +106,13 @@ def _pass(index, text: str):
                 batch.column("__items").to_pylist(),
             )
             for value, before, known in seen:
-                words = hashes.of(item_words(value))
-                hit, items = block.search(words, windows)
+                values = words.of(plain(value))
+                hit, items = block.search(values, windows)
                 if before:
                     hit |= np.unpackbits(np.frombuffer(before, np.uint8), count=len(hit)) > 0
                 bits.append(np.packbits(hit).tobytes() if hit.any() else None)
                 lists.append(sorted(items | set(known)))
-                counts.append(len(words))
+                counts.append(len(values))
                 hits.append(int(hit.sum()))
             new = {
                 "__bits": pa.array(bits, pa.binary()),

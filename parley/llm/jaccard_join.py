@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import (
-    WordHashes, Windows, chunks, merged_chunks, received, ship, stored, table,
+    Windows, Words, chunks, merged_chunks, received, ship, stored, table, utf8,
 )
 from parley.llm.components import components
 
@@ -39,21 +39,19 @@ SHINGLE = 5
 CELL_BITS = 20
 CHUNK = 1 << 16
 # Entries that a task holds at a time, and text bytes per block of columns.
-BATCH_ENTRIES = 1_000_000
+BATCH_ENTRIES = 500_000
 BLOCK_BYTES = 16 << 20
 # Keys of candidate texts up to this number are broadcast (32 MB) to fetch their texts; more are
 # joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 
 
-def shingle_set(text: str | None, hashes: WordHashes, windows: Windows) -> np.ndarray:
+def shingle_set(text: str | None, words: Words, windows: Windows) -> np.ndarray:
     """Sorted distinct shingle hashes; a shorter text is one shingle, none has none.
 
     A-Z is lower-cased, words are blank-separated.
     """
-    if text is None:
-        return np.empty(0, np.uint64)
-    values = hashes.of(text.encode("utf-8", "surrogatepass").lower().split())
+    values = words.of(utf8(text).lower())
     return np.unique(windows.of(values, min(SHINGLE, max(1, len(values)))))
 
 
@@ -75,14 +73,14 @@ _ROWS = "number long, text_key long, n_shingles long, node long, chunk int, data
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and key of each row's set, and at the end the task's column counts."""
-    hashes, windows = WordHashes(), Windows()
+    words, windows = Words(), Windows()
     cells = np.zeros(1 << CELL_BITS, np.int32)
     schema = pa.schema([*((n, pa.int64()) for n in ("number", "text_key", "n_shingles", "node")),
                         ("chunk", pa.int32()), ("data", pa.binary())])
     for batch in batches:
         sizes, nodes = [], []
         for text in batch.column(2).to_pylist():
-            shingles = shingle_set(text, hashes, windows)
+            shingles = shingle_set(text, words, windows)
             sizes.append(len(shingles))
             nodes.append(set_key(shingles) if len(shingles) else None)
             np.add.at(cells, (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
@@ -112,7 +110,7 @@ _ARROW = pa.schema([(x.split()[0], pa.int64() if x.split()[1] == "long" else pa.
 
 def _entries(shipped, blocks: int):
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, windows, levels = WordHashes(), Windows(), received(shipped)
+        words, windows, levels = Words(), Windows(), received(shipped)
         base = TaskContext.get().partitionId() << 24
         seen: set[int] = set()
         rows: list[tuple[int, int, int]] = []
@@ -143,7 +141,7 @@ def _entries(shipped, blocks: int):
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                shingles = shingle_set(text, hashes, windows)
+                shingles = shingle_set(text, words, windows)
                 n = len(shingles)
                 if not n or (node := set_key(shingles)) in seen:
                     continue  # copies within a task are one row
@@ -270,15 +268,15 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets reach the bound, by counting their overlap."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, windows = WordHashes(), Windows()
+        words, windows = Words(), Windows()
         last: tuple = (None, None)
         for batch in batches:
             keep = []
-            for a, one, other in zip(*(batch.column(n).to_pylist()
-                                       for n in ("a", "text_a", "text_b"))):
+            firsts, seconds = batch.column("text_a"), batch.column("text_b")
+            for i, a in enumerate(batch.column("a").to_pylist()):
                 if last[0] != a:
-                    last = a, shingle_set(one, hashes, windows)
-                x, y = last[1], shingle_set(other, hashes, windows)
+                    last = a, shingle_set(firsts[i].as_py(), words, windows)
+                x, y = last[1], shingle_set(seconds[i].as_py(), words, windows)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
@@ -328,7 +326,7 @@ def jaccard_components(df: DataFrame, id_column: str, text: str) -> DataFrame:
         "component", F.coalesce("component", "node"))
     named = stored(named, "named")
     least = named.groupBy("component").agg(F.min("__id").alias("component_id"))
-    by_node = named.join(least, "component").select("node", "component_id")
+    by_node = stored(named.join(least, "component").select("node", "component_id"), "classes")
     return rows.join(by_node, "node", "left").select(
         id_column, "n_shingles",
         F.when(F.col("node").isNull(), F.col(id_column)).otherwise(F.col("component_id"))

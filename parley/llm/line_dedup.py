@@ -76,6 +76,8 @@ def drop_boilerplate(
         lines.join(pairs, ["__host", "__line"])
         .groupBy("__k1", "__k2").agg(F.collect_set("__line").alias("__bad"))
     )
+    # Stored: a join of two plain exchanges lets Spark split the partition of a hot page.
+    bad = stored(bad, "boilerplate-pages")
     joined = keyed.join(bad, ["__k1", "__k2"], "left")
     kept = F.when(F.col("__bad").isNull(), _lines(F.col(text))).otherwise(
         F.filter(_lines(F.col(text)), lambda x: ~F.array_contains("__bad", F.xxhash64(x)))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import (
-    WordHashes, Windows, covered, mixed, received, row_key, ship, stored, table, words_of,
+    Windows, Words, mixed, received, row_key, ship, stored, table, utf8, words_of,
 )
 
 WINDOW = 35
@@ -87,11 +87,11 @@ def anchor_sketch(df: DataFrame, text: str, bits: int) -> Sketch:
     """Sketch of all anchors of all texts."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, windows = WordHashes(), Windows()
+        words, windows = Words(), Windows()
         for batch in batches:
             found = []
             for value in batch.column(0).to_pylist():
-                grams = windows.of(hashes.of(words_of(value)), ANCHOR)
+                grams = windows.of(words.of(utf8(value)), ANCHOR)
                 places = sliding_argmin(grams, WINDOW - ANCHOR + 1)
                 if len(places):
                     first = np.ones(len(places), bool)
@@ -141,7 +141,7 @@ _ARROW = pa.schema([(n, pa.int64() if n in ("batch", "part") else pa.binary())
 
 def _candidates(shipped, parts: int):
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, windows, sketch = WordHashes(), Windows(), received(shipped)
+        words, windows, sketch = Words(), Windows(), received(shipped)
         base = TaskContext.get().partitionId() << 24
         keys: list[tuple[int, int]] = []
         found: list[np.ndarray] = []
@@ -172,7 +172,7 @@ def _candidates(shipped, parts: int):
 
         for batch in batches:
             for k1, k2, value in zip(*(c.to_pylist() for c in batch.columns)):
-                values = hashes.of(words_of(value))
+                values = words.of(utf8(value))
                 grams = windows.of(values, ANCHOR)
                 anchor = sliding_argmin(grams, WINDOW - ANCHOR + 1)
                 if not len(anchor):
@@ -213,6 +213,24 @@ def _group(rows: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, pa.schema([("batch", pa.int64()), ("windows", pa.binary())]))
 
 
+def _runs(starts: np.ndarray) -> bytes:
+    """Sorted starts as first starts and lengths of runs of neighbours."""
+    if not len(starts):
+        return b""
+    first = np.flatnonzero(np.diff(starts, prepend=starts[0] - 2) > 1)
+    length = np.diff(first, append=len(starts))
+    return np.stack([starts[first], length]).astype(np.int32).tobytes()
+
+
+def _gone(runs: bytes, n: int) -> np.ndarray:
+    """Which of n words the windows of such runs cover."""
+    first, length = np.frombuffer(runs, np.int32).reshape(2, -1)
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, first, 1)
+    np.add.at(edges, first + length + (WINDOW - 1), -1)
+    return np.cumsum(edges)[:n] > 0
+
+
 def _collect(rows: pa.Table) -> pa.Table:
     """The repeated windows of one batch, by document."""
     head = next(r for r in rows.to_pylist() if r["keys"] is not None)
@@ -224,13 +242,13 @@ def _collect(rows: pa.Table) -> pa.Table:
             flag[np.frombuffer(windows, np.int32)] = True
     keys = np.frombuffer(head["keys"], np.int64).reshape(-1, 2)
     ends = np.cumsum(counts)[:-1]
-    chosen = [p[f].tobytes() for p, f in zip(np.split(places, ends), np.split(flag, ends))]
+    chosen = [_runs(p[f]) for p, f in zip(np.split(places, ends), np.split(flag, ends))]
     table_ = pa.table({"__k1": keys[:, 0], "__k2": keys[:, 1], "__at": pa.array(chosen)})
     return table_.filter(pa.array([len(c) > 0 for c in chosen]))
 
 
 def repeated_windows(df: DataFrame, text: str) -> DataFrame:
-    """``(__k1, __k2, __at)``: starts (int32 array as binary) of repeated windows by text key.
+    """``(__k1, __k2, __at)``: runs of repeated windows by text key.
 
     Equal texts have equal keys; their rows may differ in what their batch knew, never in
     the windows that are repeated.
@@ -265,7 +283,8 @@ def remove_repeats(df: DataFrame, text: str) -> DataFrame:
     added names and those that begin with two underscores must be free.
     """
     k1, k2 = row_key(text)
-    at = repeated_windows(df, text).dropDuplicates(["__k1", "__k2"])
+    # Stored: a join of two plain exchanges lets Spark split the partition of a hot text.
+    at = stored(repeated_windows(df, text).dropDuplicates(["__k1", "__k2"]), "repeats")
     joined = df.withColumns({"__k1": k1, "__k2": k2}).join(at, ["__k1", "__k2"], "left")
     joined = joined.drop("__k1", "__k2")
 
@@ -277,7 +296,7 @@ def remove_repeats(df: DataFrame, text: str) -> DataFrame:
                 words = words_of(value)
                 totals.append(len(words))
                 if starts is not None:
-                    gone = covered(np.frombuffer(starts, np.int32), WINDOW, len(words))
+                    gone = _gone(starts, len(words))
                     words = [words[i] for i in np.flatnonzero(~gone).tolist()]
                 removed.append(totals[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
