@@ -12,9 +12,9 @@ bound are computed:
 * Pairs whose sizes differ by more than a fifth drop out before their overlap is counted.
 
 Overlaps are then counted on whole sets. What is wanted are the components of the link graph,
-so the product is taken in two parts: first the band next to the diagonal (every row with its
-neighbour in a column), whose links already join groups of near copies; then every remaining
-pair of rows in different components. Pairs within a component cannot change it and are never
+so the product is taken in two parts: first a band (every row with its neighbour in a column
+and with the row that has the fewest entries before that column), whose links already join
+groups of near copies; then every remaining pair of rows in different components. Pairs within a component cannot change it and are never
 formed, so a group of n near copies costs n pairs, not n squared.
 """
 
@@ -64,9 +64,9 @@ def probe_length(n: np.ndarray) -> np.ndarray:
     return n - (4 * n + 4) // 5 + 1
 
 
-def index_length(n: np.ndarray) -> np.ndarray:
-    return n - (8 * n + 8) // 9 + 1
-
+# Both ranks allow the overlap that the pair needs, for rows x_ and y_ of a column.
+REACHES = """x_rank <= x_size - (4 * (x_size + y_size) + 8) div 9
+    AND y_rank <= y_size - (4 * (x_size + y_size) + 8) div 9"""
 
 _ROWS = "number long, text_key long, n_shingles long, node long, chunk int, data binary"
 
@@ -181,7 +181,7 @@ def _block(rows: pa.Table) -> pa.Table:
 
 
 def _shared(rows: pa.Table) -> pa.Table:
-    """``(column, node, size, index)`` of a batch's shared entries."""
+    """``(column, node, size, rank)`` of a batch's shared entries."""
     head = next(x for x in rows["rows"].to_pylist() if x is not None)
     node, size, length = np.frombuffer(head, np.int64).reshape(-1, 3).T
     place = np.concatenate([np.frombuffer(x, np.int32) for x in rows["shared"].to_pylist()])
@@ -191,7 +191,7 @@ def _shared(rows: pa.Table) -> pa.Table:
     rank = place - (ends - length)[row]
     return pa.table({
         "column": column, "node": node[row], "size": size[row],
-        "index": rank < index_length(size[row]),
+        "rank": rank,
     })
 
 
@@ -208,35 +208,55 @@ def shared_entries(df: DataFrame, text: str, levels: np.ndarray, size: int) -> D
     )
     near = found.filter("block IS NULL").select("batch", "rows", "shared", "columns")
     return near.unionByName(far).groupBy("batch").applyInArrow(
-        _shared, "column long, node long, size long, index boolean")
+        _shared, "column long, node long, size long, rank long")
+
+
+def _side(rows: DataFrame, side: str, *names: str) -> DataFrame:
+    return rows.select("column", *(F.col(n).alias(f"{side}_{n}") for n in names))
 
 
 def band_pairs(entries: DataFrame) -> DataFrame:
-    """Every row with the row before it in a column, by size; of these its most frequent one.
+    """For every row the two rows that it most often has beside it in a column.
 
-    Rows of a column are dealt by range, so a column of very many rows lies in several tasks.
+    One is the row before it by size: columns are dealt by range, so one of very many rows
+    lies in several tasks. The other is the column's row with the fewest entries before it, as
+    an unchanged original has; it is found by partial aggregation.
     """
 
     def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            column, size, node = (batch.column(i).to_numpy() for i in range(3))
-            if not len(column):
+            rows = [batch.column(i).to_numpy() for i in range(4)]
+            if not len(rows[0]):
                 continue
             if last is not None:
-                column, size, node = (np.concatenate([[x], y])
-                                      for x, y in zip(last, (column, size, node)))
-            last = column[-1], size[-1], node[-1]
-            same = (column[1:] == column[:-1]) & (node[1:] != node[:-1]) & (
-                5 * size[:-1] >= 4 * size[1:])
+                rows = [np.concatenate([[x], y]) for x, y in zip(last, rows)]
+            last = [x[-1] for x in rows]
+            column, size, node, rank = rows
+            need = (4 * (size[1:] + size[:-1]) + 8) // 9
+            fit = (rank[1:] <= size[1:] - need) & (rank[:-1] <= size[:-1] - need)
+            same = (column[1:] == column[:-1]) & (node[1:] != node[:-1]) & fit
             yield pa.RecordBatch.from_arrays(
                 [pa.array(node[1:][same]), pa.array(node[:-1][same])], ["a", "b"])
 
-    ordered = entries.select("column", "size", "node").repartitionByRange("column", "size", "node")
-    pairs = ordered.sortWithinPartitions("column", "size", "node").mapInArrow(
+    def best(pairs: DataFrame) -> DataFrame:
+        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        return counted.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+
+    ordered = entries.select("column", "size", "node", "rank").repartitionByRange(
+        "column", "size", "node")
+    beside = ordered.sortWithinPartitions("column", "size", "node").mapInArrow(
         neighbours, "a long, b long")
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    first = F.min_by(F.struct("node", "size", "rank"), F.struct("rank", "node")).alias("y")
+    heads = stored(entries.groupBy("column").agg(first).select(
+        "column", *(F.col(f"y.{n}").alias(f"y_{n}") for n in ("node", "size", "rank"))), "heads")
+    under = (
+        _side(entries, "x", "node", "size", "rank").join(heads, "column")
+        .filter(f"x_node <> y_node AND {REACHES}")
+        .select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    )
+    both = best(beside).union(best(under))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def cross_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -252,16 +272,14 @@ def cross_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
     main = sizes.groupBy("column").agg(
         F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component"))
         .alias("main")).filter("kinds > 1").select("column", "main")
-    mixed = rows.join(main, "column")
-    few = mixed.filter("component <> main").select(
-        "column", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "index", "component")))
-    pairs = few.join(mixed, "column").filter(
-        """x_component <> component
-        AND (component = main OR x_node < node)
-        AND 5 * least(x_size, size) >= 4 * greatest(x_size, size)
-        AND ((x_size <= size AND x_index) OR (size <= x_size AND index))""")
-    return pairs.select(F.least("x_node", "node").alias("a"),
-                        F.greatest("x_node", "node").alias("b")).distinct()
+    mixed = stored(rows.join(main, "column"), "mixed")
+    names = ("node", "size", "rank", "component")
+    few = _side(mixed.filter("component <> main"), "x", *names)
+    pairs = few.join(_side(mixed, "y", *names, "main"), "column").filter(
+        f"""x_component <> y_component AND (y_component = y_main OR x_node < y_node)
+        AND {REACHES}""")
+    return pairs.select(F.least("x_node", "y_node").alias("a"),
+                        F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
