@@ -317,38 +317,65 @@ def candidate_texts(df: DataFrame, text: str, rows: DataFrame, entries: DataFram
     return keyed.join(wanted, "__key").groupBy("node").agg(F.first("text").alias("text"))
 
 
-def jaccard_components(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """``(id, n_shingles, component_id)`` for every row.
-
-    Rows link whose sets have 100 * intersection >= 80 * union; ``component_id`` is the
-    smallest id reachable. Null and empty texts have an empty set and link with nothing: they
-    are components of their own, as is every row of an empty set. Repeated rows are copies of
-    one another. Rows with a null id link as others do; a component of such rows only has a
-    null id. Sets are told apart by 64-bit hashes of their shingles.
-    """
+def _classes(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(id, text_key, n_shingles, node)`` and the ``(node, component)`` of linked nodes."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     numbered = df.select(F.col(id_column).cast("long"), F.xxhash64(text), text)
     found = stored(numbered.mapInArrow(_sets, _ROWS), "sets")
     levels = _levels(found.filter("chunk IS NOT NULL").select("chunk", "data"))
     rows = found.filter("chunk IS NULL").select(
-        F.col("number").alias(id_column), "text_key", "n_shingles", "node")
+        F.col("number").alias("id"), "text_key", "n_shingles", "node")
     entries = stored(shared_entries(df, text, levels, size), "shared")
     texts = stored(candidate_texts(df, text, rows, entries), "texts")
     near = stored(linked(band_pairs(entries), texts), "links")
     rest = cross_pairs(entries, components(near))
-    links = near.unionByName(stored(linked(rest, texts), "links"))
-    labels = components(links)
+    return rows, components(near.unionByName(stored(linked(rest, texts), "links")))
+
+
+def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    return stored(nodes.join(labels, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")), "named")
+
+
+def jaccard_components(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``(id, n_shingles, component_id)`` for every row.
+
+    Rows link whose sets have 100 * intersection >= 80 * union; ``component_id`` is the
+    smallest id reachable. Null and empty texts have an empty set and are components of their
+    own. Repeated rows are copies of one another. Rows with a null id link as others do; a
+    component of such rows only has a null id. Sets are told apart by 64-bit hashes.
+    """
+    rows, labels = _classes(df, id_column, text)
     # The smallest id of each set, then of each component; hot sets are aggregated first.
-    ids = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(id_column).alias("__id"))
-    named = ids.join(labels, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    named = stored(named, "named")
-    least = named.groupBy("component").agg(F.min("__id").alias("component_id"))
+    ids = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
+    named = _named(ids, labels)
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = stored(named.join(least, "component").select("node", "component_id"), "classes")
+    own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return rows.join(by_node, "node", "left").select(
-        id_column, "n_shingles",
-        F.when(F.col("node").isNull(), F.col(id_column)).otherwise(F.col("component_id"))
-        .alias("component_id"))
+        F.col("id").alias(id_column), "n_shingles", own.alias("component_id"))
+
+
+def keep_one_of_each(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """One row of every component: the one of the smallest id (nulls first), whole.
+
+    Rows without words are all kept. Of equal rows one stays.
+    """
+    rows, labels = _classes(df, id_column, text)
+    own = F.struct("id", "text_key")
+    firsts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(own).alias("first"))
+    named = _named(firsts, labels)
+    chosen = stored(
+        named.groupBy("component").agg(F.min("first").alias("first"))
+        .select(F.col("first.id").alias("__id"), F.col("first.text_key").alias("__key")), "chosen")
+    keyed = df.withColumn("__key", F.xxhash64(text))
+    kept = keyed.alias("d").join(
+        chosen.alias("c"),
+        (F.col("d.__key") == F.col("c.__key")) & F.col(f"d.{id_column}").eqNullSafe(F.col("c.__id")),
+        "left_semi",
+    ).dropDuplicates(["__key", id_column])
+    bare = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    return kept.filter(~bare).unionByName(keyed.filter(bare)).drop("__key")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
