@@ -102,8 +102,10 @@ def _levels(parts: DataFrame) -> np.ndarray:
 
 # A batch of rows: keys and sizes of its sets, numbers of entries, and the columns that two of
 # its rows have. A share: the columns that a batch sends to one block, by the low half of
-# their hash; two columns that fall together only give more candidates.
-_BATCH = "batch long, block long, rows binary, shared binary, columns binary, entries binary"
+# their hash (two columns that fall together only give more candidates), and the entries'
+# ranks as shares of their row's size, rounded down to 1/1024.
+_BATCH = "batch long, block long, rows binary, shared binary, columns binary, entries binary, " \
+    "ranks binary"
 _ARROW = pa.schema([(x.split()[0], pa.int64() if x.split()[1] == "long" else pa.binary())
                     for x in _BATCH.split(", ")])
 
@@ -119,6 +121,7 @@ def _entries(shipped, blocks: int):
 
         def flush() -> pa.RecordBatch:
             each = np.concatenate(found)
+            ranks = np.concatenate([np.arange(k) * 1024 // n for _, n, k in rows])
             column = ((each % np.uint64(blocks)) << np.uint64(32)) | (each >> np.uint64(32))
             known, first, inverse, counts = np.unique(
                 column, return_index=True, return_inverse=True, return_counts=True)
@@ -129,14 +132,15 @@ def _entries(shipped, blocks: int):
             }]
             # A column of several rows here goes out once, marked by the sign of its entry.
             entry = np.where(counts > 1, -1 - first, first).astype(np.int32)
+            least = np.full(len(known), 255, np.int64)
+            np.minimum.at(least, inverse, ranks)
             block = (known >> np.uint64(32)).astype(np.int64)
             low = known.astype(np.uint32)
             numbers, starts = np.unique(block, return_index=True)
-            for own, lows, places in zip(
-                numbers.tolist(), np.split(low, starts[1:]), np.split(entry, starts[1:])
-            ):
+            cut = [np.split(x, starts[1:]) for x in (low, entry, least.astype(np.uint8))]
+            for own, lows, places, least_ranks in zip(numbers.tolist(), *cut):
                 out.append({"batch": base + number, "block": own, "columns": lows.tobytes(),
-                            "entries": places.tobytes()})
+                            "entries": places.tobytes(), "ranks": least_ranks.tobytes()})
             return pa.RecordBatch.from_pylist(out, _ARROW)
 
         for batch in batches:
@@ -161,16 +165,30 @@ def _entries(shipped, blocks: int):
 
 
 def _block(rows: pa.Table) -> pa.Table:
-    """The entries of one block of columns that another row shares, by batch."""
+    """The entries of one block of columns that another row shares, by batch.
+
+    Shares r and q of two rows that reach the bound have (5 - 9r)(5 - 9q) >= 16, whatever the
+    sizes. An entry is compared with the least share of the column's others.
+    """
     batches, block = rows["batch"].to_pylist(), rows["block"][0].as_py()
     columns = [np.frombuffer(x, np.uint32) for x in rows["columns"].to_pylist()]
     entries = [np.frombuffer(x, np.int32) for x in rows["entries"].to_pylist()]
-    _, inverse, counts = np.unique(np.concatenate(columns), return_inverse=True,
-                                   return_counts=True)
-    shared = (counts[inverse] > 1) & (np.concatenate(entries) >= 0)
+    column = np.concatenate(columns)
+    rank = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["ranks"].to_pylist()])
+    order = np.lexsort((rank, column))
+    column, share = column[order], 5 - 9 * (rank[order] / 1024)
+    first = np.ones(len(column), bool)
+    first[1:] = column[1:] != column[:-1]
+    other = share[np.maximum.accumulate(np.where(first, np.arange(len(column)), 0))]
+    # The first of a column has the second as its partner, if there is one.
+    alone = first & np.append(first[1:], True)
+    other[first] = np.append(share[1:], 0)[first]
+    useful = np.empty(len(column), bool)
+    useful[order] = (share * other >= 16) & ~alone
+    useful &= np.concatenate(entries) >= 0
     out = []
     for batch, own, places, flag in zip(
-        batches, columns, entries, np.split(shared, np.cumsum([len(c) for c in columns])[:-1])
+        batches, columns, entries, np.split(useful, np.cumsum([len(c) for c in columns])[:-1])
     ):
         if flag.any():
             full = (np.uint64(block) << np.uint64(32)) | own[flag].astype(np.uint64)
@@ -202,7 +220,7 @@ def shared_entries(df: DataFrame, text: str, levels: np.ndarray, size: int) -> D
     found = stored(df.select(text).mapInArrow(_entries(shipped, blocks), _BATCH), "entries")
     none = F.lit(None).cast("binary").alias("rows")
     far = (
-        found.filter("block IS NOT NULL").select("batch", "block", "columns", "entries")
+        found.filter("block IS NOT NULL").select("batch", "block", "columns", "entries", "ranks")
         .groupBy("block").applyInArrow(_block, "batch long, shared binary, columns binary")
         .select("batch", none, "shared", "columns")
     )
@@ -218,45 +236,41 @@ def _side(rows: DataFrame, side: str, *names: str) -> DataFrame:
 def band_pairs(entries: DataFrame) -> DataFrame:
     """For every row the two rows that it most often has beside it in a column.
 
-    One is the row before it by size: columns are dealt by range, so one of very many rows
-    lies in several tasks. The other is the column's row with the fewest entries before it, as
-    an unchanged original has; it is found by partial aggregation.
+    One is the row before it by rank, the other the column's first row: it has the fewest
+    entries before the column, as an unchanged original has. Columns are dealt by range, so
+    one of very many rows lies in several tasks, each with a first row of its own.
     """
 
     def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last = head = None
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(4)]
-            if not len(rows[0]):
+            rows = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            if not rows.shape[1]:
                 continue
-            if last is not None:
-                rows = [np.concatenate([[x], y]) for x, y in zip(last, rows)]
-            last = [x[-1] for x in rows]
-            column, size, node, rank = rows
-            need = (4 * (size[1:] + size[:-1]) + 8) // 9
-            fit = (rank[1:] <= size[1:] - need) & (rank[:-1] <= size[:-1] - need)
-            same = (column[1:] == column[:-1]) & (node[1:] != node[:-1]) & fit
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[1:][same]), pa.array(node[:-1][same])], ["a", "b"])
-
-    def best(pairs: DataFrame) -> DataFrame:
-        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-        return counted.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-
-    ordered = entries.select("column", "size", "node", "rank").repartitionByRange(
-        "column", "size", "node")
-    beside = ordered.sortWithinPartitions("column", "size", "node").mapInArrow(
-        neighbours, "a long, b long")
-    first = F.min_by(F.struct("node", "size", "rank"), F.struct("rank", "node")).alias("y")
-    heads = stored(entries.groupBy("column").agg(first).select(
-        "column", *(F.col(f"y.{n}").alias(f"y_{n}") for n in ("node", "size", "rank"))), "heads")
-    under = (
-        _side(entries, "x", "node", "size", "rank").join(heads, "column")
-        .filter(f"x_node <> y_node AND {REACHES}")
-        .select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+            first = np.ones(rows.shape[1], bool)
+            first[1:] = rows[0, 1:] != rows[0, :-1]
+            before = np.roll(rows, 1, axis=1)
+            top = rows[:, np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
+            if last is not None and last[0] == rows[0, 0]:
+                before[:, 0] = last
+                top[:, rows[0] == rows[0, 0]] = head[:, None]
+            last, head = rows[:, -1], top[:, -1]
+            for kind, near in enumerate((before, top)):
+                need = (4 * (rows[2] + near[2]) + 8) // 9
+                fit = (rows[0] == near[0]) & (rows[3] != near[3]) & (
+                    rows[1] <= rows[2] - need) & (near[1] <= near[2] - need)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(fit.sum(), kind)), pa.array(rows[3, fit]),
+                     pa.array(near[3, fit])], ["kind", "a", "b"])
+
+    order = ("column", "rank", "size", "node")
+    pairs = (
+        entries.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+        .mapInArrow(neighbours, "kind long, a long, b long")
     )
-    both = best(beside).union(best(under))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    counted = pairs.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("kind", "a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def cross_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -282,8 +296,12 @@ def cross_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
                         F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole sets reach the bound, by counting their overlap."""
+def linked(df: DataFrame, text: str, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose whole sets reach the bound, by counting their overlap.
+
+    Only texts of sets in a pair are moved: they are picked out where they are read if the
+    keys are few, by a shuffle if not.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, windows = Words(), Windows()
@@ -299,22 +317,20 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    full = pairs.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(count, "a long, b long")
-
-
-def candidate_texts(df: DataFrame, text: str, rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """One text for each set with a shared entry: ``(node, text)``."""
-    nodes = entries.select("node").distinct()
+    pairs = stored(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = stored(
         rows.join(nodes, "node").groupBy("node").agg(F.min("text_key").alias("__key"))
         .groupBy("__key").agg(F.min("node").alias("node")), "wanted")
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
     keyed = df.select(F.xxhash64(text).alias("__key"), F.col(text).alias("text"))
-    return keyed.join(wanted, "__key").groupBy("node").agg(F.first("text").alias("text"))
+    texts = stored(keyed.join(wanted, "__key").groupBy("node").agg(F.first("text").alias("text")),
+                   "texts")
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    full = pairs.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+    return stored(full.mapInArrow(count, "a long, b long"), "links")
 
 
 def _classes(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -326,10 +342,9 @@ def _classes(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataF
     rows = found.filter("chunk IS NULL").select(
         F.col("number").alias("id"), "text_key", "n_shingles", "node")
     entries = stored(shared_entries(df, text, levels, size), "shared")
-    texts = stored(candidate_texts(df, text, rows, entries), "texts")
-    near = stored(linked(band_pairs(entries), texts), "links")
-    rest = cross_pairs(entries, components(near))
-    return rows, components(near.unionByName(stored(linked(rest, texts), "links")))
+    near = linked(df, text, rows, band_pairs(entries))
+    rest = linked(df, text, rows, cross_pairs(entries, components(near)))
+    return rows, components(near.unionByName(rest))
 
 
 def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
