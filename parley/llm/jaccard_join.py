@@ -12,15 +12,16 @@ bound are computed:
 * Pairs whose sizes differ by more than a fifth drop out before their overlap is counted.
 
 Overlaps are then counted on whole sets. What is wanted are the components of the link graph,
-so the product is taken in two parts: first a band (every row with its neighbour in a column
-and with the row that has the fewest entries before that column), whose links already join
-groups of near copies; then every remaining pair of rows in different components. Pairs within a component cannot change it and are never
+so the product is taken in two parts: first in passes over a band (every row with a neighbour
+of another component in a column), whose links join groups of near copies; then every
+remaining pair of rows in different components. Pairs within a component cannot change it and are never
 formed, so a group of n near copies costs n pairs, not n squared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ from parley.llm.common import (
 from parley.llm.components import components
 
 SHINGLE = 5
-# Columns are counted in this many cells for their order; 4 MB per task.
-CELL_BITS = 20
+# Columns are counted in this many cells for their order; a task sends 4 MB.
+CELL_BITS = 22
+# Passes of the band, each over what the ones before have not joined.
+BAND_PASSES = 3
 CHUNK = 1 << 16
 # Entries that a task holds at a time, and text bytes per block of columns.
 BATCH_ENTRIES = 500_000
@@ -88,15 +91,15 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
              pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-    for number, part in chunks(cells, CHUNK):
+    for number, part in chunks(np.minimum(cells, 255).astype(np.uint8), CHUNK):
         yield pa.RecordBatch.from_pylist([{"chunk": number, "data": part.tobytes()}], schema)
 
 
 def _levels(parts: DataFrame) -> np.ndarray:
     """The cells' counts on a logarithmic scale: one byte each."""
     counts = np.zeros(1 << CELL_BITS, np.int64)
-    for row in merged_chunks(parts, "int32", "int64", 2**62).collect():
-        counts[row.chunk * CHUNK :][:CHUNK] = np.frombuffer(row.data, np.int64)
+    for row in merged_chunks(parts, "uint8", "int32", 2**31 - 1).collect():
+        counts[row.chunk * CHUNK :][:CHUNK] = np.frombuffer(row.data, np.int32)
     return np.minimum(4 * np.log2(counts + 1), 255).astype(np.uint8)
 
 
@@ -233,55 +236,71 @@ def _side(rows: DataFrame, side: str, *names: str) -> DataFrame:
     return rows.select("column", *(F.col(n).alias(f"{side}_{n}") for n in names))
 
 
-def band_pairs(entries: DataFrame) -> DataFrame:
-    """For every row the two rows that it most often has beside it in a column.
+def labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Entries with their row's component: its own key before any link is known."""
+    if labels is None:
+        return entries.withColumn("component", F.col("node"))
+    rows = entries.join(labels, "node", "left")
+    return rows.withColumn("component", F.coalesce("component", "node"))
 
-    One is the row before it by rank, the other the column's first row: it has the fewest
+
+def band_pairs(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """For every row the two untried rows of other components most often beside it in a column.
+
+    One is the nearest before it by rank, the other the column's first row: it has the fewest
     entries before the column, as an unchanged original has. Columns are dealt by range, so
     one of very many rows lies in several tasks, each with a first row of its own.
     """
 
     def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = head = None
+        # Of the current column: its first row, and the last row before the current run of
+        # rows of one component.
+        last = head = prior = None
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy() for i in range(4)])
-            if not rows.shape[1]:
+            part = np.stack([batch.column(i).to_numpy() for i in range(5)])
+            n = part.shape[1]
+            if not n:
                 continue
-            first = np.ones(rows.shape[1], bool)
-            first[1:] = rows[0, 1:] != rows[0, :-1]
-            before = np.roll(rows, 1, axis=1)
-            top = rows[:, np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
-            if last is not None and last[0] == rows[0, 0]:
-                before[:, 0] = last
-                top[:, rows[0] == rows[0, 0]] = head[:, None]
-            last, head = rows[:, -1], top[:, -1]
-            for kind, near in enumerate((before, top)):
-                need = (4 * (rows[2] + near[2]) + 8) // 9
-                fit = (rows[0] == near[0]) & (rows[3] != near[3]) & (
-                    rows[1] <= rows[2] - need) & (near[1] <= near[2] - need)
+            places = np.arange(n)
+            first = np.ones(n, bool)
+            first[1:] = part[0, 1:] != part[0, :-1]
+            run = first.copy()
+            run[1:] |= part[4, 1:] != part[4, :-1]
+            top = part[:, np.maximum.accumulate(np.where(first, places, 0))]
+            start = np.maximum.accumulate(np.where(run, places, 0))
+            near = part[:, np.maximum(start - 1, 0)]
+            near[0, start == 0] = -1
+            if last is not None and last[0] == part[0, 0]:
+                top[:, part[0] == part[0, 0]] = head[:, None]
+                near[:, start == 0] = (prior if last[4] == part[4, 0] else last)[:, None]
+            last, head, prior = part[:, -1], top[:, -1], near[:, -1]
+            for kind, other in enumerate((near, top)):
+                need = (4 * (part[2] + other[2]) + 8) // 9
+                fit = (part[0] == other[0]) & (part[4] != other[4]) & (
+                    part[1] <= part[2] - need) & (other[1] <= other[2] - need)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(fit.sum(), kind)), pa.array(rows[3, fit]),
-                     pa.array(near[3, fit])], ["kind", "a", "b"])
+                    [pa.array(np.full(fit.sum(), kind)), pa.array(part[3, fit]),
+                     pa.array(other[3, fit])], ["kind", "a", "b"])
 
     order = ("column", "rank", "size", "node")
-    pairs = (
-        entries.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(neighbours, "kind long, a long, b long")
+    found = (
+        rows.select(*order, "component").repartitionByRange(*order)
+        .sortWithinPartitions(*order).mapInArrow(neighbours, "kind long, a long, b long")
     )
-    counted = pairs.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counted = found.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    if tried is not None:
+        both = tried.union(tried.select("b", "a"))
+        counted = counted.join(both, ["a", "b"], "left_anti")
     best = counted.groupBy("kind", "a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def cross_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs in one column that can reach the bound and lie in different components.
+def cross_pairs(rows: DataFrame, tried: DataFrame) -> DataFrame:
+    """All untried pairs in one column that can reach the bound, of different components.
 
     Per column the component with the most rows is set apart: pairs have at least one row of
     another component, so a column of one component gives none.
     """
-    rows = entries.join(labels, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    rows = stored(rows, "labelled")
     sizes = rows.groupBy("column", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("column").agg(
         F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component"))
@@ -292,8 +311,9 @@ def cross_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
     pairs = few.join(_side(mixed, "y", *names, "main"), "column").filter(
         f"""x_component <> y_component AND (y_component = y_main OR x_node < y_node)
         AND {REACHES}""")
-    return pairs.select(F.least("x_node", "y_node").alias("a"),
-                        F.greatest("x_node", "y_node").alias("b")).distinct()
+    pairs = pairs.select(F.least("x_node", "y_node").alias("a"),
+                         F.greatest("x_node", "y_node").alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def linked(df: DataFrame, text: str, rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -317,7 +337,6 @@ def linked(df: DataFrame, text: str, rows: DataFrame, pairs: DataFrame) -> DataF
                 keep.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    pairs = stored(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = stored(
         rows.join(nodes, "node").groupBy("node").agg(F.min("text_key").alias("__key"))
@@ -342,9 +361,16 @@ def _classes(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataF
     rows = found.filter("chunk IS NULL").select(
         F.col("number").alias("id"), "text_key", "n_shingles", "node")
     entries = stored(shared_entries(df, text, levels, size), "shared")
-    near = linked(df, text, rows, band_pairs(entries))
-    rest = linked(df, text, rows, cross_pairs(entries, components(near)))
-    return rows, components(near.unionByName(rest))
+    labels = tried = None
+    links: list[DataFrame] = []
+    for _ in range(BAND_PASSES):
+        pairs = stored(band_pairs(labelled(entries, labels), tried), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links.append(linked(df, text, rows, pairs))
+        labels = components(reduce(DataFrame.unionByName, links))
+    marked = stored(labelled(entries, labels), "labelled")
+    links.append(linked(df, text, rows, stored(cross_pairs(marked, tried), "pairs")))
+    return rows, components(reduce(DataFrame.unionByName, links))
 
 
 def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
