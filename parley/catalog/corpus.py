@@ -11,7 +11,7 @@ from parley.functions import text as tx
 from parley.functions.wordpiece import token_length_udf
 from parley.operators import audit, dedup, leakage, slices, splits, standardize, validation
 from parley.operators.rowindex import index_by_key
-from parley.settings import CUE_TERMS, MULTILABEL_LABELS
+from parley.settings import CUE_TERMS, EXPLICIT_TERMS, IDENTITY_TERMS, MULTILABEL_LABELS
 from parley.sinks import tables as out
 
 QUERIES, SQL = {}, {}
@@ -106,15 +106,16 @@ _flag_query(
     sql.has_repeated_punctuation("text"),
 )
 _flag_query("contains_all_caps_token", dt.contains_all_caps_token, sql.has_caps("text"))
-# The identity lexicon has no hit in the test texts, so this query searches the cue keywords.
-_CUES = tuple(c.keyword for c in CUE_TERMS)
+# The identity lexicon has no hit in the test texts, so the cue keywords are searched as well.
+_IDENTITY = IDENTITY_TERMS + tuple(c.keyword for c in CUE_TERMS)
 _flag_query(
-    "has_identity_term", lambda c: dt.contains_any_term(c, _CUES), sql.has_term("text", _CUES)
+    "has_identity_term", lambda c: dt.contains_any_term(c, _IDENTITY),
+    sql.has_term("text", _IDENTITY),
 )
 _flag_query(
     "has_explicit_toxic_term",
-    lambda c: dt.contains_any_term(c, ("idiot", "moron", "shit")),
-    sql.has_term("text", ("idiot", "moron", "shit")),
+    lambda c: dt.contains_any_term(c, EXPLICIT_TERMS),
+    sql.has_term("text", EXPLICIT_TERMS),
 )
 _flag_query("has_obfuscation", dt.has_obfuscation, sql.has_obfuscation("text"))
 _flag_query("missing_text", tx.is_blank, r"text IS NULL OR regexp_replace(text, '\s', '', 'g') = ''")
@@ -480,11 +481,11 @@ def capped_sample(spark, sf_dir):
 @query(
     "head_subset",
     f"WITH {sql.MAIN} SELECT split, sample_id FROM main QUALIFY row_number() OVER (PARTITION BY split ORDER BY sample_id) "
-    "<= CASE split WHEN 'train' THEN 20000 ELSE 30 END",
+    "<= CASE split WHEN 'train' THEN 20000 ELSE 3000 END",
 )
 def head_subset(spark, sf_dir):
     corpus = inputs.split_corpus(spark, sf_dir).select("split", "sample_id")
-    return splits.head_subset(corpus, {"train": 20000, "val": 30, "test": 30})
+    return splits.head_subset(corpus)
 
 
 # --- validation ---------------------------------------------------------------------------

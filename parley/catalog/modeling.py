@@ -56,14 +56,14 @@ def tfidf_vocab(spark, sf_dir):
 
 @query(
     "tfidf_weights",
-    f"WITH {_vocabulary(5000)}, idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)::DOUBLE) + 1 AS idf FROM vocabulary), "
+    f"WITH {_vocabulary(50000)}, idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)::DOUBLE) + 1 AS idf FROM vocabulary), "
     "raw AS (SELECT doc_id, term, (1 + ln(n::DOUBLE)) * idf AS w FROM long JOIN idf USING (term)), "
     "norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY doc_id) "
     "SELECT doc_id, term, round(w / norm, 6) AS weight FROM raw JOIN norm USING (doc_id)",
 )
 def tfidf_weights(spark, sf_dir):
     docs = inputs.documents(spark, sf_dir)
-    model = tfidf.fit_tfidf(docs, "text", max_features=5000)
+    model = tfidf.fit_tfidf(docs, "text")
     return rounded(tfidf.tfidf_long(docs, "doc_id", "text", model))
 
 
@@ -82,7 +82,7 @@ def _fitted(spark, sf_dir):
     train = tx.add_casefolded(clean, "text_clean", "text_tfidf").select(
         inputs.main_label().alias("binary_label"), "text_tfidf"
     )
-    return modeling.fit_logistic(staged(train, "train"), max_features=5000)
+    return modeling.fit_logistic(staged(train, "train"))
 
 
 @query("fit_logistic")
@@ -106,7 +106,7 @@ def train_evaluate(spark, sf_dir):
     corpus = staged(
         inputs.split_corpus(spark, sf_dir).select("split", "binary_label", "text_tfidf"), "model"
     )
-    return train_and_evaluate(corpus, max_features=5000).metrics
+    return train_and_evaluate(corpus).metrics
 
 
 _PREDICTED = (

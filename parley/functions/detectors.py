@@ -13,9 +13,6 @@ from parley.functions import patterns as rx
 from parley.functions.text import may_have_url
 
 
-# Above this length a search that may restart at every word is replaced by one reading.
-_LONG_TEXT = 4_000
-
 
 def _known(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False))
@@ -57,9 +54,7 @@ def any_score_at_least(columns: Sequence[str], threshold: float) -> Column:
 def has_inserted_symbols(text: Column) -> Column:
     """Letters, symbols, letters, symbols, letters as one word, as in ``b-a-d``."""
     ends = F.regexp_extract_all(F.concat(text, F.lit(" ")), F.lit(rx.ANY_CHAIN), F.lit(1))
-    return F.when(F.length(text) <= _LONG_TEXT, text.rlike(rx.INSERTED_SYMBOL)).otherwise(
-        F.exists(ends, lambda end: end != "")
-    )
+    return F.exists(ends, lambda end: end != "")
 
 
 def has_obfuscation(text: Column) -> Column:

@@ -38,16 +38,19 @@ class LinearScorer:
     intercept: float
 
     def __call__(self, df: DataFrame, text_column: str) -> DataFrame:
-        """Add ``toxic_probability``; rows are scored where they are, in built-in expressions."""
+        """Add ``toxic_probability``; rows are scored where they are, in built-in expressions.
+
+        Texts are case-folded first, as the texts were that the model is fitted on.
+        """
         weights = array_literal(self.coefficients)
         products = F.zip_with(
             F.col("tfidf.indices"), F.col("tfidf.weights"), lambda i, w: w * F.get(weights, i)
         )
         margin = F.aggregate(products, F.lit(self.intercept), lambda acc, x: acc + x)
         return (
-            self.features.weights(df, text_column)
+            self.features.weights(tx.add_casefolded(df, text_column, "__folded"), "__folded")
             .withColumn("toxic_probability", 1.0 / (1.0 + F.exp(-margin)))
-            .drop("tfidf")
+            .drop("tfidf", "__folded")
         )
 
     def save(self, spark: SparkSession, path: str) -> None:

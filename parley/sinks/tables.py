@@ -25,17 +25,23 @@ def write_both(df: DataFrame, path: str) -> None:
     write_csv(stored, f"{path}.csv")
 
 
+# Cells are written as they are, blanks at their edges included.
+CSV = {
+    "header": True, "quote": '"', "escape": '"', "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    df.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_split_tables(df: DataFrame, folder: str) -> None:
     """One pass writes all splits; readers of one split prune to its folder."""
     df.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/splits.parquet")
     stored = df.sparkSession.read.parquet(f"{folder}/splits.parquet")
-    stored.write.mode("overwrite").partitionBy("split").options(
-        header=True, quote='"', escape='"', emptyValue=""
-    ).csv(f"{folder}/splits.csv")
+    stored.write.mode("overwrite").partitionBy("split").options(**CSV).csv(
+        f"{folder}/splits.csv")
 
 
 def write_slice_tables(df: DataFrame, folder: str) -> None:
@@ -53,9 +59,8 @@ def simple_export(df: DataFrame) -> DataFrame:
 
 def export_simple(df: DataFrame, folder: str) -> None:
     """The hand-off table as CSV, one folder per split."""
-    simple_export(df).write.mode("overwrite").partitionBy("split").options(
-        header=True, quote='"', escape='"', emptyValue=""
-    ).csv(f"{folder}/simple.csv")
+    simple_export(df).write.mode("overwrite").partitionBy("split").options(**CSV).csv(
+        f"{folder}/simple.csv")
 
 
 def scored_outputs(
