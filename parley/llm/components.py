@@ -78,11 +78,14 @@ def components(edges: DataFrame) -> DataFrame:
     that are never more than at the start, stored so that a lost executor costs one round.
     Tasks contract their own edges first, so small graphs end in two rounds. A node with very
     many neighbours is one row per task in the aggregation; its join is left to Spark's split
-    of skewed partitions.
+    of skewed partitions. Edges that one task contracts at a time need no rounds: its stars are
+    the components. The edges should be a stored table, as they are read twice.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
-    edges = stored(edges.repartition("a").mapInArrow(_contract, "a long, b long"), "edges")
-    before = _state(edges)
+    one_task = edges.count() <= LOCAL_EDGES
+    dealt = edges.coalesce(1) if one_task else edges.repartition("a")
+    edges = stored(dealt.mapInArrow(_contract, "a long, b long"), "edges")
+    before = (0,) if one_task else _state(edges)
     while before[0]:
         edges = stored(_small_star(_large_star(edges)), "edges")
         after = _state(edges)

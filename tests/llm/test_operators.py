@@ -236,7 +236,9 @@ def test_jaccard_by_brute_force(spark, edge, empty):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "4", "5", "None"]
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("local_edges", [1_000_000, 50])
+def test_components_of_a_long_path(spark, monkeypatch, local_edges):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local_edges)
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901)], "a long, b long")
     rows = components.components(edges).collect()
     assert {(r.node, r.component) for r in rows} == {
