@@ -39,7 +39,7 @@ SHINGLE = 5
 # Columns are counted in this many cells for their order; a task sends 4 MB.
 CELL_BITS = 22
 # Passes of the band, each over what the ones before have not joined.
-BAND_PASSES = 3
+BAND_PASSES = 2
 CHUNK = 1 << 16
 # Entries that a task holds at a time, and text bytes per block of columns.
 BATCH_ENTRIES = 500_000
@@ -247,15 +247,15 @@ def labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
 def band_pairs(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
     """For every row the two untried rows of other components most often beside it in a column.
 
-    One is the nearest before it by rank, the other the column's first row: it has the fewest
-    entries before the column, as an unchanged original has. Columns are dealt by range, so
-    one of very many rows lies in several tasks, each with a first row of its own.
+    One is the column's first row: it has the fewest entries before the column, as an unchanged
+    original has. The other is the nearest before the row by rank; for it columns are dealt by
+    range, so one of very many rows lies in several tasks.
     """
 
     def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of the current column: its first row, and the last row before the current run of
-        # rows of one component.
-        last = head = prior = None
+        # Of the current column: its last row, and the last before the current run of rows of
+        # one component.
+        last = prior = None
         for batch in batches:
             part = np.stack([batch.column(i).to_numpy() for i in range(5)])
             n = part.shape[1]
@@ -266,28 +266,34 @@ def band_pairs(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
             first[1:] = part[0, 1:] != part[0, :-1]
             run = first.copy()
             run[1:] |= part[4, 1:] != part[4, :-1]
-            top = part[:, np.maximum.accumulate(np.where(first, places, 0))]
             start = np.maximum.accumulate(np.where(run, places, 0))
             near = part[:, np.maximum(start - 1, 0)]
             near[0, start == 0] = -1
             if last is not None and last[0] == part[0, 0]:
-                top[:, part[0] == part[0, 0]] = head[:, None]
                 near[:, start == 0] = (prior if last[4] == part[4, 0] else last)[:, None]
-            last, head, prior = part[:, -1], top[:, -1], near[:, -1]
-            for kind, other in enumerate((near, top)):
-                need = (4 * (part[2] + other[2]) + 8) // 9
-                fit = (part[0] == other[0]) & (part[4] != other[4]) & (
-                    part[1] <= part[2] - need) & (other[1] <= other[2] - need)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(fit.sum(), kind)), pa.array(part[3, fit]),
-                     pa.array(other[3, fit])], ["kind", "a", "b"])
+            last, prior = part[:, -1], near[:, -1]
+            need = (4 * (part[2] + near[2]) + 8) // 9
+            fit = (part[0] == near[0]) & (part[4] != near[4]) & (
+                part[1] <= part[2] - need) & (near[1] <= near[2] - need)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(fit.sum(), 0)), pa.array(part[3, fit]),
+                 pa.array(near[3, fit])], ["kind", "a", "b"])
 
     order = ("column", "rank", "size", "node")
-    found = (
+    near = (
         rows.select(*order, "component").repartitionByRange(*order)
         .sortWithinPartitions(*order).mapInArrow(neighbours, "kind long, a long, b long")
     )
-    counted = found.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    tops = rows.groupBy("column").agg(
+        F.min("rank").alias("rank"),
+        F.min_by(F.struct("size", "node", "component"), F.struct("rank", "size", "node"))
+        .alias("top"))
+    tops = tops.selectExpr("column", "rank AS y_rank", "top.size AS y_size", "top.node AS y_node",
+                           "top.component AS y_component")
+    top = _side(rows, "x", "node", "size", "rank", "component").join(tops, "column").filter(
+        f"x_component <> y_component AND {REACHES}").selectExpr(
+        "1L AS kind", "x_node AS a", "y_node AS b")
+    counted = near.union(top).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     if tried is not None:
         both = tried.union(tried.select("b", "a"))
         counted = counted.join(both, ["a", "b"], "left_anti")
@@ -316,11 +322,11 @@ def cross_pairs(rows: DataFrame, tried: DataFrame) -> DataFrame:
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def linked(df: DataFrame, text: str, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def linked(df: DataFrame, text: str, keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets reach the bound, by counting their overlap.
 
-    Only texts of sets in a pair are moved: they are picked out where they are read if the
-    keys are few, by a shuffle if not.
+    ``keys`` has the hash of one text of each set. Only texts of sets in a pair are moved: they
+    are picked out where they are read if the keys are few, by a shuffle if not.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,10 +343,8 @@ def linked(df: DataFrame, text: str, rows: DataFrame, pairs: DataFrame) -> DataF
                 keep.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stored(
-        rows.join(nodes, "node").groupBy("node").agg(F.min("text_key").alias("__key"))
-        .groupBy("__key").agg(F.min("node").alias("node")), "wanted")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    wanted = stored(keys.join(nodes, "node", "left_semi"), "wanted")
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
     keyed = df.select(F.xxhash64(text).alias("__key"), F.col(text).alias("text"))
@@ -360,16 +364,19 @@ def _classes(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataF
     levels = _levels(found.filter("chunk IS NOT NULL").select("chunk", "data"))
     rows = found.filter("chunk IS NULL").select(
         F.col("number").alias("id"), "text_key", "n_shingles", "node")
-    entries = stored(shared_entries(df, text, levels, size), "shared")
+    # Tasks with copies of one set each sent its entries: they are one row from here on.
+    entries = stored(shared_entries(df, text, levels, size).distinct(), "shared")
+    keys = stored(rows.filter("node IS NOT NULL").groupBy("node").agg(
+        F.min("text_key").alias("__key")), "keys")
     labels = tried = None
     links: list[DataFrame] = []
     for _ in range(BAND_PASSES):
         pairs = stored(band_pairs(labelled(entries, labels), tried), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links.append(linked(df, text, rows, pairs))
+        links.append(linked(df, text, keys, pairs))
         labels = components(reduce(DataFrame.unionByName, links))
     marked = stored(labelled(entries, labels), "labelled")
-    links.append(linked(df, text, rows, stored(cross_pairs(marked, tried), "pairs")))
+    links.append(linked(df, text, keys, stored(cross_pairs(marked, tried), "pairs")))
     return rows, components(reduce(DataFrame.unionByName, links))
 
 
