@@ -244,56 +244,89 @@ def labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.withColumn("component", F.coalesce("component", "node"))
 
 
+_BAND = "kind int, a long, b long, rank long, size long, component long"
+
+
+def _band(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows ``(column, rank, size, node, component)`` in the order of their columns.
+
+    Kind 0: a row and the nearest before it of another component. Kind 1: a row and its column's
+    first. The task's first column may have begun in another task, so its rows get no kind 1;
+    instead the first rows of the task's first (2) and last column (3) are told.
+    """
+    schema = pa.schema([("kind", pa.int32()), *(
+        (x, pa.int64()) for x in ("a", "b", "rank", "size", "component"))])
+
+    def pairs(kind: int, of: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+        need = (4 * (of[2] + other[2]) + 8) // 9
+        fit = (of[0] == other[0]) & (of[4] != other[4]) & (
+            of[1] <= of[2] - need) & (other[1] <= other[2] - need)
+        n = int(fit.sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, kind, np.int32)), pa.array(of[3, fit]), pa.array(other[3, fit]),
+             *[pa.nulls(n, pa.int64())] * 3], schema=schema)
+
+    def told(kind: int, row: np.ndarray) -> pa.RecordBatch:
+        column, rank, size, node, component = row.tolist()
+        return pa.RecordBatch.from_pylist([dict(
+            kind=kind, a=column, b=node, rank=rank, size=size, component=component)], schema)
+
+    # Of the current column: its first row, its last so far, and the last before the current
+    # run of rows of one component. And the task's first row.
+    top = last = prior = begin = None
+    for batch in batches:
+        part = np.stack([batch.column(i).to_numpy() for i in range(5)])
+        n = part.shape[1]
+        if not n:
+            continue
+        places = np.arange(n)
+        first = np.ones(n, bool)
+        first[1:] = part[0, 1:] != part[0, :-1]
+        run = first.copy()
+        run[1:] |= part[4, 1:] != part[4, :-1]
+        start = np.maximum.accumulate(np.where(run, places, 0))
+        near = part[:, np.maximum(start - 1, 0)]
+        near[0, start == 0] = -1
+        head = np.maximum.accumulate(np.where(first, places, 0))
+        tops = part[:, head]
+        if last is not None and last[0] == part[0, 0]:
+            near[:, start == 0] = (prior if last[4] == part[4, 0] else last)[:, None]
+            tops[:, head == 0] = top[:, None]
+        if begin is None:
+            begin = part[:, 0]
+            yield told(2, begin)
+        top, last, prior = tops[:, -1], part[:, -1], near[:, -1]
+        yield pairs(0, part, near)
+        whole = part[0] != begin[0]
+        yield pairs(1, part[:, whole], tops[:, whole])
+    if begin is not None and top[0] != begin[0]:
+        yield told(3, top)
+
+
 def band_pairs(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
     """For every row the two untried rows of other components most often beside it in a column.
 
     One is the column's first row: it has the fewest entries before the column, as an unchanged
-    original has. The other is the nearest before the row by rank; for it columns are dealt by
-    range, so one of very many rows lies in several tasks.
+    original has. The other is the nearest before the row by rank. Columns are dealt by range,
+    so one of very many rows lies in several tasks; the first rows of such columns, one per
+    task at most, are broadcast.
     """
-
-    def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of the current column: its last row, and the last before the current run of rows of
-        # one component.
-        last = prior = None
-        for batch in batches:
-            part = np.stack([batch.column(i).to_numpy() for i in range(5)])
-            n = part.shape[1]
-            if not n:
-                continue
-            places = np.arange(n)
-            first = np.ones(n, bool)
-            first[1:] = part[0, 1:] != part[0, :-1]
-            run = first.copy()
-            run[1:] |= part[4, 1:] != part[4, :-1]
-            start = np.maximum.accumulate(np.where(run, places, 0))
-            near = part[:, np.maximum(start - 1, 0)]
-            near[0, start == 0] = -1
-            if last is not None and last[0] == part[0, 0]:
-                near[:, start == 0] = (prior if last[4] == part[4, 0] else last)[:, None]
-            last, prior = part[:, -1], near[:, -1]
-            need = (4 * (part[2] + near[2]) + 8) // 9
-            fit = (part[0] == near[0]) & (part[4] != near[4]) & (
-                part[1] <= part[2] - need) & (near[1] <= near[2] - need)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(fit.sum(), 0)), pa.array(part[3, fit]),
-                 pa.array(near[3, fit])], ["kind", "a", "b"])
-
     order = ("column", "rank", "size", "node")
-    near = (
-        rows.select(*order, "component").repartitionByRange(*order)
-        .sortWithinPartitions(*order).mapInArrow(neighbours, "kind long, a long, b long")
-    )
-    tops = rows.groupBy("column").agg(
-        F.min("rank").alias("rank"),
-        F.min_by(F.struct("size", "node", "component"), F.struct("rank", "size", "node"))
-        .alias("top"))
-    tops = tops.selectExpr("column", "rank AS y_rank", "top.size AS y_size", "top.node AS y_node",
-                           "top.component AS y_component")
-    top = _side(rows, "x", "node", "size", "rank", "component").join(tops, "column").filter(
-        f"x_component <> y_component AND {REACHES}").selectExpr(
-        "1L AS kind", "x_node AS a", "y_node AS b")
-    counted = near.union(top).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    band = stored(
+        rows.select(*order, "component").repartitionByRange(*order).sortWithinPartitions(*order)
+        .mapInArrow(_band, _BAND).groupBy("kind", "a", "b").agg(
+            F.count(F.lit(1)).alias("n"),
+            *(F.first(x).alias(x) for x in ("rank", "size", "component"))), "band")
+    tops = band.filter("kind >= 2").groupBy(F.col("a").alias("column")).agg(
+        F.min("kind").alias("kind"), F.min("rank").alias("y_rank"),
+        F.min_by(F.struct("size", "b", "component"), F.struct("rank", "size", "b")).alias("top"),
+    ).filter("kind = 2").selectExpr("column", "y_rank", "top.size AS y_size", "top.b AS y_node",
+                                    "top.component AS y_component")
+    split = _side(rows, "x", "node", "size", "rank", "component").join(
+        F.broadcast(tops), "column").filter(f"x_component <> y_component AND {REACHES}").selectExpr(
+        "1 AS kind", "x_node AS a", "y_node AS b", "1L AS n")
+    counted = band.filter("kind < 2").select("kind", "a", "b", "n").union(split).groupBy(
+        "kind", "a", "b").agg(F.sum("n").alias("n"))
     if tried is not None:
         both = tried.union(tried.select("b", "a"))
         counted = counted.join(both, ["a", "b"], "left_anti")
