@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -188,6 +189,36 @@ def test_lm_scoring_by_brute_force(spark, edge, empty):
     assert lm_scoring.score_difference(empty.withColumn("t", F.lit(True)), "text", "t").count() == 0
 
 
+def test_lm_scoring_counts_every_ngram(spark):
+    """More pairs than any fixed small table holds, in several batches, against plain dicts."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 2000) % 40_000) for _ in range(150)]
+    docs = spark.createDataFrame(
+        [(i, t, i % 4 == 0) for i, t in enumerate(texts + [texts[0], None])],
+        "doc_id long, text string, t boolean").repartition(3)
+    single, both = ({True: Counter(), False: Counter()} for _ in range(2))
+    for i, text in enumerate(texts + [texts[0]]):
+        words = text.split()
+        for k in {False, i % 4 == 0}:  # False: the background, of all documents
+            single[k].update(words)
+            both[k].update(zip(words, words[1:]))
+    assert len(both[False]) > 100_000
+    size = len(single[False])
+
+    def loss(words, k):
+        p = {w: (single[k][w] + 100 / size) / (single[k].total() + 100) for w in set(words)}
+        pairs = zip(words, words[1:])
+        return -(np.log(p[words[0]]) + sum(
+            np.log((both[k][a, b] + 4 * p[b]) / (single[k][a] + 4)) for a, b in pairs)) / len(words)
+
+    rows = {r.doc_id: r for r in lm_scoring.score_difference(docs, "text", "t").collect()}
+    assert len(rows) == 152 and rows[151].n_tokens == 0 == rows[151].score
+    for i in (0, 1, 77, 148, 150):
+        words = (texts + [texts[0]])[i].split()
+        assert rows[i].target_loss == pytest.approx(loss(words, True), rel=1e-9)
+        assert rows[i].background_loss == pytest.approx(loss(words, False), rel=1e-9)
+
+
 def test_substring_dedup_edge_cases(spark, edge, empty):
     rows = {r.doc_id: r for r in substring_dedup.remove_repeats(edge, "text").collect()}
     assert rows[4].n_removed == rows[4].n_words == 54_000 and rows[4].kept == ""
