@@ -69,7 +69,8 @@ class Tokens:
     """Ids of the byte-level BPE: the same vocabulary as ranks, read by the faster library.
 
     Texts that hold the special token's string go through the file's own tokenizer, which
-    treats that string as one id.
+    treats that string as one id, and so do texts on which the faster library gives up: its
+    pattern runs out of stack on some million blanks or line feeds in a row.
     """
 
     def __init__(self, path: str) -> None:
@@ -87,9 +88,13 @@ class Tokens:
     def of(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if self.special in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+        if self.special not in text:
+            try:
+                ids = self.fast.encode_to_numpy(text, disallowed_special=())
+                return ids.astype(np.uint32, copy=False)
+            except Exception:  # whatever stops it, the file's own tokenizer decides
+                pass
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def token_pieces(

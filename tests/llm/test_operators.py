@@ -135,6 +135,21 @@ def test_packing_round_trip(spark, edge, empty):
     assert packing.best_fit_packing(empty, "doc_id", "text", path).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_packing_of_a_very_long_blank_run(spark, blank):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    text = "a" + blank * 2_000_000 + "b"
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    rows = packing.token_pieces(docs, "doc_id", "text", path).collect()
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [2]
+    own = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == 1)
+    assert sum(x[1] for x in own) == len(ids) and any(r.doc_id == 2 for r in rows)
+    for start, length, crc in own:
+        assert zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()) == crc
+
+
 def test_pack_is_close_to_the_bound():
     sizes = np.sort(np.random.default_rng(3).integers(1, 1024, 5000))[::-1]
     _, _, used = packing.pack(sizes)
