@@ -26,8 +26,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate in their source."""
-    rows = drop_boilerplate(docs, "source", "text")
+    """All documents, without the lines that are boilerplate in their source.
+
+    The ratio decides at every size of a source: a line need only be repeated at all.
+    """
+    rows = drop_boilerplate(docs, "source", "text", min_pages=2)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

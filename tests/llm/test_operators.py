@@ -112,6 +112,16 @@ def test_line_dedup_edge_cases(spark, edge, empty):
     assert line_dedup.drop_boilerplate(empty, "source", "text").count() == 0
 
 
+@pytest.mark.parametrize("pages", [2, 4, 10, 50])
+def test_pipeline_drops_boilerplate_of_small_hosts(spark, sf, pages):
+    shared = max(2, pages // 12)  # fewer than five pages, but over the ratio
+    docs = spark.createDataFrame(
+        [(i, f"own line {i}" + "\nmenu of the site" * (i < shared), "en", "h", 1)
+         for i in range(pages)], SCHEMA)
+    rows = corpus_pipeline.line_dedup(spark, docs, sf).collect()
+    assert sorted(r.text for r in rows) == sorted(f"own line {i}" for i in range(pages))
+
+
 def test_packing_round_trip(spark, edge, empty):
     path = packing.tokenizer_path()
     rows = packing.best_fit_packing(edge, "doc_id", "text", path, group_pieces=4).collect()
