@@ -124,7 +124,7 @@ def validate_dataset(
     ]
     drifted = drift.filter("exceeds_limit").orderBy("split").collect()
     if drifted:
-        listed = ", ".join(f"{r['split']} {r['drift']}" for r in drifted)
+        listed = ", ".join(f"{r['split']} {r['drift']:.6f}" for r in drifted)
         warnings.append(
             (source, "label_drift",
              f"{source} label-ratio drift across splits exceeds {settings.drift_limit}: {listed}.")

@@ -4,6 +4,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from parley import catalog
+from parley.catalog import inputs
 from parley.errors import SchemaError, ValidationError
 from parley.functions import labels as lb
 from parley.operators import audit, dedup, leakage, metrics, slices, splits, tfidf, validation
@@ -196,6 +198,17 @@ def test_drift_and_small_splits(spark):
     assert [tuple(r) for r in validation.small_splits(by_split).collect()] == [("b", 50)]
 
 
+def test_validate_dataset_returns_drift_warnings(spark, sf, monkeypatch):
+    split = F.when(F.col("binary_label") == 1, "val").otherwise("train")
+    drifting = inputs.split_corpus(spark, sf).withColumn("split", split).cache()
+    monkeypatch.setattr(inputs, "split_corpus", lambda *_: drifting)
+    found = [r for r in catalog.QUERIES["validate_dataset"](spark, sf).collect() if r["code"] == "label_drift"]
+    share = drifting.agg(F.avg("binary_label")).first()[0]
+    assert [tuple(r) for r in found] == [(
+        "multilabel", "label_drift", "multilabel label-ratio drift across splits exceeds 0.03: "
+        f"train {share:.6f}, val {1 - share:.6f}.")]
+
+
 TRAIN = [("you are an idiot idiot", 1), ("what an idiot", 1), ("lovely day today", 0), ("a lovely idea", 0), ("lovely lovely people", 0)]
 
 
