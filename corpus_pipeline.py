@@ -29,8 +29,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate in their source.
 
     The ratio decides at every size of a source: a line need only be repeated at all.
+    Copies of one text count as one page, so that one of them is left for the next stage.
     """
-    rows = drop_boilerplate(docs, "source", "text", min_pages=2)
+    rows = drop_boilerplate(docs, "source", "text", min_pages=2, copies=False)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -26,19 +26,25 @@ def _has_word(line: Column) -> Column:
 
 
 def boilerplate_lines(
-    df: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES
+    df: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    copies: bool = True,
 ) -> DataFrame:
     """``(host, line)`` hashes whose page share in the host exceeds the ratio.
 
     A page counts once per line. Both counts are added up within tasks before they are
-    shuffled, so a hot host or line costs one row per task.
+    shuffled, so a hot host or line costs one row per task. Without ``copies`` all pages of one
+    host and text count as one page, in the lines' counts and in the host's.
     """
     pages = df.select(
+        *row_key(host, text),
         F.xxhash64(host).alias("__host"),
         F.array_distinct(
             F.transform(F.filter(_lines(F.col(text)), _has_word), lambda x: F.xxhash64(x))
         ).alias("__lines"),
     )
+    if not copies:
+        pages = pages.groupBy("__k1", "__k2").agg(
+            F.first("__host").alias("__host"), F.first("__lines").alias("__lines"))
     totals = pages.groupBy("__host").agg(F.count(F.lit(1)).alias("__total"))
     counts = (
         pages.select("__host", F.explode("__lines").alias("__line"))
@@ -50,7 +56,8 @@ def boilerplate_lines(
 
 
 def drop_boilerplate(
-    df: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES
+    df: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    copies: bool = True,
 ) -> DataFrame:
     """Replace ``text`` by its kept lines and add ``n_lines`` and ``n_dropped`` (long).
 
@@ -60,7 +67,7 @@ def drop_boilerplate(
     are kept as they are. The names ``n_lines``, ``n_dropped`` and those that begin with two
     underscores must be free.
     """
-    pairs = stored(boilerplate_lines(df, host, text, ratio, min_pages), "boilerplate")
+    pairs = stored(boilerplate_lines(df, host, text, ratio, min_pages, copies), "boilerplate")
     k1, k2 = row_key(host, text)
     keyed = df.withColumns({"__k1": k1, "__k2": k2})
     lines = keyed.select(

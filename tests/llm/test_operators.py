@@ -122,6 +122,13 @@ def test_pipeline_drops_boilerplate_of_small_hosts(spark, sf, pages):
     assert sorted(r.text for r in rows) == sorted(f"own line {i}" for i in range(pages))
 
 
+def test_pipeline_keeps_the_lines_of_exact_copies(spark, sf):
+    texts = ["clean line one\nclean line two"] * 8 + [f"menu\nown {i}" for i in range(4)]
+    docs = spark.createDataFrame([(i, t, "en", "h", 1) for i, t in enumerate(texts)], SCHEMA)
+    rows = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, sf).collect()}
+    assert [rows[i] for i in range(12)] == texts[:8] + [f"own {i}" for i in range(4)]
+
+
 def test_packing_round_trip(spark, edge, empty):
     path = packing.tokenizer_path()
     rows = packing.best_fit_packing(edge, "doc_id", "text", path, group_pieces=4).collect()
