@@ -3,12 +3,12 @@
 import corpus_pipeline
 from parley.llm import (
     classifier, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_rules,
-    sharding, substring_dedup, warc,
+    sharding, source_divergence, substring_dedup, warc,
 )
 
 _PARTS = (
     sharding, quality_rules, warc, line_dedup, packing, lm_scoring, decontamination, classifier,
-    substring_dedup, jaccard_join,
+    substring_dedup, jaccard_join, source_divergence,
 )
 QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 QUERIES["pipeline"] = corpus_pipeline.run
