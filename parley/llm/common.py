@@ -44,6 +44,14 @@ def crc32_of_id(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one where ``df`` has it (names differ by more than case)."""
+    taken = {n.lower() for n in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Blank-separated words in UTF-8; none for a null text."""
     return utf8(text).split()

@@ -23,16 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import MEMO_WORDS, crc32_of_id, received, ship, stored, table
+from parley.llm.common import MEMO_WORDS, crc32_of_id, received, ship, stored, table, unused
 
 # Bound on labelled rows that the model is fitted on, one per id, and on their length.
 SAMPLE_ROWS = 30_000
 SAMPLE_CHARS = 200_000
 # Bound on the model's features. A feature needs so many documents, and so many standard
 # deviations more toxic ones than chance gives it.
-MAX_FEATURES = 4_000
+MAX_FEATURES = 6_000
 LEAST_DOCS = 4
-LEAST_DEVIATIONS = 4.0
+LEAST_DEVIATIONS = 3.0
 # Word beginnings of so many characters are features beside the whole word.
 BEGINNINGS = (3, 4, 5, 6)
 THRESHOLD = 0.5
@@ -331,12 +331,11 @@ def fit(df: DataFrame, id_column: str, text: str, labels: DataFrame, label: str
 def score_documents(df: DataFrame, id_column: str, text: str, model: Model | None,
                     threshold: float = THRESHOLD) -> DataFrame:
     """Add ADDED to every row; columns of the caller that have these names give way to them."""
-    kept = [i for i, n in enumerate(df.columns) if n.lower() not in ADDED]
-    types = [df.schema[i].dataType.simpleString() for i in kept]
-    rows = df.select(*df.columns, F.col(text).cast("string").alias("__text"),
-                     held_out(id_column).alias("__held_out"))
+    names = [n for n in df.columns if n.lower() not in ADDED]
+    texts, held = unused(df, "__text"), unused(df, "__held_out")
+    rows = df.select(*(f"`{n}`" for n in names), held_out(id_column).alias(held),
+                     F.col(text).cast("string").alias(texts))
     shared = ship(df.sparkSession, model)
-    names = [df.columns[i] for i in kept]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = received(shared)
@@ -345,13 +344,12 @@ def score_documents(df: DataFrame, id_column: str, text: str, model: Model | Non
             scores = np.zeros(batch.num_rows)
             if known:
                 scores[:] = [known.document(scorer.harm(t)) if t else 0.0
-                             for t in batch.column(batch.num_columns - 2).to_pylist()]
+                             for t in batch.column(texts).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in kept), batch.column(batch.num_columns - 1),
-                 pa.array(scores, pa.float64()), pa.array(scores >= threshold).cast(pa.int32())],
-                [*names, *ADDED])
+                [*batch.columns[:-1], pa.array(scores, pa.float64()),
+                 pa.array(scores >= threshold).cast(pa.int32())], [*names, *ADDED])
 
-    fields = "".join(f"`{n}` {t}, " for n, t in zip(names, types))
+    fields = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in names)
     return rows.mapInArrow(run, f"{fields}held_out boolean, score double, predicted int")
 
 
