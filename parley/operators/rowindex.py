@@ -1,7 +1,7 @@
-"""Contiguous row numbers without a global window.
+"""Contiguous row numbers without a global window, at any distribution of the keys.
 
-All recipes number rows inside blocks of bounded size and add per-block offsets, so the only
-unpartitioned step is a running sum over the small block table.
+A row's number is its place in its file, split or sorted part plus the rows of those before, so
+the only unpartitioned step is a running sum over one row per file, split or part.
 """
 
 from __future__ import annotations
@@ -13,35 +13,53 @@ from pyspark.sql import functions as F
 
 from parley.session import scratch_path, staged
 
-# A block holds at most 2**20 distinct integer keys.
-BLOCK_BITS = 20
-# Split tables up to this size (some 20 MB) are broadcast; larger ones are joined by shuffling.
-BROADCAST_SPLITS = 100_000
+# Tables of files or splits up to this size (some 20 MB) are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 100_000
 
 
-def _running_offsets(sizes: DataFrame, order: Sequence[str]) -> DataFrame:
+def running_offsets(sizes: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``__offset``, the ``__rows`` of all rows before. ``sizes`` has one row per file, file
+    split or sorted part: the only table that a single task sees whole."""
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn("__offset", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
 
 
+def with_small_table(rows: DataFrame, small: DataFrame, keys: Sequence[str],
+                     in_order: bool = False) -> DataFrame:
+    """Join a stored table of one row per file, split or part.
+
+    It is broadcast up to BROADCAST_ROWS rows and shuffled beyond. ``in_order`` keeps each key's
+    rows together and in the order in which they are read.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), list(keys))
+    if not in_order:
+        return rows.join(small, list(keys))
+    placed = rows.withColumn("__at", F.monotonically_increasing_id())
+    return (
+        placed.join(small.hint("merge"), list(keys)).repartition(*keys)
+        .sortWithinPartitions(*keys, "__at").drop("__at")
+    )
+
+
 def index_by_key(df: DataFrame, key: str, out: str, start: int = 0) -> DataFrame:
-    """Number rows in the order of a unique integer key.
+    """Number rows in the order of a unique key, whatever its values are."""
+    return index_by_order(df, [F.col(key)], out, start)
+
+
+def number_parquet_rows(df: DataFrame, out: str, start: int = 0) -> DataFrame:
+    """Number the rows of Parquet files, in file name and file order, without rewriting them.
 
-    A block is a range of 2**20 key values: it can never hold more rows than that, whatever the
-    data, and the block table has one row per occupied range.
+    ``df`` must be a direct file read: the format knows each row's place in its file.
     """
-    # Both uses below share this exchange, so ``df`` is computed once.
-    blocks = df.withColumn(
-        "__block", F.shiftright(F.col(key).cast("long"), BLOCK_BITS)
-    ).repartition("__block")
-    sizes = blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("__rows"))
-    offsets = _running_offsets(sizes, ["__block"]).drop("__rows")
-    rank = F.row_number().over(Window.partitionBy("__block").orderBy(key)) - 1
+    rows = df.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__rows"))
+    offsets = staged(running_offsets(sizes, ["__file"]).drop("__rows"), "files")
     return (
-        blocks.withColumn("__rank", rank)
-        .join(offsets, "__block")
-        .withColumn(out, (F.col("__offset") + F.col("__rank") + start).cast("long"))
-        .drop("__block", "__rank", "__offset")
+        with_small_table(rows, offsets, ["__file"])
+        .withColumn(out, (F.col("__offset") + F.col("__row") + start).cast("long"))
+        .drop("__file", "__row", "__offset")
     )
 
 
@@ -69,12 +87,10 @@ def number_file_rows(df: DataFrame, out: str, start: int = 0, generate: Column |
         ),
         "splits",
     )
-    offsets = _running_offsets(splits, ["__file", "__split"]).drop("__rows")
-    if splits.count() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
+    offsets = staged(running_offsets(splits, ["__file", "__split"]).drop("__rows"), "offsets")
     number = F.col("__id") - F.col("__first") + F.col("__offset") + start
     return (
-        rows.join(offsets, ["__file", "__split"])
+        with_small_table(rows, offsets, ["__file", "__split"])
         .withColumn(out, number.cast("long"))
         .drop("__id", "__first", "__offset", "__split", "__file")
     )
@@ -101,9 +117,9 @@ def index_by_order(df: DataFrame, order: Sequence[Column], out: str, start: int
         )
     )
     sizes = rows.groupBy("__part", "__chunk").agg(F.count(F.lit(1)).alias("__rows"))
-    offsets = _running_offsets(sizes, ["__part", "__chunk"]).drop("__rows")
+    offsets = staged(running_offsets(sizes, ["__part", "__chunk"]).drop("__rows"), "offsets")
     return (
-        rows.join(offsets, ["__part", "__chunk"])
+        with_small_table(rows, offsets, ["__part", "__chunk"])
         .withColumn(out, (F.col("__offset") + F.col("__row") + start).cast("long"))
         .drop("__part", "__chunk", "__row", "__offset")
     )

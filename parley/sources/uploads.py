@@ -12,6 +12,7 @@ from parley.errors import UploadError
 from parley.functions import text as tx
 from parley.operators.rowindex import number_file_rows
 from parley.settings import UPLOAD_TEXT_CANDIDATES
+from parley.sources.records import CsvTable, read_csv
 
 _BOM = "\\A\\x{FEFF}"
 # Line ends other than CR and LF.
@@ -22,19 +23,24 @@ def file_type(path: str) -> str:
     for kind in ("csv", "txt"):
         if path.lower().endswith(f".{kind}"):
             return kind
-    raise UploadError("Unsupported file type. Please upload a CSV or TXT file.")
+    raise UploadError(f"Only CSV and TXT files can be read, not {path!r}.")
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text; nothing is read as missing."""
-    df = spark.read.options(
-        header=True, multiLine=True, quote='"', escape='"', enforceSchema=False
-    ).csv(path)
-    if not df.columns:
-        raise UploadError("The uploaded CSV is empty.")
-    first = df.columns[0]
-    clean = first.lstrip(chr(0xFEFF))
-    return df if clean == first else df.withColumnRenamed(first, clean)
+def _read_csv(spark: SparkSession, path: str) -> CsvTable:
+    """All cells as text; nothing is read as missing, and one malformed row refuses the file."""
+    table = read_csv(spark, path)
+    if not table.columns:
+        raise UploadError("This CSV has no header.")
+    bad = table.malformed().agg(F.min(F.struct("line", "problem")).alias("first")).first().first
+    if bad is not None:
+        raise UploadError(f"The CSV cannot be read: line {bad.line} has {bad.problem}.")
+    return table
+
+
+def _check_content(spark: SparkSession, path: str) -> None:
+    text = F.make_valid_utf8("value")
+    if spark.read.text(path).filter(~tx.is_blank(F.regexp_replace(text, _BOM, ""))).isEmpty():
+        raise UploadError("The file is empty.")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -59,16 +65,17 @@ def guess_text_column(columns: list[str]) -> str | None:
 def upload_inspect(spark: SparkSession, path: str) -> DataFrame:
     """One row: file type, columns, guessed text column, number of usable comments."""
     kind = file_type(path)
+    _check_content(spark, path)
     if kind == "txt":
         columns, guess = [], None
         source = _lines(spark, path).select("text")
         usable = ~tx.is_blank(F.col("text"))
     else:
-        source = _read_csv(spark, path)
-        columns = source.columns
+        table = _read_csv(spark, path)
+        columns, source = list(table.columns), table.records
         guess = guess_text_column(columns)
-        checked = [guess] if guess else columns
-        usable = reduce(or_, [~tx.is_blank(F.col(f"`{c}`")) for c in checked])
+        checked = [table.cell(guess)] if guess else [table.cell(c) for c in columns]
+        usable = reduce(or_, [~tx.is_blank(c) for c in checked])
     return source.agg(F.count_if(usable).alias("valid_comment_count")).select(
         F.lit(kind).alias("file_type"),
         F.lit(",".join(columns)).alias("columns"),
@@ -81,17 +88,17 @@ def upload_csv_comments(
     spark: SparkSession, path: str, text_column: str | None = None
 ) -> DataFrame:
     """``(row_id, text)``: data rows numbered from 1, then blank ones dropped."""
-    df = _read_csv(spark, path)
-    if len(df.columns) == 1:
-        chosen = df.columns[0]
+    table = _read_csv(spark, path)
+    if len(table.columns) == 1:
+        chosen = table.columns[0]
     elif not text_column:
-        raise UploadError("Please select the CSV column that contains comment text.")
-    elif text_column not in df.columns:
-        raise UploadError(f"Column '{text_column}' was not found in the uploaded CSV.")
+        raise UploadError("Name the CSV column that has the comments.")
+    elif text_column not in table.columns:
+        raise UploadError(f"The CSV has no column {text_column!r}.")
     else:
         chosen = text_column
-    rows = number_file_rows(df.select(F.col(f"`{chosen}`").alias("text")), "row_id", start=1)
-    return _usable(rows)
+    return _usable(table.records.select(
+        (F.col("number") + 1).alias("row_id"), table.cell(chosen).alias("text")))
 
 
 def upload_txt_comments(spark: SparkSession, path: str) -> DataFrame:
@@ -107,10 +114,12 @@ def _usable(rows: DataFrame) -> DataFrame:
 
 def parse_upload(spark: SparkSession, path: str, text_column: str | None = None) -> DataFrame:
     """Comments of an upload of either type; an upload without comments is an error."""
-    if file_type(path) == "txt":
+    kind = file_type(path)
+    _check_content(spark, path)
+    if kind == "txt":
         comments = upload_txt_comments(spark, path)
     else:
         comments = upload_csv_comments(spark, path, text_column)
     if comments.isEmpty():
-        raise UploadError("No valid comments were found in the uploaded file.")
+        raise UploadError("The file has no comment that is not blank.")
     return comments

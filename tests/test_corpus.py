@@ -290,3 +290,26 @@ def test_schema_error_lists_columns(spark, tmp_path):
     df, schema = load_scored_optional(spark, str(tmp_path / "s.csv"))
     assert (schema.text_column, schema.label_column, schema.identity_columns) == ("comment_text", "target", ("white",))
     assert tuple(df.first()) == (0, None, "0.7", None)
+
+
+def test_malformed_corpus_rows_fail_or_are_counted(spark, tmp_path):
+    from parley.settings import MULTILABEL_LABELS
+    from parley.sources.corpus import batch_score_csv, load_multilabel, load_scored_optional
+
+    head = "comment_text," + ",".join(MULTILABEL_LABELS)
+    (tmp_path / "m.csv").write_text(f'{head}\n"a\nb",1,0,0,0,0,0\nc,1,0,0,0,0,0,9\nd,0\n')
+    with pytest.raises(SchemaError, match="1 malformed rows, the first on line 4"):
+        load_multilabel(spark, str(tmp_path / "m.csv"))
+    warnings = []
+    rows = load_multilabel(spark, str(tmp_path / "m.csv"), on_malformed="drop", warnings=warnings)
+    got = [(r.source_row_index, r.comment_text, r.toxic, r.threat) for r in rows.orderBy("source_row_index").collect()]
+    assert got == [(0, "a\nb", "1", "0"), (2, "d", "0", None)]
+    ((source, code, message),) = warnings
+    assert (source, code) == ("multilabel", "malformed_rows") and "line 4" in message
+    (tmp_path / "s.csv").write_text("text,toxicity\nx,0.5\ny,0.1,z\n")
+    with pytest.raises(SchemaError, match="malformed"):
+        load_scored_optional(spark, str(tmp_path / "s.csv"))
+    with pytest.raises(SchemaError, match="malformed"):
+        batch_score_csv(spark, str(tmp_path / "s.csv"), inputs.length_scorer)
+    scored = batch_score_csv(spark, str(tmp_path / "s.csv"), inputs.length_scorer, on_malformed="drop")
+    assert [r.text for r in scored.collect()] == ["x"]

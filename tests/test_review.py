@@ -100,7 +100,7 @@ def test_csv_upload(spark, tmp_path):
     assert pairs(uploads.parse_upload(spark, path, "Comment")) == [(1, "first"), (3, 'two\nlines "q"'), (4, "NA")]
     row = uploads.upload_inspect(spark, path).first()
     assert tuple(row) == ("csv", "id,Comment", "Comment", 3)
-    for column, message in ((None, "select"), ("nope", "was not found")):
+    for column, message in ((None, "Name the CSV column"), ("nope", "no column 'nope'")):
         with pytest.raises(UploadError, match=message):
             uploads.parse_upload(spark, path, column)
     single = upload(tmp_path, "b.csv", b"anything\nx\ny\n")
@@ -108,12 +108,26 @@ def test_csv_upload(spark, tmp_path):
     other = upload(tmp_path, "c.csv", b"p,q\n,\n1,\n")
     assert tuple(uploads.upload_inspect(spark, other).first()) == ("csv", "p,q", None, 1)
     blank = upload(tmp_path, "d.csv", b"t\n \n")
-    with pytest.raises(UploadError, match="No valid"):
+    with pytest.raises(UploadError, match="no comment"):
         uploads.parse_upload(spark, blank)
-    with pytest.raises(UploadError, match="Unsupported"):
+    with pytest.raises(UploadError, match="Only CSV and TXT"):
         uploads.parse_upload(spark, "x.pdf")
 
 
+def test_malformed_and_empty_uploads(spark, tmp_path):
+    path = upload(tmp_path, "a.csv", b'id,text\n0,"two\nlines"\n1,hello,world,more\n')
+    for read in (lambda: uploads.parse_upload(spark, path, "text"), lambda: uploads.upload_inspect(spark, path)):
+        with pytest.raises(UploadError, match="line 4 has more cells"):
+            read()
+    short = upload(tmp_path, "b.csv", b"id,text\n1\n2,hello\n")
+    assert pairs(uploads.parse_upload(spark, short, "text")) == [(2, "hello")]
+    for name, data in (("c.csv", b""), ("d.csv", b" \n\t\r\n"), ("e.txt", b"\xef\xbb\xbf\n \n")):
+        empty = upload(tmp_path, name, data)
+        for read in (uploads.parse_upload, uploads.upload_inspect):
+            with pytest.raises(UploadError, match="is empty"):
+                read(spark, empty)
+
+
 def test_txt_upload(spark, tmp_path):
     data = b"\xef\xbb\xbf one \r\n\r\ntwo\xe2\x80\xa8three\x0b\nbad \xff byte\n"
     path = upload(tmp_path, "a.txt", data)
