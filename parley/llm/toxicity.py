@@ -28,11 +28,13 @@ from parley.llm.common import MEMO_WORDS, crc32_of_id, received, ship, stored, t
 # Bound on labelled rows that the model is fitted on, one per id, and on their length.
 SAMPLE_ROWS = 30_000
 SAMPLE_CHARS = 200_000
-# Bound on the model's features. A feature needs so many documents, and so many standard
-# deviations more toxic ones than chance gives it.
+# Bound on the model's features. A feature needs so many documents, so many standard deviations
+# more toxic ones than chance gives it, and so many times the usual share of toxic ones: common
+# words that lean a little to one side would fill the sentences and say nothing.
 MAX_FEATURES = 6_000
 LEAST_DOCS = 4
 LEAST_DEVIATIONS = 3.0
+LEAST_LIFT = 2.0
 # Word beginnings of so many characters are features beside the whole word.
 BEGINNINGS = (3, 4, 5, 6)
 THRESHOLD = 0.5
@@ -288,7 +290,8 @@ def choose_features(sample: DataFrame, most: int = MAX_FEATURES) -> list[int]:
         sample.select("toxic", "text").mapInArrow(_count_features, "feature long, n long, n_toxic long")
         .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
         .filter(F.col("n") >= LEAST_DOCS).withColumn("deviations", deviations)
-        .filter(F.col("deviations") >= LEAST_DEVIATIONS)
+        .filter((F.col("deviations") >= LEAST_DEVIATIONS)
+                & (F.col("n_toxic") >= LEAST_LIFT * rate * F.col("n")))
         .orderBy(F.desc("deviations"), "feature").limit(most).collect()
     )
     return [r.feature for r in rows]
