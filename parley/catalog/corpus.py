@@ -77,17 +77,41 @@ _text_query(
 )
 
 
+# Word pieces of several letters in four languages, and the single characters below; digits
+# are left out, so that words with digits are unknown.
+_PIECES = (
+    "the", "and", "ing", "tion", "ation", "th", "he", "er", "ou", "an", "in", "on", "re", "ed", "en", "sch", "ch", "che",
+    "chen", "lich", "keit", "heit", "ung", "ver", "der", "die", "que", "qu", "ment", "mente", "eau", "aux", "cion", "ado",
+    "os", "es", "la", "el", "ll", "st", "ti", "et", "le", "pa", "pe", "tr", "tre", "treon", "user", "mail", "br", "div", "href",
+)
+_LETTERS = tuple("abcdefghijklmnopqrstuvwxyzß") + tuple(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _piece_pattern() -> str:
+    """The pieces as alternatives, longest first: a pattern takes the first that fits."""
+    longest = sorted(_PIECES, key=len, reverse=True)
+    letters = "".join("\\" + c if not c.isalnum() else c for c in _LETTERS).replace("'", "''")
+    return "|".join(longest) + f"|[{letters}]"
+
+
+_MARKS = r"\p{P}$+<=>^`|~"
+_HAN = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}"
+
+
 @query(
     "bert_token_len",
-    f"SELECT doc_id, (length(regexp_replace({sql.clean('text')}, '\\s', '', 'g')) + 2)::INTEGER AS bert_token_len "
-    "FROM documents",
+    f"WITH {sql.COMMENTS}, pieces AS (SELECT src, id, regexp_extract_all(strip_accents(lower({sql.clean('text')})), "
+    f"'[^\\s{_MARKS}{_HAN}]+|[{_MARKS}{_HAN}]') AS w FROM comments) "
+    "SELECT src, id, (2 + coalesce(list_sum(list_transform(w, lambda x: CASE WHEN length(x) <= 100 "
+    f"AND regexp_full_match(x, '({_piece_pattern()})+') THEN len(regexp_extract_all(x, '{_piece_pattern()}')) ELSE 1 END)), 0))::INTEGER "
+    "AS bert_token_len FROM pieces",
 )
 def bert_token_len(spark, sf_dir):
-    """The vocabulary of single characters makes every character of a word one piece."""
-    letters = [chr(c) for c in range(33, 127)] + list("äöüßñçœæø")
-    lengths = token_length_udf(spark, letters + ["##" + c for c in letters])
-    docs = tx.add_clean_text(inputs.documents(spark, sf_dir), "text", "clean")
-    return docs.select("doc_id", lengths(F.col("clean")).alias("bert_token_len"))
+    """Every text with a vocabulary of pieces of one to five letters."""
+    vocabulary = _PIECES + _LETTERS
+    lengths = token_length_udf(spark, vocabulary + tuple("##" + p for p in vocabulary))
+    texts = tx.add_clean_text(inputs.comments(spark, sf_dir), "text", "clean")
+    return texts.select("src", "id", lengths(F.col("clean")).alias("bert_token_len"))
 
 
 # --- detectors ----------------------------------------------------------------------------
@@ -618,7 +642,9 @@ def labels_to_text(spark, sf_dir):
     "validate_dataset",
     f"WITH {sql.MAIN}, s AS (SELECT split, count(*) AS n, avg(binary_label) AS r FROM main GROUP BY split), "
     "o AS (SELECT avg(binary_label) AS r FROM main) "
-    "SELECT 'multilabel' AS source, 'small_split' AS code, 'multilabel:' || split || ' is suspiciously small with ' || n || ' rows.' AS message FROM s WHERE n < 100",
+    "SELECT 'multilabel' AS source, 'small_split' AS code, 'multilabel:' || split || ' is suspiciously small with ' || n || ' rows.' AS message FROM s WHERE n < 100 "
+    "UNION ALL SELECT 'multilabel', 'label_drift', 'multilabel label-ratio drift across splits exceeds 0.03: ' || "
+    "string_agg(split || ' ' || printf('%.6f', abs(s.r - o.r)), ', ' ORDER BY split) || '.' FROM s, o WHERE abs(s.r - o.r) > 0.03 HAVING count(*) > 0",
 )
 def validate_dataset(spark, sf_dir):
     """All warnings of the bundled checks."""

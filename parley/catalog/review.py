@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.catalog import inputs, sql
 from parley.functions import cues as cu
-from parley.operators import modeling, triage
+from parley.operators import lexicon, modeling, triage
 from parley.plans import review
 from parley.session import scratch_path
 from parley.sinks.queue import write_review_queue
@@ -92,9 +92,8 @@ _CUES = sql.cue_rows("documents", "doc_id", "text")
     f"WITH {_CUES} SELECT key AS row_id, keyword, category, severity, first_start, first_end, hits, positions FROM cues",
 )
 def detect_cues(spark, sf_dir):
-    rows = inputs.documents(spark, sf_dir).select(
-        F.col("doc_id").alias("row_id"), F.explode(cu.detect_cues("text")).alias("c")
-    )
+    docs = cu.add_cues(inputs.documents(spark, sf_dir), "text", "cues")
+    rows = cu.explode_once(docs.select(F.col("doc_id").alias("row_id"), "cues"), "cues", "c")
     spans = F.transform(
         "c.positions", lambda p: F.concat(p["start"].cast("string"), F.lit("-"), p["end"].cast("string"))
     )
@@ -105,6 +104,38 @@ def detect_cues(spark, sf_dir):
     )
 
 
+_BENCHMARK_TERMS = (
+    "lexicon AS (SELECT DISTINCT unnest(t) AS term FROM (SELECT list_concat(w, list_transform(range(1, len(w)), "
+    "lambda i: w[i] || ' ' || w[i + 1])) AS t FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)))"
+)
+
+
+def _benchmark_terms(spark, sf_dir):
+    """All words and word pairs of the benchmark texts as a lexicon of thousands of terms."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    pairs = F.zip_with(
+        F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))),
+        lambda a, b: F.concat_ws(" ", a, b))
+    items = inputs.table(spark, sf_dir, "benchmark").select(words.alias("w"))
+    return items.select(F.explode(F.concat("w", pairs)).alias("term")).distinct()
+
+
+@query(
+    "lexicon_matches",
+    rf"WITH {_BENCHMARK_TERMS}, pieces AS (SELECT row_id, regexp_extract_all(lower(text), '[{sql.W}]+|\s+|[^{sql.W}\s]') AS p FROM "
+    "(SELECT conv_id * 100 + turn AS row_id, text FROM conversations)), "
+    "runs AS (SELECT DISTINCT row_id, CASE WHEN n = 1 THEN p[i] ELSE p[i] || ' ' || p[i + 2] END AS term FROM "
+    "(SELECT row_id, p, unnest(range(1, len(p) + 1)) AS i FROM pieces), (VALUES (1), (2)) t(n) "
+    r"WHERE n = 1 OR (i + 2 <= len(p) AND regexp_matches(p[i + 1], '^\s+$'))) "
+    "SELECT row_id, term FROM runs JOIN lexicon USING (term)",
+)
+def lexicon_matches(spark, sf_dir):
+    """Which of the benchmark's words and word pairs occur in which turns."""
+    turns = inputs.table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("row_id"), "text")
+    return lexicon.matching_terms(turns, "row_id", "text", _benchmark_terms(spark, sf_dir))
+
+
 _SUMMARY = (
     "coalesce(string_agg(keyword || ' (' || category || ', ' || severity || ')' || CASE WHEN hits > 1 THEN ' x' || hits ELSE '' END, "
     "'; ' ORDER BY first_start, first_end), '')"
@@ -145,7 +176,8 @@ _COMMENT_CUES = sql.cue_rows("comments", "src || id", "text")
 )
 def resolve_highlight_spans(spark, sf_dir):
     """The default terms never overlap, so every span survives."""
-    return _highlighted(spark, sf_dir).select("src", "id", F.explode("spans").alias("s")).select(
+    marked = _highlighted(spark, sf_dir).select("src", "id", "spans")
+    return cu.explode_once(marked, "spans", "s").select(
         "src", "id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), "s.keyword"
     )
 

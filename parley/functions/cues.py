@@ -6,14 +6,19 @@ Offsets are code points of the original text.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import patterns as rx
+from parley.functions.lexicon import TermTrie, check_size, normalized
 from parley.settings import CUE_TERMS, CueTerm
 
+# Beyond so many terms one expression per term makes the plan too large.
+EXPRESSION_TERMS = 64
+
 POSITIONS_TYPE = "array<struct<start:int,end:int>>"
 CUES_TYPE = (
     "array<struct<keyword:string,category:string,severity:string,"
@@ -80,6 +85,51 @@ def cues_sql(text: str, terms: Iterable[CueTerm] = CUE_TERMS) -> str:
     )
 
 
+def add_cues(df: DataFrame, text: str, out: str, terms: Iterable[CueTerm] = CUE_TERMS) -> DataFrame:
+    """Add the cue records of ``text``, with a lexicon of any size up to ``MOST_TERMS``.
+
+    Few terms are built-in expressions; many go through one trie per worker, which only texts
+    with some hit are sent to. Both give the same records.
+    """
+    terms = tuple(terms)
+    if len(terms) <= EXPRESSION_TERMS:
+        return df.withColumn(out, detect_cues(text, terms))
+    check_size(terms)
+    shared = df.sparkSession.sparkContext.broadcast([(t.keyword, t.category, t.severity) for t in terms])
+
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = shared.value
+        trie = TermTrie(t[0] for t in known)
+
+        def records(text: str) -> list[dict]:
+            spans: dict[int, list[dict]] = {}
+            for term, start, end in trie.hits(text):
+                spans.setdefault(term, []).append({"start": start, "end": end})
+            return [
+                {"keyword": known[t][0], "category": known[t][1], "severity": known[t][2],
+                 "start": own[0]["start"], "end": own[0]["end"], "count": len(own), "positions": own}
+                for t, own in sorted(spans.items(), key=lambda s: (s[1][0]["start"], s[1][0]["end"]))
+            ]
+
+        for texts in batches:
+            yield texts.map(records, na_action="ignore")
+
+    # "Nondeterministic" keeps the optimiser from evaluating it again in pushed-down filters.
+    udf = F.pandas_udf(find, CUES_TYPE).asNondeterministic()
+    column, pattern = F.col(text), rx.any_term(normalized(t.keyword) for t in terms)
+    return df.withColumn(
+        out, F.coalesce(udf(F.when(column.rlike(pattern), column)), F.array().cast(CUES_TYPE)))
+
+
+def explode_once(df: DataFrame, array: str, out: str) -> DataFrame:
+    """One row per element of an array column, which is computed once.
+
+    A plain explode makes the optimiser add a filter on the array's size below it, with the
+    array's whole expression in it.
+    """
+    return df.withColumn(out, F.explode_outer(array)).filter(F.col(out).isNotNull())
+
+
 def cue_summary(cues: Column) -> Column:
     """``keyword (category, severity) xN`` joined by ``"; "``."""
     parts = F.transform(

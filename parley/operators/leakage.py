@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.errors import ValidationError
@@ -24,9 +24,9 @@ def split_hash_overlap(
     names = sorted(splits)
     bit = F.lit(0)
     for i, name in enumerate(names):
-        bit = F.when(F.col("split") == name, 1 << i).otherwise(bit)
+        bit = F.when(F.col("split") == name, F.lit(1 << i).cast("long")).otherwise(bit)
     tall = df.select(
-        bit.cast("int").alias("bit"),
+        bit.cast("long").alias("bit"),
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("hash")) for c in hash_columns])
         ).alias("h"),
@@ -68,16 +68,36 @@ def split_hash_overlap(
     )
 
 
+def _finding(overlaps: DataFrame) -> Column:
+    """The overlapping pairs as one text, a scalar subquery; empty if there are none."""
+    listed = F.concat_ws(" ", "kind", F.concat("pair", F.lit(":")), F.col("overlap_count").cast("string"))
+    return overlaps.filter(F.col("overlap_count") > 0).agg(
+        F.array_join(F.array_sort(F.collect_list(listed)), ", ").alias("found")).scalar()
+
+
+def gated(df: DataFrame, overlaps: DataFrame, source: str) -> DataFrame:
+    """``df`` with the gate in its plan: whatever reads it fails if a pair overlaps.
+
+    ``overlaps`` has one row per kind and pair and should be a stored table.
+    """
+    found = _finding(overlaps)
+    message = F.concat(F.lit(f"{source} leakage detected by hash overlap: "), found, F.lit("."))
+    return df.filter(F.when(found != "", F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+
+
+def leakage_warnings(overlaps: DataFrame, source: str) -> DataFrame:
+    """``(message)``: one row that lists the overlapping pairs, if there are any."""
+    found = overlaps.sparkSession.range(1).select(_finding(overlaps).alias("found"))
+    return found.filter("found <> ''").select(
+        F.concat(F.lit(f"{source} leakage detected by hash overlap: "), "found", F.lit(".")).alias("message"))
+
+
 def leakage_gate(overlaps: DataFrame, source: str, strict: bool = True) -> list[str]:
     """Warnings for overlapping pairs; an error when strict."""
-    found = overlaps.filter(F.col("overlap_count") > 0).orderBy("kind", "pair").collect()
-    if not found:
-        return []
-    listed = ", ".join(f"{r['kind']} {r['pair']}: {r['overlap_count']}" for r in found)
-    message = f"{source} leakage detected by hash overlap: {listed}."
-    if strict:
-        raise ValidationError(message)
-    return [message]
+    messages = [r["message"] for r in leakage_warnings(overlaps, source).collect()]
+    if messages and strict:
+        raise ValidationError(messages[0])
+    return messages
 
 
 def pool_external_overlap(
@@ -98,3 +118,16 @@ def overlap_report(overlap: DataFrame, hash_column: str = "text_hash_normalized"
         F.sum("n").alias("overlap_count"),
         F.array_sort(F.collect_list("hash")).alias("example_hashes"),
     )
+
+
+def pool_external_gate(report: DataFrame, source: str, strict: bool = True) -> list[str]:
+    """The warning for texts shared by the pool and the external test; an error when strict."""
+    row = report.first()
+    if not row["overlap_count"]:
+        return []
+    message = (
+        f"{source}: {row['overlap_count']} normalised texts of the augmentation pool are in the "
+        f"external test as well, among them {', '.join(row['example_hashes'][:3])}.")
+    if strict:
+        raise ValidationError(message)
+    return [message]

@@ -16,10 +16,14 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.operators.rowindex import index_by_order
+from parley.session import staged
 from parley.settings import PrepSettings
 
-# Hex digits fixed per narrowing pass, and the class size at which ranking takes over.
+# Hex digits fixed per narrowing pass and in a whole key, and the class size at which ranking
+# takes over.
 _DIGITS = 3
+_KEY_DIGITS = 64
 _RANKABLE = 20_000
 
 
@@ -51,10 +55,17 @@ def _in_prefix(strata: Column, key: Column, prefixes: dict) -> Column:
     return reduce(or_, tests, F.lit(False))
 
 
+def _repeated(stratum, wanted: int, equal: int) -> ValueError:
+    return ValueError(
+        f"{equal} rows of class {stratum!r} share one id, and a part would take {wanted} of them: "
+        "ids must be unique")
+
+
 def key_cuts(df: DataFrame, strata: str, key: str, takes: dict, counts: dict) -> dict:
     """Per class, the ``takes[c]``-th smallest key.
 
     Only histograms with at most 4096 cells per class and one key per class reach the driver.
+    Rows of equal keys are taken all or none; a cut that would divide them is an error.
     """
     cuts = {c: "" for c, k in takes.items() if k == 0}
     left = {c: k for c, k in takes.items() if k > 0}
@@ -62,30 +73,41 @@ def key_cuts(df: DataFrame, strata: str, key: str, takes: dict, counts: dict) ->
     sizes = {c: counts[c] for c in left}
     label, value = F.col(strata), F.col(key)
     while any(sizes[c] > _RANKABLE for c in left):
-        depth = len(next(iter(prefixes.values()))) + _DIGITS
+        depth = min(len(next(iter(prefixes.values()))) + _DIGITS, _KEY_DIGITS)
         cells = (
             df.filter(_in_prefix(label, value, prefixes))
             .groupBy(label.alias("c"), F.substring(value, 1, depth).alias("p"))
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()
         )
-        for c in left:
+        for c in list(left):
             for cell in sorted((x for x in cells if x["c"] == c), key=lambda x: x["p"]):
                 if left[c] <= cell["n"]:
                     prefixes[c], sizes[c] = cell["p"], cell["n"]
                     break
                 left[c] -= cell["n"]
+        if depth == _KEY_DIGITS:  # each cell is one key
+            for c in list(left):
+                if left[c] < sizes[c]:
+                    raise _repeated(c, left[c], sizes[c])
+                cuts[c] = prefixes[c]
+            return cuts
     if left:
         rank = F.row_number().over(Window.partitionBy(strata).orderBy(key))
         at_cut = reduce(or_, [(label == c) & (F.col("__r") == k) for c, k in left.items()])
+        equal = Window.partitionBy(strata, key)
         found = (
             df.filter(_in_prefix(label, value, prefixes))
             .select(strata, key)
             .withColumn("__r", rank)
+            .withColumns({"__n": F.count(F.lit(1)).over(equal), "__last": F.max("__r").over(equal)})
             .filter(at_cut)
             .collect()
         )
-        cuts.update({row[strata]: row[key] for row in found})
+        for row in found:
+            if row["__last"] > row["__r"]:
+                raise _repeated(row[strata], row["__n"] - row["__last"] + row["__r"], row["__n"])
+            cuts[row[strata]] = row[key]
     return cuts
 
 
@@ -99,6 +121,8 @@ def _class_counts(df: DataFrame, strata: str) -> dict:
 
 
 def _check(counts: dict, *parts: int) -> None:
+    if None in counts:
+        raise ValueError(f"{counts[None]} rows have no class to stratify by")
     if any(n < 2 for n in counts.values()):
         raise ValueError(f"every class needs at least 2 rows, found {counts}")
     if any(p < len(counts) for p in parts):
@@ -107,8 +131,7 @@ def _check(counts: dict, *parts: int) -> None:
 
 def _stage(slim: DataFrame, strata: str, share: float, seed: int, id_column: str, counts: dict):
     """The condition selecting one stratified part, and the class counts of the rest."""
-    n = sum(counts.values())
-    rest, part = part_sizes(n, share)
+    rest, part = part_sizes(sum(counts.values()), share)
     _check(counts, rest, part)
     rest_quota = class_quotas(counts, rest)
     takes = {c: counts[c] - rest_quota[c] for c in counts}
@@ -191,12 +214,19 @@ HEAD_ROWS = {"train": 20_000, "val": 3_000, "test": 3_000}
 def head_subset(
     df: DataFrame, limits: dict[str, int] = HEAD_ROWS, order: str = "sample_id"
 ) -> DataFrame:
-    """The first rows of each split in source order (a top-k per split).
+    """The first rows of each split in source order; ``order`` must be unique.
 
-    Ids order by length first: their numbers are padded, but may outgrow the padding.
+    Ids order by length first: their numbers are padded, but may outgrow the padding. Ids are
+    numbered by a distributed sort, so no task gathers the heads of all others; the chosen ids
+    are as many as the limits say.
     """
-    parts = [
-        df.filter(F.col("split") == name).orderBy(F.length(order), order).limit(n)
-        for name, n in limits.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    slim = df.select("split", order).filter(F.col("split").isin(*limits))
+    keys = [F.col("split"), F.length(order), F.col(order)]
+    numbered = staged(index_by_order(slim, keys, "__n"), "numbered")
+    # One row per split.
+    first = numbered.groupBy("split").agg(F.min("__n").alias("__first"))
+    limit = F.lit(0)
+    for name, n in limits.items():
+        limit = F.when(F.col("split") == name, n).otherwise(limit)
+    chosen = numbered.join(F.broadcast(first), "split").filter(F.col("__n") - F.col("__first") < limit)
+    return df.join(F.broadcast(chosen.select(order)), order, "left_semi").select(*df.columns)

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.cues import cue_summary, detect_cues
+from parley.functions.cues import add_cues, cue_summary, explode_once
 from parley.functions.numbers import format_percent, round_exact
 from parley.operators.rowindex import index_by_order
 from parley.settings import CUE_TERMS, CueTerm
@@ -118,7 +118,7 @@ def build_review_items(
     )
     row_id = F.col("row_id").cast("long") if "row_id" in predictions.columns else F.lit(None).cast("long")
     confidence = F.coalesce(given("confidence", "double"), F.greatest(p, non_toxic))
-    return prepared.select(
+    return add_cues(prepared, "__text", "__cues", terms).select(
         row_id.alias("row_id"),
         F.col("__text").alias("original_text"),
         F.col("__label").alias("prediction"),
@@ -127,7 +127,7 @@ def build_review_items(
         format_percent(p).alias("risk_score_percent"),
         _by_band(p, 2).alias("review_recommendation"),
         _by_band(p, 3).alias("review_priority"),
-        detect_cues("__text", terms).alias("detected_cues"),
+        F.col("__cues").alias("detected_cues"),
         F.struct(
             F.col("__label").alias("predicted_label"),
             label.alias("numeric_label"),
@@ -230,7 +230,7 @@ def risk_distribution(items: DataFrame) -> DataFrame:
 def cue_statistics(items: DataFrame) -> DataFrame:
     """Comments and hits per cue term."""
     return (
-        items.select(F.explode("detected_cues").alias("c"))
+        explode_once(items.select("detected_cues"), "detected_cues", "c")
         .groupBy("c.keyword", "c.category", "c.severity")
         .agg(F.count(F.lit(1)).alias("comments"), F.sum("c.count").alias("hits"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import settings as cfg
+from parley.errors import ValidationError
 from parley.functions import labels as lb
 from parley.operators import leakage, slices, splits
 from parley.operators.audit import audit_dataset
@@ -49,6 +50,25 @@ def main_label(settings: cfg.PrepSettings, columns: tuple[str, ...] = cfg.MULTIL
     return label
 
 
+def _token_warnings(
+    source: str, settings: cfg.PrepSettings, token_length: TokenLength | None
+) -> list[tuple[str, str, str]]:
+    """A missing length function is an error where lengths are required, else a warning."""
+    if token_length is not None:
+        return []
+    if settings.require_token_lengths:
+        raise ValidationError(f"{source}: token lengths are required, but no length function is given")
+    return [(source, "token_lengths_missing",
+             f"{source}: no length function is given; bert_token_len is empty.")]
+
+
+def _gated(split: DataFrame, checks: Validation, settings: cfg.PrepSettings) -> DataFrame:
+    """The corpus with the leakage gate in its plan, so that no later step gets around it."""
+    if not settings.fail_on_leakage:
+        return split
+    return leakage.gated(split, checks.tables["hash_overlap_across_splits"], checks.source)
+
+
 def _features(
     corpus: DataFrame,
     settings: cfg.PrepSettings,
@@ -71,6 +91,7 @@ def prepare_main(
     label_columns: tuple[str, ...] = cfg.MULTILABEL_LABELS,
 ) -> PreparedSource:
     """Prepare the multi-label source. Raises before anything is published if a gate fails."""
+    unmeasured = _token_warnings(settings.multilabel_source, settings, token_length)
     label = main_label(settings, label_columns)
     corpus = standardize(
         raw, settings.multilabel_source, text_column, label,
@@ -81,6 +102,8 @@ def prepare_main(
     bucketed = stored.withColumn("length_bucket", slices.length_bucket(F.col("word_len"), limits))
     split = splits.stratified_split3(bucketed, settings.test_size, settings.val_size, settings.seed)
     checks = validate_dataset(split, settings.multilabel_source, MAIN_SPLITS, settings)
+    checks.warnings[:0] = unmeasured
+    split = _gated(split, checks, settings)
     summaries = {
         "audit": audit_dataset(raw, text_column, label_columns, label, settings.fold_duplicates),
         "removal": removal_summary(raw, text_column, label, settings),
@@ -105,6 +128,7 @@ def prepare_scored(
     token_length: TokenLength | None = None,
 ) -> PreparedSource:
     """Prepare the scored source with the main source's length thresholds."""
+    unmeasured = _token_warnings(settings.scored_source, settings, token_length)
     text, score, identity = schema.text_column, schema.label_column, schema.identity_columns
     label = lb.score_to_binary(score, settings.score_threshold)
     numeric = raw.withColumns({c: lb.to_number(F.col(c)) for c in identity}) if identity else raw
@@ -115,11 +139,17 @@ def prepare_scored(
     bucketed = stored.withColumn("length_bucket", slices.length_bucket(F.col("word_len"), limits))
     split = splits.stratified_split2(bucketed, settings.external_size, settings.seed + 2)
     checks = validate_dataset(split, settings.scored_source, SCORED_SPLITS, settings)
-    overlap = leakage.overlap_report(
+    overlap = staged(leakage.overlap_report(
         leakage.pool_external_overlap(
             *[split.filter(F.col("split") == s) for s in SCORED_SPLITS]
         )
-    )
+    ), "overlap")
+    checks.warnings[:0] = unmeasured
+    checks.warnings += [
+        (settings.scored_source, "pool_external_overlap", message)
+        for message in leakage.pool_external_gate(overlap, settings.scored_source, settings.fail_on_leakage)
+    ]
+    split = _gated(split, checks, settings)
     summaries = {
         "audit": audit_dataset(raw, text, (score,), label, settings.fold_duplicates),
         "removal": removal_summary(raw, text, label, settings),
@@ -148,13 +178,16 @@ def run_prep(
 
     All gates run before the first output is written.
     """
-    raw = load_multilabel(spark, multilabel_path, fmt)
-    main = prepare_main(raw, settings, token_length)
-    result = PrepResult(main, warnings=list(main.validation.warnings))
-    train_rows = main.corpus.filter(F.col("split") == "train").count()
+    dropped: list[tuple[str, str, str]] = []
+    how = {"fmt": fmt, "on_malformed": settings.on_malformed, "warnings": dropped}
+    raw = load_multilabel(spark, multilabel_path, name=settings.multilabel_source, **how)
     scored_raw, schema = (
-        load_scored_optional(spark, scored_path, fmt) if scored_path else (None, None)
+        load_scored_optional(spark, scored_path, name=settings.scored_source, **how)
+        if scored_path else (None, None)
     )
+    main = prepare_main(raw, settings, token_length)
+    result = PrepResult(main, warnings=dropped + main.validation.warnings)
+    train_rows = main.corpus.filter(F.col("split") == "train").count()
     if scored_raw is None:
         result.warnings.insert(
             0, (settings.scored_source, "missing_source",

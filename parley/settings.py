@@ -68,27 +68,44 @@ CUE_TERMS = (
 
 @dataclass(frozen=True)
 class PrepSettings:
-    """Everything that changes what corpus preparation computes."""
+    """Everything that changes what corpus preparation computes, by the step that it changes.
 
+    Fixed values that published results depend on: the two thresholds, the seed, the three
+    sizes, the drift limit and the least split.
+    """
+
+    # Loading: names in tables and warnings; malformed CSV rows end the load or are left out.
     multilabel_source: str = "multilabel"
     scored_source: str = "scored"
+    on_malformed: str = "fail"
+
+    # Labels.
     score_threshold: float = 0.5
+    strict_missing_labels: bool = False
+    remove_missing_labels: bool = True
+
+    # Texts and duplicates.
+    url_token: str = "<URL>"
+    email_token: str = "<EMAIL>"
+    replace_urls: bool = True
+    replace_emails: bool = True
+    remove_missing_text: bool = True
+    fold_duplicates: bool = True
+    remove_duplicates: bool = True
+
+    # Slices and lengths.
+    identity_terms: tuple[str, ...] = IDENTITY_TERMS
+    explicit_terms: tuple[str, ...] = EXPLICIT_TERMS
     identity_threshold: float = 0.5
+    require_token_lengths: bool = False
+
+    # Splits; the second draws use the seeds that follow.
     seed: int = 42
     test_size: float = 0.15
     val_size: float = 0.15
     external_size: float = 0.20
-    replace_urls: bool = True
-    replace_emails: bool = True
-    url_token: str = "<URL>"
-    email_token: str = "<EMAIL>"
-    fold_duplicates: bool = True
-    remove_missing_text: bool = True
-    remove_missing_labels: bool = True
-    remove_duplicates: bool = True
-    strict_missing_labels: bool = False
+
+    # Gates and warnings.
     fail_on_leakage: bool = True
     drift_limit: float = 0.03
     small_split_rows: int = 100
-    identity_terms: tuple[str, ...] = IDENTITY_TERMS
-    explicit_terms: tuple[str, ...] = EXPLICIT_TERMS

@@ -37,11 +37,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_split_tables(df: DataFrame, folder: str) -> None:
-    """One pass writes all splits; readers of one split prune to its folder."""
-    df.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/splits.parquet")
+    """One pass writes all splits, one folder ``part=...`` each, with ``split`` in the files too."""
+    kept = df.withColumn("part", F.col("split"))
+    kept.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/splits.parquet")
     stored = df.sparkSession.read.parquet(f"{folder}/splits.parquet")
-    stored.write.mode("overwrite").partitionBy("split").options(**CSV).csv(
-        f"{folder}/splits.csv")
+    stored.write.mode("overwrite").partitionBy("part").options(**CSV).csv(f"{folder}/splits.csv")
 
 
 def write_slice_tables(df: DataFrame, folder: str) -> None:

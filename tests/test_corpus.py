@@ -142,6 +142,40 @@ def test_samples_and_split_guards(spark, big):
         splits.stratified_split2(small)
 
 
+def test_repeated_ids_split_exactly_or_fail(spark, monkeypatch):
+    """30,000 rows of one id: taken whole where a cut allows it, else a clear error."""
+    rows = spark.range(0, 30_000, 1, 4).select(F.lit("same").alias("sample_id"), F.lit(0).alias("binary_label"))
+    with pytest.raises(ValueError, match="30000 rows of class 0 share one id"):
+        splits.stratified_split2(rows)
+    few = rows.limit(30)
+    with pytest.raises(ValueError, match="share one id"):
+        splits.stratified_split2(few)
+    # 30,000 of 37,500 rows share an id; a cut that takes all or none of them is exact.
+    others = spark.range(0, 7_500, 1, 4).select(F.col("id").cast("string").alias("sample_id"), F.lit(0).alias("binary_label"))
+    keyed = rows.union(others).withColumn("k", splits.order_key(44))
+    before = keyed.filter(F.col("k") < keyed.filter("sample_id = 'same'").first().k).count()
+    cuts = splits.key_cuts(keyed, "binary_label", "k", {0: before + 30_000}, {0: 37_500})
+    assert keyed.filter(F.col("k") <= cuts[0]).count() == before + 30_000
+    with pytest.raises(ValueError, match="share one id"):
+        splits.key_cuts(keyed, "binary_label", "k", {0: before + 29_999}, {0: 37_500})
+
+
+def test_rows_without_a_class_are_an_error(spark):
+    rows = spark.createDataFrame([(str(i), i % 2 if i else None) for i in range(50)], "sample_id string, binary_label int")
+    with pytest.raises(ValueError, match="1 rows have no class"):
+        splits.stratified_split3(rows)
+
+
+def test_head_subset_takes_the_first_ids_of_each_split(spark):
+    rows = spark.range(0, 3000, 1, 6).select(
+        F.concat(F.lit("s_"), F.col("id").cast("string")).alias("sample_id"),
+        F.when(F.col("id") % 3 == 0, "test").when(F.col("id") % 3 == 1, "train").otherwise("other").alias("split"), "id")
+    head = splits.head_subset(rows, {"test": 7, "train": 2000, "val": 5})
+    got = sorted((r.split, r.id) for r in head.collect())
+    assert got == [("test", 3 * i) for i in range(7)] + [("train", 3 * i + 1) for i in range(1000)]
+    assert "TakeOrdered" not in head._jdf.queryExecution().executedPlan().toString()
+
+
 def test_length_buckets(spark):
     df = spark.createDataFrame([(n,) for n in (0, 5, 6, 9, 10)], "word_len int")
     limits = slices.LengthThresholds(5, 9)
@@ -182,6 +216,44 @@ def test_overlap_and_gate(spark):
         leakage.leakage_gate(leakage.split_hash_overlap(df, ("train", "val", "test"), ("h",)), "x")
 
 
+def test_gates_stand_in_the_plan(spark):
+    rows = spark.createDataFrame([("train", "a"), ("test", "a"), ("val", "b")], "split string, h string")
+    overlaps = leakage.split_hash_overlap(rows, ("train", "val", "test"), ("h",))
+    strict = leakage.gated(rows, overlaps, "x")
+    for read in (strict.collect, lambda: strict.write.format("noop").mode("overwrite").save()):
+        with pytest.raises(Exception, match="x leakage detected by hash overlap: h test__train: 1"):
+            read()
+    assert [r.message for r in leakage.leakage_warnings(overlaps, "x").collect()] == [
+        "x leakage detected by hash overlap: h test__train: 1."]
+    clean = leakage.split_hash_overlap(rows.filter("split <> 'test'"), ("train", "val", "test"), ("h",))
+    assert leakage.gated(rows, clean, "x").count() == 3 and leakage.leakage_warnings(clean, "x").isEmpty()
+    report = leakage.overlap_report(leakage.pool_external_overlap(
+        *[rows.filter(F.col("split") == s).select(F.col("h").alias("text_hash_normalized")) for s in ("train", "test")]))
+    with pytest.raises(ValidationError, match="1 normalised texts"):
+        leakage.pool_external_gate(report, "scored")
+    assert len(leakage.pool_external_gate(report, "scored", strict=False)) == 1
+    none = leakage.overlap_report(rows.select(F.col("h").alias("text_hash_normalized")).limit(0))
+    assert leakage.pool_external_gate(none, "scored") == []
+
+
+def test_token_lengths_can_be_required(spark, tmp_path):
+    from parley.plans import prep
+    from parley.settings import MULTILABEL_LABELS
+
+    zero = ",".join("0" for _ in MULTILABEL_LABELS[1:])
+    lines = [f"text {i},{i % 2},{zero}" for i in range(400)]
+    (tmp_path / "raw.csv").write_text("\n".join(["comment_text," + ",".join(MULTILABEL_LABELS), *lines]))
+    from parley.sources.corpus import load_multilabel
+
+    raw = load_multilabel(spark, str(tmp_path / "raw.csv"))
+    with pytest.raises(ValidationError, match="token lengths are required"):
+        prep.prepare_main(raw, PrepSettings(require_token_lengths=True))
+    codes = [w[1] for w in prep.prepare_main(raw).validation.warnings]
+    assert codes[0] == "token_lengths_missing"
+    measured = prep.prepare_main(raw, PrepSettings(require_token_lengths=True), lambda c: F.length(c))
+    assert "token_lengths_missing" not in [w[1] for w in measured.validation.warnings]
+
+
 def test_token_diagnostics_and_empty_profiles(spark):
     none = spark.createDataFrame([(None,)], "bert_token_len int")
     assert validation.token_length_diagnostics(none).first()["available"] is False

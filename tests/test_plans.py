@@ -62,3 +62,9 @@ def test_scratch_tables_go_to_the_configured_folder(spark, shared_folder):
     from parley.session import scratch_path
 
     assert scratch_path(spark, "x").startswith(f"{shared_folder}/x-")
+
+
+def test_cue_expression_stands_once_in_exploding_plans(spark, sf):
+    for name in ("cue_statistics", "detect_cues", "resolve_highlight_spans"):
+        text = plan(catalog.QUERIES[name](spark, sf))
+        assert text.count("regexp_extract_all") <= 16, name  # one for each of the 16 terms

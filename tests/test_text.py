@@ -213,3 +213,33 @@ def test_sql_functions(spark):
     register_functions(spark)
     row = spark.sql("SELECT parley_text_clean('x &amp; me@ex.com') a, size(parley_detect_cues('you idiot')) b").first()
     assert tuple(row) == ("x & <EMAIL>", 1)
+
+
+def test_piece_trie_takes_the_longest_piece():
+    import random
+
+    from parley.functions.wordpiece import PieceCounter, PieceTrie
+
+    rng = random.Random(3)
+    pieces = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(25)} | {"a", "b"}
+    later = {"##" + p for p in list(pieces)[:15]} | {"##a", "##c"}
+    trie = PieceTrie(pieces | later)
+
+    def longest(word):
+        at = total = 0
+        while at < len(word):
+            lead = "##" if at else ""
+            end = max((e for e in range(at + 1, len(word) + 1) if lead + word[at:e] in pieces | later), default=0)
+            if not end:
+                return 1
+            at, total = end, total + 1
+        return total
+
+    for _ in range(3000):
+        word = "".join(rng.choice("abcd" if rng.random() < 0.05 else "abc") for _ in range(rng.randint(1, 14)))
+        assert trie.count(word) == longest(word), word
+    assert trie.count("a" * 101) == 1
+    counter = PieceCounter(["ab", "##c"])
+    assert counter.words("Ab\x01c  d-e\u00a0É日本") == ["abc", "d", "-", "e", "e", "日", "本"]
+    assert counter.words("Ab\x01c\td-e!") == ["abc", "d", "-", "e", "!"]
+    assert counter.length(None) == 2 and counter.length("abc ABC x") == 2 + 2 + 2 + 1
