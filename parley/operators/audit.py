@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions import detectors as dt
 from parley.functions import text as tx
 from parley.operators.dedup import surplus_rows
+from parley.operators.facts import FEATURES, feature_column, raw_profile, surface_features
+from parley.session import staged
 
 PERCENTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 
@@ -42,7 +41,11 @@ def length_stats(df: DataFrame, text_column: str) -> DataFrame:
     One row for characters and one for words of the raw text; null text has length zero.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    counts = histogram(df, {"char_length": F.length(text), "word_length": tx.word_count(text)})
+    return _length_stats(df, F.length(text), tx.word_count(text))
+
+
+def _length_stats(df: DataFrame, chars: Column, words: Column) -> DataFrame:
+    counts = histogram(df, {"char_length": chars, "word_length": words})
     value = F.col("value").cast("decimal(38,0)")
     n, total = F.sum("rows"), F.sum(value * F.col("rows"))
     squares = F.sum((value * value).cast("decimal(30,0)") * F.col("rows"))
@@ -67,23 +70,13 @@ def length_stats(df: DataFrame, text_column: str) -> DataFrame:
     )
 
 
-def _features(text: Column) -> dict[str, Column]:
-    return {
-        "urls": dt.contains_url(text),
-        "emails": dt.contains_email(text),
-        "digits": dt.contains_digits(text),
-        "repeated_punctuation": dt.contains_repeated_punctuation(text),
-        "all_caps_tokens": dt.contains_all_caps_token(text),
-    }
-
-
 def _share(flag: Column) -> Column:
     return F.coalesce(F.avg(flag.cast("int")), F.lit(0.0))
 
 
 def feature_fractions(df: DataFrame, text_column: str) -> DataFrame:
     """Share of rows (0 to 1) with each surface feature; zeros for an empty table."""
-    return df.agg(*[_share(f).alias(n) for n, f in _features(F.col(text_column)).items()])
+    return df.agg(*[_share(f).alias(n) for n, f in surface_features(F.col(text_column)).items()])
 
 
 def class_distribution(df: DataFrame, label: str = "binary_label") -> DataFrame:
@@ -97,16 +90,21 @@ def class_distribution(df: DataFrame, label: str = "binary_label") -> DataFrame:
 
 def duplicate_counts(df: DataFrame, text_column: str, fold: bool = True) -> DataFrame:
     """Rows beyond the first of each exact and of each normalised text."""
-    text = F.col(text_column)
-    hashed = tx.add_duplicate_text(df, text_column, "__text", fold)
-    keys = hashed.select(
-        F.sha2(text, 256).alias("__exact"),
-        F.sha2("__text", 256).alias("__normalized"),
-    )
-    exact, normalized = surplus_rows(F.col("__exact"), F.col("__normalized"))
-    return keys.agg(
-        exact.alias("exact_duplicate_count"), normalized.alias("normalized_duplicate_count")
-    )
+    return _duplicates(_with_hashes(df, text_column, fold))
+
+
+def _with_hashes(df: DataFrame, text_column: str, fold: bool) -> DataFrame:
+    return tx.add_duplicate_text(df, text_column, "__key", fold).withColumns({
+        "raw_null": F.col(text_column).isNull(), "text_hash_raw": tx.sha256_text(F.col(text_column)),
+        "text_hash_normalized": F.sha2("__key", 256)}).drop("__key")
+
+
+def _duplicates(facts: DataFrame) -> DataFrame:
+    # A null text is a key of its own.
+    exact, normalized = surplus_rows(
+        F.when(~F.col("raw_null"), F.col("text_hash_raw")), F.col("text_hash_normalized"))
+    return facts.agg(
+        exact.alias("exact_duplicate_count"), normalized.alias("normalized_duplicate_count"))
 
 
 def _tall(row: DataFrame) -> DataFrame:
@@ -116,41 +114,44 @@ def _tall(row: DataFrame) -> DataFrame:
     return doubles.unpivot([], names, "metric", "value")
 
 
-def audit_dataset(
-    df: DataFrame,
-    text_column: str,
-    label_columns: Sequence[str] = (),
-    binary_label: Column | None = None,
-    fold: bool = True,
-) -> DataFrame:
-    """The whole raw profile as ``(metric, value)`` rows."""
-    text = F.col(text_column)
-    missing = reduce(or_, [F.col(c).isNull() for c in label_columns], F.lit(False))
+def audit_facts(facts: DataFrame, labelled: bool = True) -> DataFrame:
+    """The whole raw profile of stored facts as ``(metric, value)`` rows; no text is read."""
     counts = [
         F.count(F.lit(1)).alias("total_row_count"),
-        F.count_if(text.isNull()).alias("missing_null_text_count"),
-        F.count_if(missing).alias("missing_label_count"),
-        F.count_if(tx.is_blank(text)).alias("empty_string_text_count"),
-        *[_share(f).alias(f"feature.{n}") for n, f in _features(text).items()],
+        F.count_if("raw_null").alias("missing_null_text_count"),
+        F.count_if("missing_label").alias("missing_label_count"),
+        F.count_if("raw_blank").alias("empty_string_text_count"),
+        *[_share(F.col(feature_column(n))).alias(f"feature.{n}") for n in FEATURES],
     ]
-    source = df
-    if binary_label is not None:
-        source = df.withColumn("__label", binary_label)
-        label = F.col("__label")
+    if labelled:
+        label = F.col("binary_label")
         counts += [
             F.count_if(label == 0).alias("class.0"),
             F.count_if(label == 1).alias("class.1"),
             F.avg(label).alias("class.positive_ratio"),
         ]
-    lengths = length_stats(df, text_column)
+    lengths = _length_stats(facts, F.col("raw_chars"), F.col("raw_words"))
     names = [c for c in lengths.columns if c != "measure"]
     tall_lengths = (
         lengths.select("measure", *[F.col(c).cast("double").alias(c) for c in names])
         .unpivot(["measure"], names, "stat", "value")
         .select(F.concat_ws(".", "measure", "stat").alias("metric"), "value")
     )
-    return (
-        _tall(source.agg(*counts))
-        .unionByName(_tall(duplicate_counts(df, text_column, fold)))
-        .unionByName(tall_lengths)
-    )
+    return _tall(facts.agg(*counts)).unionByName(_tall(_duplicates(facts))).unionByName(tall_lengths)
+
+
+def audit_dataset(
+    df: DataFrame,
+    text_column: str,
+    label_columns: Sequence[str] = (),
+    binary_label: Column | None = None,
+    fold: bool = True,
+) -> DataFrame:
+    """The whole raw profile as ``(metric, value)`` rows, from one pass over the texts."""
+    label = F.lit(None).cast("int") if binary_label is None else binary_label
+    profile = raw_profile(F.col(text_column), label_columns)
+    rows = df.select(
+        F.col(text_column).alias("__text"), label.alias("binary_label"),
+        *[c.alias(n) for n, c in profile.items()])
+    facts = staged(_with_hashes(rows, "__text", fold).drop("__text"), "profile")
+    return audit_facts(facts, binary_label is not None)

@@ -6,124 +6,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
+from parley.operators.facts import ROW, text_facts
 from parley.operators.rowindex import index_by_key
+from parley.session import staged
 from parley.settings import PrepSettings
 
 CORPUS_COLUMNS = (
     "sample_id", "source_dataset", "raw_text", "text_clean", "text_tfidf", "binary_label",
     "orig_label_info", "char_len", "word_len", "text_hash_raw", "text_hash_normalized",
 )
-ROW = "source_row_index"
 
 
-def _flagged(
-    raw: DataFrame,
-    text_column: str,
-    label: Column,
-    label_info: Column,
-    settings: PrepSettings,
-    carry: tuple[str, ...],
-) -> DataFrame:
-    """Every input row with its cleaned text and the two reasons to remove it."""
-    base = raw.select(
-        F.col(ROW).cast("long").alias(ROW),
-        F.col(text_column).alias("raw_text"),
-        label.alias("binary_label"),
-        label_info.alias("orig_label_info"),
-        *[F.col(c) for c in carry],
-    )
-    options = {
-        "replace_urls": settings.replace_urls,
-        "replace_emails": settings.replace_emails,
-        "url_token": settings.url_token,
-        "email_token": settings.email_token,
-    }
-    # Masking never empties a text, so blankness shows before it; a blank token is the exception.
-    tokens_show = settings.url_token.strip() and settings.email_token.strip()
-    flat = tx.add_flat_text(base, "raw_text", "__flat")
-    return (
-        tx.add_masked_text(flat, "__flat", "text_clean", **options)
-        .withColumn("__raw_blank", tx.is_blank(F.col("raw_text")))
-        .withColumn("__no_label", F.col("binary_label").isNull())
-        .withColumn("__clean_blank", F.col("__flat" if tokens_show else "text_clean") == "")
-    )
-
-
-def _survivors(flagged: DataFrame, settings: PrepSettings) -> DataFrame:
+def _survivors(facts: DataFrame, settings: PrepSettings) -> DataFrame:
     if settings.remove_missing_text:
-        flagged = flagged.filter(~F.col("__raw_blank") & ~F.col("__clean_blank"))
+        facts = facts.filter(~F.col("raw_blank") & ~F.col("clean_blank"))
     if settings.remove_missing_labels:
-        flagged = flagged.filter(~F.col("__no_label"))
-    return flagged
+        facts = facts.filter(~F.col("no_label"))
+    return facts
 
 
-def _duplicate_key(settings: PrepSettings) -> Column:
-    flat = F.col("__flat")
-    return F.sha2(tx.casefold(flat) if settings.fold_duplicates else flat, 256)
-
-
-def standardize(
-    raw: DataFrame,
-    source: str,
-    text_column: str,
-    label: Column,
-    label_info: Column,
-    settings: PrepSettings = PrepSettings(),
+def corpus_from_facts(
+    facts: DataFrame, source: str, settings: PrepSettings = PrepSettings(),
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Clean, hash, de-duplicate and number the rows of one labelled source.
+    """The standard corpus from stored facts.
 
-    ``raw`` needs a unique long ``source_row_index`` giving the source order. Duplicates are
-    found and sample numbers assigned on the slim ``(hash, row)`` projection; the texts are
-    shuffled once, by row number.
+    Duplicates are found and sample numbers assigned on the slim ``(hash, row)`` projection; the
+    texts are shuffled once, by row number.
     """
-    rows = _survivors(_flagged(raw, text_column, label, label_info, settings, carry), settings)
-    slim = rows.select(ROW, _duplicate_key(settings).alias("text_hash_normalized"))
+    rows = _survivors(facts, settings)
+    slim = rows.select(ROW, F.col("text_hash_normalized").alias("hash"))
     if settings.remove_duplicates:
-        slim = slim.groupBy("text_hash_normalized").agg(F.min(ROW).alias(ROW))
-    numbered = index_by_key(slim, ROW, "__number")
-    clean = F.col("text_clean")
+        slim = slim.groupBy("hash").agg(F.min(ROW).alias(ROW))
+    numbered = index_by_key(slim.select(ROW), ROW, "__number")
     return (
         rows.join(numbered, ROW)
         .withColumn("sample_id", F.format_string(f"{source}_%08d", F.col("__number")))
         .withColumn("source_dataset", F.lit(source))
-        .withColumn("text_tfidf", tx.casefold(clean))
-        .withColumn("char_len", F.length(clean))
-        .withColumn("word_len", tx.word_count_collapsed(clean))
-        .withColumn("text_hash_raw", tx.sha256_text(F.col("raw_text")))
+        .withColumn("text_tfidf", tx.casefold(F.col("text_clean")))
         .select(*CORPUS_COLUMNS, *carry)
     )
 
 
-def removal_summary(
+def standardize(
     raw: DataFrame,
+    source: str,
     text_column: str,
     label: Column,
+    label_info: Column,
     settings: PrepSettings = PrepSettings(),
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row counting what :func:`standardize` removes and why.
+    """Clean, hash, de-duplicate and number the rows of one labelled source.
+
+    ``raw`` needs a unique long ``source_row_index`` giving the source order. Each text is
+    normalised once, into stored facts.
+    """
+    facts = text_facts(raw, text_column, label, label_info, settings, carry, profile=False)
+    return corpus_from_facts(staged(facts, "facts"), source, settings, carry)
+
+
+def removals_from_facts(facts: DataFrame, settings: PrepSettings = PrepSettings()) -> DataFrame:
+    """One row counting what :func:`corpus_from_facts` removes and why.
 
     The counters describe the rows reaching each step even when that step is switched off.
     """
-    flagged = _flagged(raw, text_column, label, F.lit(None).cast("string"), settings, ())
-    rows = flagged.withColumn("__key", _duplicate_key(settings))
+    raw_blank, clean_blank, no_label = (F.col(c) for c in ("raw_blank", "clean_blank", "no_label"))
     always = F.lit(True)
-    text_ok = ~F.col("__raw_blank") if settings.remove_missing_text else always
-    label_ok = ~F.col("__no_label") if settings.remove_missing_labels else always
+    text_ok = ~raw_blank if settings.remove_missing_text else always
+    label_ok = ~no_label if settings.remove_missing_labels else always
     reached_clean = text_ok & label_ok
-    clean_ok = ~F.col("__clean_blank") if settings.remove_missing_text else always
+    clean_ok = ~clean_blank if settings.remove_missing_text else always
     reached_dedup = reached_clean & clean_ok
 
     kept_rows = F.count_if(reached_dedup)
-    surplus = kept_rows - F.count_distinct(F.when(reached_dedup, F.col("__key")))
+    surplus = kept_rows - F.count_distinct(F.when(reached_dedup, F.col("text_hash_normalized")))
     output = kept_rows - surplus if settings.remove_duplicates else kept_rows
-    return rows.agg(
+    return facts.agg(
         F.count(F.lit(1)).alias("input_rows"),
-        (
-            F.count_if(F.col("__raw_blank"))
-            + F.count_if(reached_clean & F.col("__clean_blank"))
-        ).alias("removed_missing_text"),
-        F.count_if(text_ok & F.col("__no_label")).alias("removed_missing_labels"),
+        (F.count_if(raw_blank) + F.count_if(reached_clean & clean_blank)).alias("removed_missing_text"),
+        F.count_if(text_ok & no_label).alias("removed_missing_labels"),
         surplus.alias("removed_normalized_duplicates"),
         output.alias("output_rows"),
     )
+
+
+def removal_summary(
+    raw: DataFrame,
+    text_column: str,
+    label: Column,
+    settings: PrepSettings = PrepSettings(),
+) -> DataFrame:
+    """What :func:`standardize` removes and why, as one row."""
+    info = F.lit(None).cast("string")
+    return removals_from_facts(text_facts(raw, text_column, label, info, settings, profile=False), settings)

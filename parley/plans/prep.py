@@ -13,8 +13,9 @@ from parley import settings as cfg
 from parley.errors import ValidationError
 from parley.functions import labels as lb
 from parley.operators import leakage, slices, splits
-from parley.operators.audit import audit_dataset
-from parley.operators.standardize import removal_summary, standardize
+from parley.operators.audit import audit_facts
+from parley.operators.facts import text_facts
+from parley.operators.standardize import corpus_from_facts, removals_from_facts
 from parley.operators.validation import Validation, validate_dataset
 from parley.session import staged
 from parley.sinks import tables as out
@@ -93,10 +94,11 @@ def prepare_main(
     """Prepare the multi-label source. Raises before anything is published if a gate fails."""
     unmeasured = _token_warnings(settings.multilabel_source, settings, token_length)
     label = main_label(settings, label_columns)
-    corpus = standardize(
-        raw, settings.multilabel_source, text_column, label,
-        lb.multilabel_json(label_columns), settings,
-    )
+    facts = staged(text_facts(
+        raw, text_column, label, lb.multilabel_json(label_columns), settings,
+        label_columns=label_columns,
+    ), "facts")
+    corpus = corpus_from_facts(facts, settings.multilabel_source, settings)
     stored = _features(corpus, settings, token_length)
     limits = slices.length_thresholds(stored)
     bucketed = stored.withColumn("length_bucket", slices.length_bucket(F.col("word_len"), limits))
@@ -105,8 +107,8 @@ def prepare_main(
     checks.warnings[:0] = unmeasured
     split = _gated(split, checks, settings)
     summaries = {
-        "audit": audit_dataset(raw, text_column, label_columns, label, settings.fold_duplicates),
-        "removal": removal_summary(raw, text_column, label, settings),
+        "audit": audit_facts(facts),
+        "removal": removals_from_facts(facts, settings),
         # The train target is the fixed 0.70 whatever the sizes are set to.
         "split_summary": splits.split_summary(
             split, "two-stage stratified hash split", (settings.seed, settings.seed + 1),
@@ -132,9 +134,9 @@ def prepare_scored(
     text, score, identity = schema.text_column, schema.label_column, schema.identity_columns
     label = lb.score_to_binary(score, settings.score_threshold)
     numeric = raw.withColumns({c: lb.to_number(F.col(c)) for c in identity}) if identity else raw
-    corpus = standardize(
-        numeric, settings.scored_source, text, label, lb.score_json(score), settings, identity
-    )
+    facts = staged(text_facts(
+        numeric, text, label, lb.score_json(score), settings, identity, (score,)), "facts")
+    corpus = corpus_from_facts(facts, settings.scored_source, settings, identity)
     stored = _features(corpus, settings, token_length, identity)
     bucketed = stored.withColumn("length_bucket", slices.length_bucket(F.col("word_len"), limits))
     split = splits.stratified_split2(bucketed, settings.external_size, settings.seed + 2)
@@ -151,8 +153,8 @@ def prepare_scored(
     ]
     split = _gated(split, checks, settings)
     summaries = {
-        "audit": audit_dataset(raw, text, (score,), label, settings.fold_duplicates),
-        "removal": removal_summary(raw, text, label, settings),
+        "audit": audit_facts(facts),
+        "removal": removals_from_facts(facts, settings),
         "split_summary": splits.split_summary(
             split, "stratified hash split", (settings.seed + 2,),
             {"aug_pool": 1.0 - settings.external_size, "external_test": settings.external_size},
