@@ -77,36 +77,102 @@ def balanced_class_weights(spark, sf_dir):
     return rounded(modeling.balanced_class_weights(labels))
 
 
-def _fitted(spark, sf_dir):
+def _train(spark, sf_dir):
     clean = tx.add_clean_text(inputs.labelled(spark, sf_dir), "comment_text")
-    train = tx.add_casefolded(clean, "text_clean", "text_tfidf").select(
-        inputs.main_label().alias("binary_label"), "text_tfidf"
+    return staged(tx.add_casefolded(clean, "text_clean", "text_tfidf").select(
+        inputs.main_label().alias("binary_label"), "text_tfidf"), "train")
+
+
+def _model_sql(train: str) -> str:
+    """CTEs from ``train`` (key, y, text_tfidf): ``vocabulary``, ``idf`` and ``odds``."""
+    return (
+        f"train AS MATERIALIZED ({train}), "
+        f"w AS (SELECT key, y, {sql.term_list('text_tfidf')} AS w FROM train), "
+        "t AS (SELECT key, y, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t FROM w), "
+        "tl AS MATERIALIZED (SELECT key, y, term, count(*) AS n FROM (SELECT key, y, unnest(t) AS term FROM t) GROUP BY ALL), "
+        "vocabulary AS MATERIALIZED (SELECT term, sum(n)::BIGINT AS tf, count(*) AS df, count(*) FILTER (y = 1) AS pos FROM tl GROUP BY term "
+        "HAVING count(*) >= 2 ORDER BY tf DESC, term LIMIT 50000), "
+        "n AS (SELECT count(*) AS n, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM train), "
+        "odds AS MATERIALIZED (SELECT term, ln((1 + n)::DOUBLE / (1 + df)::DOUBLE) + 1 AS idf, "
+        "ln((pos + 1)::DOUBLE / (p + 2)::DOUBLE) - ln((df - pos + 1)::DOUBLE / (q + 2)::DOUBLE) AS coefficient FROM vocabulary, n), "
+        "intercept AS (SELECT ln((p + 1)::DOUBLE / (q + 1)::DOUBLE) AS b FROM n)"
+    )
+
+
+def _scores_sql(source: str, text: str) -> str:
+    """CTE ``scores`` (key, probability) of the folded texts of a table with a key."""
+    return (
+        f"sw AS (SELECT key, {sql.term_list(text)} AS w FROM {source}), "
+        "st AS (SELECT key, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t FROM sw), "
+        "sl AS (SELECT key, term, count(*) AS n FROM (SELECT key, unnest(t) AS term FROM st) GROUP BY ALL), "
+        "sx AS (SELECT key, (1 + ln(n::DOUBLE)) * idf AS x, coefficient FROM sl JOIN odds USING (term)), "
+        "sm AS (SELECT key, sum(x * coefficient) / sqrt(sum(x * x)) AS margin FROM sx GROUP BY key), "
+        f"scores AS (SELECT s.key, 1 / (1 + exp(-(b + coalesce(margin, 0)))) AS probability FROM {source} s LEFT JOIN sm USING (key), intercept)"
     )
-    return modeling.fit_logistic(staged(train, "train"))
 
 
-@query("fit_logistic")
+_LABELLED_TRAIN = (
+    f"SELECT source_row_index AS key, (toxic > 0 OR obscene > 0)::INTEGER AS y, {sql.fold(sql.clean('comment_text'))} AS text_tfidf FROM labelled"
+)
+
+
+@query(
+    "fit_logistic",
+    f"WITH {sql.LABELLED}, {_model_sql(_LABELLED_TRAIN)} SELECT term, 0.0::DOUBLE AS residual FROM vocabulary UNION ALL SELECT NULL, 0.0",
+)
 def fit_logistic(spark, sf_dir):
-    """The coefficients of a model fitted on all labelled documents."""
-    model = _fitted(spark, sf_dir)
-    rows = list(zip(model.features.terms, model.coefficients))
-    return spark.createDataFrame(rows, "term string, coefficient double")
+    """A model fitted on all labelled documents: every coefficient solves the optimum's equation.
+
+    No coefficient is further from the optimum than the residuals together; they are given to
+    two decimals, coefficients being of the order of 0.1 to 5.
+    """
+    train = _train(spark, sf_dir)
+    residuals = modeling.fit_residuals(modeling.fit_logistic(train), train)
+    return residuals.select("term", F.round(F.abs("residual"), 2).alias("residual"))
+
+
+_SCORED = (
+    f"WITH {sql.LABELLED}, {_model_sql(_LABELLED_TRAIN)}, d AS (SELECT doc_id AS key, cleaned_text, {sql.fold('cleaned_text')} AS folded FROM "
+    f"(SELECT doc_id, {sql.clean('text')} AS cleaned_text FROM documents)), {_scores_sql('d', 'folded')} "
+    "SELECT d.key AS doc_id, cleaned_text, CASE WHEN probability >= 0.5 THEN 'toxic' ELSE 'non-toxic' END AS predicted_label, "
+    "(probability >= 0.5)::INTEGER AS numeric_label, round(greatest(probability, 1 - probability), 6) AS confidence, "
+    "round(probability, 6) AS toxic_probability, round(1 - probability, 6) AS non_toxic_probability, 0.5::DOUBLE AS threshold "
+    "FROM d JOIN scores USING (key)"
+)
 
 
-@query("score_comments")
+@query("score_comments", _SCORED)
 def score_comments(spark, sf_dir):
-    """That model applied to every document."""
+    """The counted model of the labelled documents applied to every document."""
+    scorer = modeling.fit_log_odds(_train(spark, sf_dir))
+    return rounded(modeling.score_comments(inputs.documents(spark, sf_dir), "text", scorer).drop("text", "original_text"))
+
+
+@query("score_comments_logistic")
+def score_comments_logistic(spark, sf_dir):
+    """The fitted logistic regression applied to every document."""
     return modeling.score_comments(
-        inputs.documents(spark, sf_dir), "text", _fitted(spark, sf_dir)
+        inputs.documents(spark, sf_dir), "text", modeling.fit_logistic(_train(spark, sf_dir))
     ).drop("text", "original_text")
 
 
+def _split_texts(spark, sf_dir):
+    return staged(
+        inputs.split_corpus(spark, sf_dir).select("split", "binary_label", "text_tfidf"), "model")
+
+
 @query("train_and_evaluate")
 def train_evaluate(spark, sf_dir):
-    corpus = staged(
-        inputs.split_corpus(spark, sf_dir).select("split", "binary_label", "text_tfidf"), "model"
-    )
-    return train_and_evaluate(corpus).metrics
+    return train_and_evaluate(_split_texts(spark, sf_dir)).metrics
+
+
+def _evaluated_sql() -> str:
+    held = "held AS (SELECT sample_id AS key, split, binary_label AS y, text_tfidf FROM main WHERE split <> 'train')"
+    train = "SELECT sample_id AS key, binary_label AS y, text_tfidf FROM main WHERE split = 'train'"
+    return (
+        f"WITH {sql.MAIN}, {_model_sql(train)}, {held}, {_scores_sql('held', 'text_tfidf')}, "
+        "p AS (SELECT split, y, (probability >= 0.5)::INTEGER AS a FROM held JOIN scores USING (key)) "
+        + _metrics_sql("a", "p", "split"))
 
 
 _PREDICTED = (
@@ -140,6 +206,12 @@ def _metrics_sql(p: str, rows: str = "predicted", group: str = "") -> str:
     )
 
 
+@query("train_and_evaluate_log_odds", _evaluated_sql())
+def train_evaluate_log_odds(spark, sf_dir):
+    corpus = _split_texts(spark, sf_dir)
+    return rounded(train_and_evaluate(corpus, fit=modeling.fit_log_odds).metrics)
+
+
 @query("binary_metrics", f"WITH {_PREDICTED} {_metrics_sql('a')}")
 def binary_metrics(spark, sf_dir):
     return rounded(metrics.binary_metrics(_predicted(spark, sf_dir), "y", "a"))

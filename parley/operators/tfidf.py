@@ -10,12 +10,16 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import patterns as rx
+from parley.operators.selection import most_frequent
+from parley.session import staged
 
 
 def tokens(text: Column) -> Column:
@@ -43,7 +47,8 @@ def vocabulary(
 ) -> DataFrame:
     """``(term, tf, df)`` of the most frequent terms; equal counts go by term.
 
-    A frequent term is one partial row per task before the shuffle.
+    A frequent term is one partial row per task before the shuffle. All terms' counts are
+    stored, and the cut among them is found from a histogram.
     """
     termed = with_terms(df.select(text_column), text_column)
     # Each text lists its terms, then its distinct terms: the first part counts occurrences,
@@ -54,13 +59,12 @@ def vocabulary(
     )
     first = F.col("at") < F.col("n")
     counted = listed.select("term", first.cast("long").alias("tf"), (~first).cast("long").alias("df"))
-    return (
+    counts = (
         counted.groupBy("term")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
         .filter(F.col("df") >= min_df)
-        .orderBy(F.desc("tf"), "term")
-        .limit(max_features)
     )
+    return most_frequent(staged(counts, "terms"), max_features, "tf", "term")
 
 
 @dataclass(frozen=True)
@@ -70,6 +74,15 @@ class TfidfModel:
     terms: tuple[str, ...]
     idf: tuple[float, ...]
 
+    @cached_property
+    def _counter(self) -> CountVectorizerModel:
+        """Made once: a vocabulary takes seconds to reach the JVM."""
+        return CountVectorizerModel.from_vocabulary(
+            list(self.terms), inputCol="__terms", outputCol="__counts")
+
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms, "idf": self.idf}
+
     def weights(self, df: DataFrame, text_column: str) -> DataFrame:
         """Add ``tfidf``: aligned arrays of term indices and L2-normalised weights."""
         if not self.terms:
@@ -78,10 +91,7 @@ class TfidfModel:
                 F.array().cast("array<double>").alias("weights"),
             )
             return df.withColumn("tfidf", empty)
-        counter = CountVectorizerModel.from_vocabulary(
-            list(self.terms), inputCol="__terms", outputCol="__counts"
-        )
-        counted = counter.transform(with_terms(df, text_column, "__terms"))
+        counted = self._counter.transform(with_terms(df, text_column, "__terms"))
         idf = array_literal(self.idf)
         sparse = F.unwrap_udt("__counts")
         raw = F.zip_with(
@@ -128,14 +138,24 @@ def fit_tfidf(
     return TfidfModel(tuple(t for t, _ in rows), tuple(w for _, w in rows))
 
 
+def term_table(spark: SparkSession, model: TfidfModel) -> DataFrame:
+    """``(index, term, idf)``, at most ``max_features`` rows."""
+    rows = pa.table({
+        "index": pa.array(range(len(model.terms)), pa.int32()),
+        "term": pa.array(model.terms, pa.string()), "idf": pa.array(model.idf, pa.float64())})
+    return spark.createDataFrame(rows)
+
+
 def tfidf_long(df: DataFrame, id_column: str, text_column: str, model: TfidfModel) -> DataFrame:
     """The weights as ``(id, term, weight)`` rows."""
-    terms = F.split(F.lit("\n".join(model.terms)), "\n")
     pairs = F.arrays_zip(
         F.col("tfidf.indices").alias("i"), F.col("tfidf.weights").alias("w")
     )
+    # As many rows as the vocabulary's bound.
+    terms = F.broadcast(term_table(df.sparkSession, model).select("index", "term"))
     return (
         model.weights(df.select(id_column, text_column), text_column)
         .select(id_column, F.explode(pairs).alias("p"))
-        .select(id_column, F.get(terms, F.col("p.i")).alias("term"), F.col("p.w").alias("weight"))
+        .select(id_column, F.col("p.i").alias("index"), F.col("p.w").alias("weight"))
+        .join(terms, "index").select(id_column, "term", "weight")
     )

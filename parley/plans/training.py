@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -27,11 +28,12 @@ def predict_splits(
 
 
 def train_and_evaluate(
-    corpus: DataFrame, text_column: str = "text_tfidf", max_features: int = 50_000, min_df: int = 2
+    corpus: DataFrame, text_column: str = "text_tfidf", max_features: int = 50_000, min_df: int = 2,
+    fit: Callable[..., LinearScorer] = fit_logistic,
 ) -> Evaluation:
     """Fit on train, then metrics for val and test. ``corpus`` should be a stored table."""
     train = corpus.filter(F.col("split") == "train")
-    scorer = fit_logistic(train, text_column, max_features=max_features, min_df=min_df)
+    scorer = fit(train, text_column, max_features=max_features, min_df=min_df)
     held_out = predict_splits(corpus.filter(F.col("split") != "train"), scorer, text_column)
     return Evaluation(
         scorer, held_out, metrics.binary_metrics(held_out, "binary_label", "prediction", ["split"])
