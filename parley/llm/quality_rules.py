@@ -122,6 +122,17 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     )
 
 
+def _settled(column: Column) -> Column:
+    """The column, which the optimiser may not put into a filter or join above: it would state
+    (and run) the whole array work once more for every mention. No partition's number is negative,
+    but it counts as nondeterministic."""
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+           "llr", "kept")
+
+
 def quality_rules(
     df: DataFrame, text: str, trusted: str, buckets: int = BUCKETS, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -129,7 +140,9 @@ def quality_rules(
 
     ``trusted`` marks target documents (null: not one). A null or empty text has no words: it
     fails the length rule and has ratio 0. With no trusted document all ratios come from the
-    smoothing alone. Added names must be free; other columns and repeated rows stay.
+    smoothing alone. Very long texts are read whole, in one row, in time that grows with their
+    length, filtered by the results or not. Added names must be free; other columns and repeated
+    rows stay.
     """
     # ``buckets`` numbers, folded into one constant of the plan: a subquery cannot stand within
     # a higher-order function.
@@ -142,7 +155,8 @@ def quality_rules(
     scored = scored.withColumn(
         "llr", F.when(F.size("__grams") == 0, F.lit(0.0)).otherwise(total / F.size("__grams")))
     kept = ~F.col("base_failed") & (F.col("llr") >= threshold)
-    return scored.withColumn("kept", kept).drop("__words", "__grams")
+    scored = scored.withColumn("kept", kept)
+    return scored.select(*df.columns, *(_settled(F.col(c)).alias(c) for c in RESULTS))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
