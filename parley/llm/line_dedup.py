@@ -13,8 +13,8 @@ from parley.llm.common import row_key, stored, table
 
 # A line is boilerplate if more than this share of its host's pages contain it ...
 RATIO = 0.05
-# ... and at least so many pages do: on a small host every line has a large share.
-MIN_PAGES = 5
+# ... and at least so many pages do: a line of one page is not repeated at all.
+MIN_PAGES = 2
 
 
 def _lines(text: Column) -> Column:
@@ -65,7 +65,8 @@ def drop_boilerplate(
     separators between kept lines. A null text stays null with no lines; an empty text has one
     (empty) line. Null hosts form a host of their own. All other columns, and repeated rows,
     are kept as they are. The names ``n_lines``, ``n_dropped`` and those that begin with two
-    underscores must be free.
+    underscores must be free. A share equal to the ratio is not boilerplate. Very long texts are
+    cut into lines whole, in one row.
     """
     pairs = stored(boilerplate_lines(df, host, text, ratio, min_pages, copies), "boilerplate")
     k1, k2 = row_key(host, text)
@@ -83,9 +84,10 @@ def drop_boilerplate(
         lines.join(pairs, ["__host", "__line"])
         .groupBy("__k1", "__k2").agg(F.collect_set("__line").alias("__bad"))
     )
-    # Stored: a join of two plain exchanges lets Spark split the partition of a hot page.
+    # Stored: a join of two plain exchanges lets Spark split the partition of a hot page. The
+    # pages with such lines grow with the input: they are joined the same way at every size.
     bad = stored(bad, "boilerplate-pages")
-    joined = keyed.join(bad, ["__k1", "__k2"], "left")
+    joined = keyed.join(bad.hint("merge"), ["__k1", "__k2"], "left")
     kept = F.when(F.col("__bad").isNull(), _lines(F.col(text))).otherwise(
         F.filter(_lines(F.col(text)), lambda x: ~F.array_contains("__bad", F.xxhash64(x)))
     )
