@@ -13,9 +13,9 @@ bound are computed:
 
 Overlaps are then counted on whole sets. What is wanted are the components of the link graph,
 so the product is taken in two parts: first in passes over a band (every row with a neighbour
-of another component in a column), whose links join groups of near copies; then every
-remaining pair of rows in different components. Pairs within a component cannot change it and are never
-formed, so a group of n near copies costs n pairs, not n squared.
+of another component in a column), whose links join groups of near copies; then for the rows of
+the columns that still have several components, in cells of bounded size. Pairs are never rows
+of a table: a cell adds up its overlaps and gives its links only.
 """
 
 from __future__ import annotations
@@ -44,6 +44,11 @@ CHUNK = 1 << 16
 # Entries that a task holds at a time, and text bytes per block of columns.
 BATCH_ENTRIES = 500_000
 BLOCK_BYTES = 16 << 20
+# Bounds on the rows and shingles of a part of a column, of which two make a cell of the product,
+# and the columns that are multiplied at a time.
+CELL_ROWS = 1_000
+CELL_ENTRIES = 300_000
+CELL_COLUMNS = 2_048
 # Keys of candidate texts up to this number are broadcast (32 MB) to fetch their texts; more are
 # joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
@@ -334,32 +339,98 @@ def band_pairs(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def cross_pairs(rows: DataFrame, tried: DataFrame) -> DataFrame:
-    """All untried pairs in one column that can reach the bound, of different components.
+def _product(rows: pa.Table) -> pa.Table:
+    """Links between rows of different components in a cell, as stars with the same components.
 
-    Per column the component with the most rows is set apart: pairs have at least one row of
-    another component, so a column of one component gives none.
+    The product of the cell's incidence matrix with its transpose adds up the overlaps, a block
+    of columns at a time.
     """
-    sizes = rows.groupBy("column", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("column").agg(
-        F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component"))
-        .alias("main")).filter("kinds > 1").select("column", "main")
-    mixed = stored(rows.join(main, "column"), "mixed")
-    names = ("node", "size", "rank", "component")
-    few = _side(mixed.filter("component <> main"), "x", *names)
-    pairs = few.join(_side(mixed, "y", *names, "main"), "column").filter(
-        f"""x_component <> y_component AND (y_component = y_main OR x_node < y_node)
-        AND {REACHES}""")
-    pairs = pairs.select(F.least("x_node", "y_node").alias("a"),
-                         F.greatest("x_node", "y_node").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    node, component = (rows[n].to_numpy() for n in ("node", "component"))
+    sets = [np.frombuffer(x, np.uint64) for x in rows["data"].to_pylist()]
+    size = np.array([len(x) for x in sets], np.int64)
+    known, column = np.unique(np.concatenate(sets), return_inverse=True)
+    common = np.bincount(column) > 1
+    place = (np.cumsum(common) - 1)[column]
+    row, keep = np.repeat(np.arange(len(sets)), size), common[column]
+    row, place = row[keep], place[keep]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    edges = np.searchsorted(place, np.arange(0, int(common.sum()) + CELL_COLUMNS, CELL_COLUMNS))
+    for k, (begin, end) in enumerate(zip(edges, edges[1:])):
+        part = np.zeros((len(sets), CELL_COLUMNS), np.float32)
+        part[row[begin:end], place[begin:end] - k * CELL_COLUMNS] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    near = (100 * both >= 80 * (size[:, None] + size - both)) & (component[:, None] != component)
+    star = np.full(len(sets), -1)
+    for i in np.flatnonzero(near.any(axis=1)):
+        if star[i] >= 0:
+            continue
+        star[i], open_ = i, [i]
+        while open_:
+            new = np.flatnonzero(near[open_.pop()] & (star < 0))
+            star[new] = i
+            open_ += new.tolist()
+    tips = np.flatnonzero((star >= 0) & (star != np.arange(len(sets))))
+    return pa.table({"a": pa.array(node[star[tips]], pa.int64()), "b": pa.array(node[tips], pa.int64())})
+
+
+def product_links(df: DataFrame, text: str, keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(a, b)``: what is left of the product, between rows of different components in a column.
+
+    Columns of one component are done. The rows of the others meet in cells of bounded size: a
+    column of more rows is cut into parts, and every two parts make a cell. Tasks add up the
+    overlaps there; only links leave a cell, at most one per row, so a group of texts that are
+    near each other but not linked costs a product and no rows. Columns of the same rows are
+    one.
+    """
+    sizes = rows.groupBy("column", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("entries"))
+    cells = F.ceil(F.greatest(F.sum("n") / CELL_ROWS, F.sum("entries") / CELL_ENTRIES))
+    columns = sizes.groupBy("column").agg(F.count(F.lit(1)).alias("kinds"), cells.alias("parts"))
+    mixed = stored(rows.join(columns.filter("kinds > 1"), "column").select(
+        "column", "node", "component", "parts"), "mixed")
+    alike = mixed.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.sum(F.pmod(F.xxhash64(F.lit("second"), "node"), F.lit(1 << 40))).alias("y"))
+    one = alike.groupBy("n", "x", "y").agg(F.min("column").alias("column")).select("column")
+    mixed = stored(mixed.join(one, "column", "left_semi"), "mixed")
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, windows = Words(), Windows()
+        for batch in batches:
+            data = [shingle_set(x, words, windows).tobytes() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(data, pa.binary())], ["node", "data"])
+
+    found = texts_of(df, text, keys, mixed.select("node")).mapInArrow(sets, "node long, data binary")
+    own = F.pmod(F.xxhash64("node", "column"), F.col("parts"))
+    dealt = mixed.join(found, "node").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = dealt.select(
+        "column", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        "node", "component", "data")
+    return stored(placed.groupBy("column", "lo", "hi").applyInArrow(_product, "a long, b long"), "links")
+
+
+def texts_of(df: DataFrame, text: str, keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, text)``: a text of each of the sets, stored.
+
+    Their keys are picked out where the texts are read if they are few, by a shuffle if not.
+    """
+    wanted = stored(keys.join(nodes, "node", "left_semi"), "wanted")
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
+    keyed = df.select(F.xxhash64(text).alias("__key"), F.col(text).alias("text"))
+    return stored(keyed.join(wanted, "__key").groupBy("node").agg(F.first("text").alias("text")),
+                  "texts")
 
 
 def linked(df: DataFrame, text: str, keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets reach the bound, by counting their overlap.
 
-    ``keys`` has the hash of one text of each set. Only texts of sets in a pair are moved: they
-    are picked out where they are read if the keys are few, by a shuffle if not.
+    ``keys`` has the hash of one text of each set. Only texts of sets in a pair are moved.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,13 +447,7 @@ def linked(df: DataFrame, text: str, keys: DataFrame, pairs: DataFrame) -> DataF
                 keep.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    wanted = stored(keys.join(nodes, "node", "left_semi"), "wanted")
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    keyed = df.select(F.xxhash64(text).alias("__key"), F.col(text).alias("text"))
-    texts = stored(keyed.join(wanted, "__key").groupBy("node").agg(F.first("text").alias("text")),
-                   "texts")
+    texts = texts_of(df, text, keys, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     full = pairs.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b")
@@ -409,7 +474,7 @@ def _classes(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataF
         links.append(linked(df, text, keys, pairs))
         labels = components(reduce(DataFrame.unionByName, links))
     marked = stored(labelled(entries, labels), "labelled")
-    links.append(linked(df, text, keys, stored(cross_pairs(marked, tried), "pairs")))
+    links.append(product_links(df, text, keys, marked))
     return rows, components(reduce(DataFrame.unionByName, links))
 
 

@@ -351,6 +351,40 @@ def test_jaccard_by_brute_force(spark, edge, empty):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "4", "5", "None"]
 
 
+def copies_without_a_hub(n, seed=6):
+    """Copies of one text with three or four own edits each; few pairs reach the bound."""
+    random = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(n):
+        words = list(base)
+        for k, at in enumerate(random.integers(0, 200, 3 + i % 2)):
+            words[at] = f"own{i}-{k}"
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+@pytest.mark.parametrize("cell_rows", [1_000, 17])
+def test_jaccard_of_copies_without_a_hub(spark, monkeypatch, cell_rows):
+    """What leaves the product grows with the rows, not with their pairs, and no link is lost."""
+    monkeypatch.setattr(jaccard_join, "CELL_ROWS", cell_rows)
+    seen = []
+    product = jaccard_join.product_links
+    monkeypatch.setattr(jaccard_join, "product_links", lambda *a: (r := product(*a), seen.append(r.count()))[0])
+    docs = copies_without_a_hub(150)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, "doc_id", "text").collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in docs]
+    label = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                old, new = sorted((label[i], label[j]))[::-1]
+                label = [new if x == old else x for x in label]
+    assert rows == dict(enumerate(label)) and 1 < len(set(label)) < 150
+    assert seen[0] <= 150 * 60
+
+
 @pytest.mark.parametrize("local_edges", [1_000_000, 50])
 def test_components_of_a_long_path(spark, monkeypatch, local_edges):
     monkeypatch.setattr(components, "LOCAL_EDGES", local_edges)
