@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.catalog import inputs, sql
+from parley.catalog.corpus import SQL as CORPUS_SQL
 from parley.catalog.review import conversations_csv
+from parley.operators import slices, splits, validation
 from parley.plans import prep
-from parley.session import scratch_path
+from parley.session import scratch_path, staged
 from parley.sinks import tables as out
 from parley.sources import corpus as src
 from parley.sources import uploads
@@ -123,21 +128,31 @@ def write_split_tables(spark, sf_dir):
     return stored.unionByName(copy)
 
 
+_COLUMNS = "sample_id, split, binary_label, raw_text, text_clean"
+
+
+def _both_formats(spark, folder: str, name: str):
+    """A table's Parquet files and their CSV copy, with the columns that are compared."""
+    columns = ("sample_id", "split", F.col("binary_label").cast("int"), "raw_text", "text_clean")
+    stored = spark.read.parquet(f"{folder}/{name}.parquet").select(F.lit("parquet").alias("format"), *columns)
+    copy = _read_csv(spark, f"{folder}/{name}.csv")
+    if copy.columns:
+        stored = stored.unionByName(copy.select(F.lit("csv").alias("format"), *columns))
+    return stored.withColumn("artefact", F.lit(name))
+
+
 @query(
     "write_slice_tables",
-    f"WITH {sql.MAIN} "
+    f"WITH {sql.MAIN}, t AS ("
     + " UNION ALL ".join(
-        f"SELECT '{n}' AS slice, sample_id, split FROM main WHERE {f} = 1" for n, f in out.SLICE_FLAGS.items()
-    ),
+        f"SELECT '{n}' AS artefact, {_COLUMNS} FROM main WHERE {f} = 1" for n, f in out.SLICE_FLAGS.items()
+    )
+    + ") SELECT f AS format, t.* FROM t, (VALUES ('csv'), ('parquet')) v(f)",
 )
 def write_slice_tables(spark, sf_dir):
     folder = scratch_path(spark, "tables")
     out.write_slice_tables(inputs.split_corpus(spark, sf_dir), folder)
-    parts = [
-        spark.read.parquet(f"{folder}/{n}.parquet").select(F.lit(n).alias("slice"), "sample_id", "split")
-        for n in out.SLICE_FLAGS
-    ]
-    return parts[0].union(parts[1]).union(parts[2])
+    return reduce(DataFrame.unionByName, [_both_formats(spark, folder, n) for n in out.SLICE_FLAGS])
 
 
 @query(
@@ -162,12 +177,17 @@ _SCORED_TABLES = {
 }
 
 
+_CAPPED = (
+    "SELECT * FROM pool WHERE split = 'aug_pool' "
+    "QUALIFY row_number() OVER (ORDER BY sha256('46|' || sample_id)) <= (SELECT count(*) FROM main WHERE split = 'train')"
+)
+
+
 @query(
     "write_scored_outputs",
     f"WITH {sql.MAIN}, {sql.POOL}, t AS ("
-    + " UNION ALL ".join(f"SELECT '{n}' AS artefact, sample_id FROM pool WHERE {c}" for n, c in _SCORED_TABLES.items())
-    + " UNION ALL SELECT 'aug_pool_capped', sample_id FROM (SELECT sample_id FROM pool WHERE split = 'aug_pool' "
-    "QUALIFY row_number() OVER (ORDER BY sha256('46|' || sample_id)) <= (SELECT count(*) FROM main WHERE split = 'train'))) SELECT artefact, sample_id FROM t",
+    + " UNION ALL ".join(f"SELECT '{n}' AS artefact, {_COLUMNS} FROM pool WHERE {c}" for n, c in _SCORED_TABLES.items())
+    + f" UNION ALL SELECT 'aug_pool_capped', {_COLUMNS} FROM ({_CAPPED})) SELECT f AS format, t.* FROM t, (VALUES ('csv'), ('parquet')) v(f)",
 )
 def write_scored_outputs(spark, sf_dir):
     folder = scratch_path(spark, "tables")
@@ -175,11 +195,7 @@ def write_scored_outputs(spark, sf_dir):
         inputs.split_scored(spark, sf_dir), folder, inputs.main_train_rows(spark, sf_dir)
     )
     names = (*_SCORED_TABLES, "aug_pool_capped")
-    result = None
-    for name in names:
-        part = spark.read.parquet(f"{folder}/{name}.parquet").select(F.lit(name).alias("artefact"), "sample_id")
-        result = part if result is None else result.union(part)
-    return result
+    return reduce(DataFrame.unionByName, [_both_formats(spark, folder, n) for n in names])
 
 
 @query(
@@ -195,33 +211,81 @@ def scored_output_counts(spark, sf_dir):
     )
 
 
+# Each summary with its columns in the order in which a row of it is told.
+_SUMMARIES = {
+    "slice_summary": ("slice", "value", "row_count", "label_0", "label_1", "positive_ratio"),
+    "split_summary": ("split", "rows", "target_ratio", "method", "stratify_column", "random_seeds"),
+    "class_distribution_by_split": ("split", "row_count", "label_0", "label_1", "positive_ratio"),
+    "label_drift": ("split", "positive_ratio", "overall_ratio", "drift", "exceeds_limit"),
+    "counts": ("artefact", "rows"),
+}
+_DOUBLES = ("positive_ratio", "target_ratio", "overall_ratio", "drift")
+_COUNTS = (
+    f"WITH {sql.MAIN} SELECT split AS artefact, count(*) AS rows FROM main GROUP BY split "
+    + "".join(f"UNION ALL SELECT '{n}', count(*) FILTER ({f} = 1) FROM main " for n, f in out.SLICE_FLAGS.items())
+)
+
+
+def _told(columns) -> str:
+    cells = (f"printf('%.4f', {c})" if c in _DOUBLES else f"coalesce({c}::VARCHAR, '-')" for c in columns)
+    return " || '|' || ".join(cells)
+
+
 @query(
     "write_summaries",
-    f"WITH {sql.MAIN}, c AS (SELECT split AS artefact, count(*) AS rows FROM main GROUP BY split "
-    + "".join(f"UNION ALL SELECT '{n}', count(*) FILTER ({f} = 1) FROM main " for n, f in out.SLICE_FLAGS.items())
-    + ") SELECT '{\"artefact\":\"' || artefact || '\",\"rows\":' || rows || '}' AS value FROM c",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS summary, {_told(c)} AS line FROM ({CORPUS_SQL.get(n, _COUNTS)})" for n, c in _SUMMARIES.items()),
 )
 def write_summaries(spark, sf_dir):
+    """Five summaries written as JSON lines, read back line by line."""
     folder = scratch_path(spark, "metadata")
-    counts = out.artefact_counts(inputs.split_corpus(spark, sf_dir), prep.MAIN_SPLITS)
-    out.write_summaries({"counts": counts}, folder)
-    return spark.read.text(f"{folder}/counts.json")
+    corpus = staged(inputs.split_corpus(spark, sf_dir), "corpus")
+    by_split = validation.class_distribution_by_split(corpus)
+    out.write_summaries({
+        "slice_summary": slices.slice_summary(corpus),
+        "split_summary": splits.split_summary(
+            corpus, "two-stage stratified hash split", (42, 43), {"train": 0.70, "val": 0.15, "test": 0.15}),
+        "class_distribution_by_split": by_split,
+        "label_drift": validation.label_drift(by_split),
+        "counts": out.artefact_counts(corpus, prep.MAIN_SPLITS),
+    }, folder)
+
+    def told(name: str, columns) -> DataFrame:
+        cells = F.from_json("value", "map<string,string>")
+        lines = spark.read.text(f"{folder}/{name}.json").select(cells.alias("m"))
+        parts = [F.format_string("%.4f", F.col("m")[c].cast("double")) if c in _DOUBLES
+                 else F.coalesce(F.col("m")[c], F.lit("-")) for c in columns]
+        return lines.select(F.lit(name).alias("summary"), F.concat_ws("|", *parts).alias("line"))
+
+    return reduce(DataFrame.unionByName, [told(n, c) for n, c in _SUMMARIES.items()])
+
+
+_TOTALS = ("count(*) AS rows, sum(binary_label)::BIGINT AS positives, sum(has_identity_term)::BIGINT AS identity, "
+           "sum(has_obfuscation)::BIGINT AS obfuscated, sum(char_len)::BIGINT AS chars")
 
 
 @query(
     "run_pipeline",
-    f"WITH {sql.MAIN} SELECT split, count(*) AS rows, sum(binary_label)::BIGINT AS positives, "
-    "sum(has_obfuscation)::BIGINT AS obfuscated FROM main GROUP BY split",
+    f"WITH {sql.MAIN}, {sql.POOL}, t AS (SELECT split AS artefact, binary_label, has_identity_term, has_obfuscation, length(text_clean) AS char_len FROM main "
+    + "".join(f"UNION ALL SELECT '{n}', binary_label, has_identity_term, has_obfuscation, length(text_clean) FROM pool WHERE {c} "
+              for n, c in _SCORED_TABLES.items())
+    + f"UNION ALL SELECT 'aug_pool_capped', binary_label, has_identity_term, has_obfuscation, length(text_clean) FROM ({_CAPPED})) "
+    f"SELECT artefact, {_TOTALS} FROM t GROUP BY artefact",
 )
 def run_pipeline(spark, sf_dir):
     """Both sources from CSV through all gates to published tables, read back."""
     output = scratch_path(spark, "published")
     prep.run_prep(spark, _multilabel_csv(spark, sf_dir), _scored_csv(spark, sf_dir), output)
-    published = spark.read.parquet(f"{output}/main/splits.parquet")
-    return published.groupBy("split").agg(
+    columns = ("binary_label", "has_identity_term", "has_obfuscation", "char_len")
+    parts = [spark.read.parquet(f"{output}/main/splits.parquet").select(F.col("split").alias("artefact"), *columns)]
+    parts += [
+        spark.read.parquet(f"{output}/scored/{n}.parquet").select(F.lit(n).alias("artefact"), *columns)
+        for n in (*_SCORED_TABLES, "aug_pool_capped")
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("artefact").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("binary_label").alias("positives"),
+        F.sum("has_identity_term").alias("identity"),
         F.sum("has_obfuscation").alias("obfuscated"),
+        F.sum("char_len").alias("chars"),
     )
-
-

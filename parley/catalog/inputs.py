@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from parley.functions import labels as lb
 from parley.operators import slices, splits
-from parley.operators.standardize import standardize
-from parley.settings import MULTILABEL_LABELS
+from parley.operators.standardize import removal_summary, standardize
+from parley.settings import MULTILABEL_LABELS, PrepSettings
 from parley.session import staged
 
 IDENTITY = ("female", "muslim")
@@ -117,8 +117,13 @@ def split_corpus(spark, sf_dir) -> DataFrame:
 
 
 def main_train_rows(spark, sf_dir) -> int:
-    """The cap of the scored sample: as many rows as the main source trains on."""
-    return split_corpus(spark, sf_dir).filter(F.col("split") == "train").count()
+    """The cap of the scored sample: as many rows as the main source trains on.
+
+    The sizes of a split follow from the number of rows, so nothing is split to know them.
+    """
+    kept = removal_summary(labelled(spark, sf_dir), "comment_text", main_label()).first()["output_rows"]
+    rest, _ = splits.part_sizes(kept, PrepSettings.test_size)
+    return splits.part_sizes(rest, PrepSettings.val_size / (1.0 - PrepSettings.test_size))[0]
 
 
 def split_scored(spark, sf_dir) -> DataFrame:

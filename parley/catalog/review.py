@@ -278,8 +278,9 @@ def risk_explanation(spark, sf_dir):
     "review_queue_csv",
     f"WITH {sql.ITEMS}, {_CUES}, s AS (SELECT key, {_SUMMARY} AS keyword_cues FROM cues GROUP BY key) "
     "SELECT row_id::VARCHAR AS row_id, original_text, prediction, risk_level, regexp_replace(risk_score::VARCHAR, '\\.0$', '') AS risk_score, "
-    "risk_score_percent, review_recommendation, review_priority::VARCHAR AS review_priority, coalesce(keyword_cues, '') AS keyword_cues "
-    "FROM items LEFT JOIN s ON row_id = key",
+    "risk_score_percent, review_recommendation, review_priority::VARCHAR AS review_priority, coalesce(keyword_cues, '') AS keyword_cues, "
+    "round(p, 6) AS toxic_probability, round(1 - p, 6) AS non_toxic_probability, round(greatest(p, 1 - p), 6) AS confidence, "
+    "0.5::DOUBLE AS threshold, '' AS cleaned_text FROM items LEFT JOIN s ON row_id = key",
 )
 def review_queue_csv(spark, sf_dir):
     path = scratch_path(spark, "queue")
@@ -291,6 +292,9 @@ def review_queue_csv(spark, sf_dir):
         "row_id", "original_text", "prediction", "risk_level", "risk_score", "risk_score_percent",
         "review_recommendation", "review_priority",
         F.coalesce("keyword_cues", F.lit("")).alias("keyword_cues"),
+        *[F.round(F.col(c).cast("double"), 6).alias(c)
+          for c in ("toxic_probability", "non_toxic_probability", "confidence", "threshold")],
+        F.coalesce("cleaned_text", F.lit("")).alias("cleaned_text"),
     )
 
 
