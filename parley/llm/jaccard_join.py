@@ -14,8 +14,9 @@ bound are computed:
 Overlaps are then counted on whole sets. What is wanted are the components of the link graph,
 so the product is taken in two parts: first in passes over a band (every row with a neighbour
 of another component in a column), whose links join groups of near copies; then for the rows of
-the columns that still have several components, in cells of bounded size. Pairs are never rows
-of a table: a cell adds up its overlaps and gives its links only.
+the columns that still have several components. Columns of few rows give a bounded number of
+pairs per row; large ones are multiplied in cells of bounded size, which add up the overlaps and
+give links only. So no number of near copies makes a number of rows that grows with its square.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ CHUNK = 1 << 16
 # Entries that a task holds at a time, and text bytes per block of columns.
 BATCH_ENTRIES = 500_000
 BLOCK_BYTES = 16 << 20
+# Columns of at most so many rows are joined to pairs after the band passes, larger ones multiplied.
+PAIR_ROWS = 48
 # Bounds on the rows and shingles of a part of a column, of which two make a cell of the product,
 # and the columns that are multiplied at a time.
 CELL_ROWS = 1_000
@@ -376,21 +379,36 @@ def _product(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(node[star[tips]], pa.int64()), "b": pa.array(node[tips], pa.int64())})
 
 
-def product_links(df: DataFrame, text: str, keys: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(a, b)``: what is left of the product, between rows of different components in a column.
-
-    Columns of one component are done. The rows of the others meet in cells of bounded size: a
-    column of more rows is cut into parts, and every two parts make a cell. Tasks add up the
-    overlaps there; only links leave a cell, at most one per row, so a group of texts that are
-    near each other but not linked costs a product and no rows. Columns of the same rows are
-    one.
-    """
+def mixed_rows(rows: DataFrame) -> DataFrame:
+    """The rows of columns that have several components, with their column's ``n`` and ``parts``."""
     sizes = rows.groupBy("column", "component").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("entries"))
-    cells = F.ceil(F.greatest(F.sum("n") / CELL_ROWS, F.sum("entries") / CELL_ENTRIES))
-    columns = sizes.groupBy("column").agg(F.count(F.lit(1)).alias("kinds"), cells.alias("parts"))
-    mixed = stored(rows.join(columns.filter("kinds > 1"), "column").select(
-        "column", "node", "component", "parts"), "mixed")
+    parts = F.ceil(F.greatest(F.sum("n") / CELL_ROWS, F.sum("entries") / CELL_ENTRIES))
+    columns = sizes.groupBy("column").agg(
+        F.count(F.lit(1)).alias("kinds"), parts.alias("parts"), F.sum("n").alias("n"))
+    return stored(rows.join(columns.filter("kinds > 1").drop("kinds"), "column"), "mixed")
+
+
+def few_pairs(mixed: DataFrame, tried: DataFrame) -> DataFrame:
+    """All untried pairs in columns of at most PAIR_ROWS rows that can reach the bound, of
+    different components: as many for each row at most."""
+    few = mixed.filter(F.col("n") <= PAIR_ROWS)
+    names = ("node", "size", "rank", "component")
+    pairs = _side(few, "x", *names).join(_side(few, "y", *names), "column").filter(
+        f"x_component <> y_component AND x_node < y_node AND {REACHES}")
+    pairs = pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def product_links(df: DataFrame, text: str, keys: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``(a, b)``: links between rows of different components in columns of over PAIR_ROWS rows.
+
+    The rows meet in cells of bounded size: a column of more rows is cut into parts, and every
+    two parts make a cell. Tasks add up the overlaps there; only links leave a cell, at most one
+    per row, so a group of texts that are near each other but not linked costs a product and no
+    rows. Columns of the same rows are one.
+    """
+    mixed = mixed.filter(F.col("n") > PAIR_ROWS).select("column", "node", "component", "parts")
     alike = mixed.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
         F.sum(F.pmod(F.xxhash64(F.lit("second"), "node"), F.lit(1 << 40))).alias("y"))
@@ -474,7 +492,9 @@ def _classes(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataF
         links.append(linked(df, text, keys, pairs))
         labels = components(reduce(DataFrame.unionByName, links))
     marked = stored(labelled(entries, labels), "labelled")
-    links.append(product_links(df, text, keys, marked))
+    mixed = mixed_rows(marked)
+    links.append(linked(df, text, keys, stored(few_pairs(mixed, tried), "pairs")))
+    links.append(product_links(df, text, keys, mixed))
     return rows, components(reduce(DataFrame.unionByName, links))
 
 

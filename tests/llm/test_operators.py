@@ -364,10 +364,11 @@ def copies_without_a_hub(n, seed=6):
     return docs
 
 
-@pytest.mark.parametrize("cell_rows", [1_000, 17])
-def test_jaccard_of_copies_without_a_hub(spark, monkeypatch, cell_rows):
+@pytest.mark.parametrize("cell_rows, pair_rows", [(1_000, 48), (17, 5), (1_000, 1_000)])
+def test_jaccard_of_copies_without_a_hub(spark, monkeypatch, cell_rows, pair_rows):
     """What leaves the product grows with the rows, not with their pairs, and no link is lost."""
     monkeypatch.setattr(jaccard_join, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(jaccard_join, "PAIR_ROWS", pair_rows)
     seen = []
     product = jaccard_join.product_links
     monkeypatch.setattr(jaccard_join, "product_links", lambda *a: (r := product(*a), seen.append(r.count()))[0])
