@@ -6,7 +6,7 @@ with the uniform one. A document's score is its mean loss per token under the ta
 that under the background model: the lower, the more it looks like the target.
 
 Every occurrence in every document is counted, and every distinct word and pair has counts of its
-own, kept by a 63-bit hash: the models grow with the corpus and are never in one place. Rows are
+own, kept by a hash of 57 bits at least: the models grow with the corpus and are never in one place. Rows are
 dealt to batches of bounded size. Each batch sends its distinct n-grams, sorted, with its own
 counts, to the chunks of the hash range; a chunk adds them up and answers each batch with the
 corpus' counts in the same order. A word that is everywhere is one entry per batch.
@@ -29,20 +29,28 @@ from parley.llm.common import Words, mixed, stored, table, utf8
 LEAST_BATCH, MOST_BATCH, BATCHES = 1 << 18, 1 << 23, 256
 # Text whose n-grams meet in one chunk at most, and the least number of chunks as a power of 2.
 CHUNK_BYTES, LEAST_CHUNK_BITS = 1 << 25, 10
-# A chunk fixes at least the first byte of its keys, so that one isn't sent.
-KEY_BYTES = 7
+# The low bytes of a key that are sent. A chunk fixes as many of the two upper ones as it has
+# bits; the others are dropped, so keys have 48 bits and the chunk's, 58 at least.
+KEY_BYTES = 6
 # Weight of the word model in a pair's probability, and of the uniform one in a word's.
 PAIR_WEIGHT = 4.0
 WORD_WEIGHT = 100.0
 
 
-def word_keys(hashes: np.ndarray) -> np.ndarray:
+def word_keys(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Even keys, of words; those of pairs are odd."""
-    return hashes & ~np.uint64(1)
+    return hashes & ~np.uint64(1) & sent_bits(bits)
 
 
-def pair_keys(hashes: np.ndarray) -> np.ndarray:
-    return mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) | np.uint64(1)
+def pair_keys(hashes: np.ndarray, bits: int) -> np.ndarray:
+    keys = mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+    return (keys | np.uint64(1)) & sent_bits(bits)
+
+
+def sent_bits(bits: int) -> np.uint64:
+    """The bits of a key that its chunk of ``bits`` bits and its sent bytes tell."""
+    low = 8 * KEY_BYTES
+    return np.uint64(((1 << 64) - (1 << (64 - min(bits, 64 - low)))) | ((1 << low) - 1))
 
 
 def chunk_bits(size: int) -> int:
@@ -119,7 +127,7 @@ def own_counts(rows: DataFrame, text: str, target: str, bits: int, batch_bytes:
                 data = utf8(value.as_py())
                 hashes = words.of(data)
                 if len(hashes):
-                    held[is_target] += [word_keys(hashes), pair_keys(hashes)]
+                    held[is_target] += [word_keys(hashes, bits), pair_keys(hashes, bits)]
                     size += len(data)
         yield from send()
 
@@ -140,8 +148,8 @@ def answers(counts: DataFrame, bits: int) -> DataFrame:
         low = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
         keys = np.zeros((len(low), 8), np.uint8)
         keys[:, :KEY_BYTES] = low
-        keys[:, KEY_BYTES] = chunk >> (bits - 8)
-        keys, place = np.unique(keys.view("<u8")[:, 0], return_inverse=True)
+        top = np.uint64(chunk) << np.uint64(64 - bits) & ~np.uint64((1 << 8 * KEY_BYTES) - 1)
+        keys, place = np.unique(keys.view("<u8")[:, 0] | top, return_inverse=True)
         sums = []
         parts: list[np.ndarray] = []
         for name in ("target", "background"):
@@ -168,7 +176,7 @@ def answers(counts: DataFrame, bits: int) -> DataFrame:
                "n_target long, n_background long"), "lm-counts")
 
 
-def batch_losses(texts: Iterable[str | None], counts: pa.Table, vocabulary: int,
+def batch_losses(texts: Iterable[str | None], counts: pa.Table, bits: int, vocabulary: int,
                  totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's number of words and its mean loss per word under both models."""
     words = Words()
@@ -177,8 +185,9 @@ def batch_losses(texts: Iterable[str | None], counts: pa.Table, vocabulary: int,
     if not sizes.sum():
         return sizes, np.zeros((len(sizes), 2))
     filled = [x for x in each if len(x)]
-    own = np.concatenate([word_keys(x) for x in filled])
-    keys, place = np.unique(np.concatenate([own, *map(pair_keys, filled)]), return_inverse=True)
+    own = np.concatenate([word_keys(x, bits) for x in filled])
+    keys, place = np.unique(
+        np.concatenate([own, *(pair_keys(x, bits) for x in filled)]), return_inverse=True)
     counts = counts.sort_by("chunk")
     known = np.stack([
         np.concatenate([from_planes(x, "<i8") for x in counts[name].to_pylist()])
@@ -218,7 +227,7 @@ def score_difference(df: DataFrame, text: str, target: str) -> DataFrame:
     names = df.columns
 
     def score(own: pa.Table, counts: pa.Table) -> pa.Table:
-        sizes, each = batch_losses(own[text].to_pylist(), counts, vocabulary, totals)
+        sizes, each = batch_losses(own[text].to_pylist(), counts, bits, vocabulary, totals)
         return pa.table({n: own[n] for n in names} | {
             "n_tokens": pa.array(sizes, pa.int64()), "target_loss": pa.array(each[:, 0]),
             "background_loss": pa.array(each[:, 1]), "score": pa.array(each[:, 0] - each[:, 1]),
