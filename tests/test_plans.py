@@ -68,3 +68,45 @@ def test_cue_expression_stands_once_in_exploding_plans(spark, sf):
     for name in ("cue_statistics", "detect_cues", "resolve_highlight_spans"):
         text = plan(catalog.QUERIES[name](spark, sf))
         assert text.count("regexp_extract_all") <= 16, name  # one for each of the 16 terms
+
+
+def test_a_runs_scratch_folder_is_removed(spark, sf):
+    from pathlib import Path
+
+    from parley.session import scratch_path, scratch_scope
+
+    before = scratch_path(spark, "x").rsplit("/", 1)[0]
+    with scratch_scope(spark) as folder:
+        rows = catalog.QUERIES["sample_id"](spark, sf).count()
+        assert rows and list(Path(folder.removeprefix("file:")).iterdir())
+        assert scratch_path(spark, "x").startswith(folder)
+    assert not Path(folder.removeprefix("file:")).exists()
+    assert scratch_path(spark, "x").rsplit("/", 1)[0] == before
+
+
+def test_facts_read_each_text_once(spark, sf, tmp_path):
+    """One scan and one normalisation node per source; what follows reads narrow columns."""
+    from parley.functions import labels as lb
+    from parley.operators.audit import audit_facts
+    from parley.operators.facts import text_facts
+    from parley.operators.standardize import removals_from_facts
+    from parley.session import staged
+
+    raw = inputs.labelled(spark, sf)
+    facts = text_facts(raw, "comment_text", inputs.main_label(), lb.multilabel_json(["toxic"]))
+    text = plan(facts)
+    nodes = [x for x in text.splitlines() if "ArrowEvalPython" in x]
+    assert len(nodes) == 2  # entities and NFKC once, case folding once
+    assert len(re.findall(r"FileScan parquet \[[^]]*text#", text)) == 1
+    stored = staged(facts, "facts")
+    for table in (audit_facts(stored), removals_from_facts(stored)):
+        text = plan(table)
+        read = "".join(re.findall(r"ReadSchema: struct<([^>]*)>", text))
+        assert "ArrowEvalPython" not in text
+        assert "raw_text:" not in read and "text_clean:" not in read
+
+
+def test_selection_has_no_funnel(spark, sf):
+    for name in ("tfidf_vocab", "head_subset"):
+        found = re.findall(r"TakeOrderedAndProject\(limit=(\d+)", plan(catalog.QUERIES[name](spark, sf)))
+        assert all(int(n) <= 1000 for n in found), name
