@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import (
-    MEMO_WORDS, chunks, crc32_of_id, merged_chunks, received, ship, table,
+    MEMO_WORDS, any_names, chunks, crc32_of_id, merged_chunks, received, ship, table,
 )
 
 BUCKETS = 16_384
@@ -262,6 +262,7 @@ def score(df: DataFrame, text: str, vectors: np.ndarray, network: Network | None
     return df.mapInArrow(run, f"{fields}, score double")
 
 
+@any_names("held_out", "score", "predicted", columns=("id_column", "text"), keyed="labels")
 def classify(
     df: DataFrame, id_column: str, text: str, labels: DataFrame, label: str = "quality",
     rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD,
@@ -270,8 +271,9 @@ def classify(
 
     Rows whose ``crc32(id as text) mod 4`` is 2 are held out: their labels are never read. A
     null id is not held out and takes no part in fitting. Null and empty texts have the zero
-    vector and its score. Very long texts are read whole, in slices. Other columns and
-    repeated rows stay; the added names must be free. Without labels every score is 0.5.
+    vector and its score. Very long texts are read whole, in slices. Ids are numbers. Repeated
+    rows and other columns stay; columns named as the added ones are replaced. Without labels
+    every score is 0.5. An empty table stays empty.
     """
     vectors, network = fit(df, id_column, text, labels, label, rows)
     held = F.coalesce(crc32_of_id(id_column) % 4 == 2, F.lit(False))

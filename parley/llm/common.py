@@ -6,7 +6,9 @@ id alone: ids may be null or repeated, and equal rows have equal results.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
+import inspect
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,50 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+# Plain names that operators use inside, beside those that begin with an underscore.
+_INSIDE = frozenset("id node text_key first block item component batch chunk rank size column".split())
+
+
+def any_names(*added: str, columns: Sequence[str], keyed: str | None = None):
+    """Let the first table of an operator have columns of any names.
+
+    ``added`` are the names of the result's columns: columns of the caller that have one of them
+    (in any case) give way. ``columns`` are the operator's arguments that name columns, and
+    ``keyed`` is one that is another table with the first of them. The operator sees numbered
+    names in place of those that would clash, and the caller's come back in the result.
+    """
+    results = {n.lower() for n in added}
+
+    def clashes(name: str) -> bool:
+        return name.lower() in results or name.lower() in _INSIDE or name.startswith("_")
+
+    def wrap(operator):
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+            names = df.columns
+            if not any(map(clashes, names)):
+                return operator(df, *args, **kwargs)
+            inner = {n: unused(df, f"column{i}") if clashes(n) else n for i, n in enumerate(names)}
+            bound = signature.bind(df, *args, **kwargs)
+            if keyed:
+                key = bound.arguments[columns[0]]
+                bound.arguments[keyed] = bound.arguments[keyed].withColumnRenamed(key, inner[key])
+            for argument in columns:
+                if isinstance(value := bound.arguments.get(argument), str):
+                    bound.arguments[argument] = inner[value]
+                elif value is not None:
+                    bound.arguments[argument] = [inner[v] for v in value]
+            out = operator(df.toDF(*inner.values()), *bound.args[1:], **bound.kwargs)
+            kept = [F.col(inner[n]).alias(n) for n in names if n.lower() not in results and inner[n] in out.columns]
+            return out.select(*kept, *(n for n in added if n in out.columns))
+
+        return run
+
+    return wrap
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Blank-separated words in UTF-8; none for a null text."""
     return utf8(text).split()

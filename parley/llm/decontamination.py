@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import Windows, Words, covered, received, ship, stored, table, utf8
+from parley.llm.common import (
+    Windows, Words, any_names, covered, received, ship, stored, table, utf8,
+)
 
 WINDOW = 10
 GRAM = 5
@@ -126,6 +128,7 @@ def _pass(index, text: str):
     return search
 
 
+@any_names("n_words", "n_hit", "items", columns=("text",))
 def find_contamination(
     df: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str,
     block_bytes: int = BLOCK_BYTES,
@@ -134,8 +137,8 @@ def find_contamination(
 
     A null or empty text has no words and no hits. Items without words or with a null id are
     ignored; an id in several rows counts once. An empty benchmark hits nothing. Very long
-    texts are searched whole. Other columns and repeated rows of ``df`` stay; the added names
-    and ``__bits`` and ``__items`` must be free.
+    texts are searched whole. Other columns and repeated rows of ``df`` stay; columns named as
+    the added ones are replaced. An empty table stays empty.
     """
     spark = df.sparkSession
     source = benchmark.select(

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import (
-    Windows, Words, chunks, merged_chunks, received, ship, stored, table, utf8,
+    Windows, Words, any_names, chunks, merged_chunks, received, ship, stored, table, utf8,
 )
 from parley.llm.components import components
 
@@ -503,13 +503,16 @@ def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "node")), "named")
 
 
+@any_names("n_shingles", "component_id", columns=("id_column", "text"))
 def jaccard_components(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row.
 
     Rows link whose sets have 100 * intersection >= 80 * union; ``component_id`` is the
     smallest id reachable. Null and empty texts have an empty set and are components of their
     own. Repeated rows are copies of one another. Rows with a null id link as others do; a
-    component of such rows only has a null id. Sets are told apart by 64-bit hashes.
+    component of such rows only has a null id. Ids are numbers; sets are told apart by 64-bit
+    hashes. Very long texts are read whole. An empty table gives no rows. Other columns may have
+    any names and are not carried.
     """
     rows, labels = _classes(df, id_column, text)
     # The smallest id of each set, then of each component; hot sets are aggregated first.
@@ -522,10 +525,12 @@ def jaccard_components(df: DataFrame, id_column: str, text: str) -> DataFrame:
         F.col("id").alias(id_column), "n_shingles", own.alias("component_id"))
 
 
+@any_names(columns=("id_column", "text"))
 def keep_one_of_each(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """One row of every component: the one of the smallest id (nulls first), whole.
 
-    Rows without words are all kept. Of equal rows one stays.
+    Rows without words are all kept. Of equal rows one stays. Other columns stay and may have any
+    names. Very long texts are read whole; an empty table stays empty.
     """
     rows, labels = _classes(df, id_column, text)
     own = F.struct("id", "text_key")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import row_key, stored, table
+from parley.llm.common import any_names, row_key, stored, table
 
 # A line is boilerplate if more than this share of its host's pages contain it ...
 RATIO = 0.05
@@ -55,6 +55,7 @@ def boilerplate_lines(
     return counts.join(totals, "__host").filter(share > ratio).select("__host", "__line")
 
 
+@any_names("n_lines", "n_dropped", columns=("host", "text"))
 def drop_boilerplate(
     df: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES,
     copies: bool = True,
@@ -64,8 +65,7 @@ def drop_boilerplate(
     Lines are separated by LF. Lines without a word are never boilerplate and stay, as do the
     separators between kept lines. A null text stays null with no lines; an empty text has one
     (empty) line. Null hosts form a host of their own. All other columns, and repeated rows,
-    are kept as they are. The names ``n_lines``, ``n_dropped`` and those that begin with two
-    underscores must be free. A share equal to the ratio is not boilerplate. Very long texts are
+    are kept as they are; columns named as the added ones are replaced. A share equal to the ratio is not boilerplate. Very long texts are
     cut into lines whole, in one row.
     """
     pairs = stored(boilerplate_lines(df, host, text, ratio, min_pages, copies), "boilerplate")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import Words, mixed, stored, table, utf8
+from parley.llm.common import Words, any_names, mixed, stored, table, utf8
 
 # Text of one batch: a share of the corpus within these bounds. A longer text is its own batch.
 LEAST_BATCH, MOST_BATCH, BATCHES = 1 << 18, 1 << 23, 256
@@ -208,13 +208,14 @@ def batch_losses(texts: Iterable[str | None], counts: pa.Table, bits: int, vocab
     return sizes, sums / np.maximum(sizes, 1)[:, None]
 
 
+@any_names("n_tokens", "target_loss", "background_loss", "score", columns=("text", "target"))
 def score_difference(df: DataFrame, text: str, target: str) -> DataFrame:
     """Add ``n_tokens`` (long), ``target_loss``, ``background_loss`` and ``score`` (double).
 
     ``target`` marks the target's documents (null: not one); the background is the whole
     corpus. A null or empty text has no tokens and losses of 0. With no target its model is
-    the uniform one. Very long texts are read whole. Other columns and repeated rows stay; the
-    added names must be free.
+    the uniform one. Very long texts are read whole. Other columns and repeated rows stay;
+    columns named as the added ones are replaced. An empty table stays empty.
     """
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = chunk_bits(size)
@@ -243,10 +244,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; those labelled with quality 1 are the target."""
     good = (
         table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
-        .withColumn("__good", F.lit(True)).hint("merge")
+        .withColumn("good", F.lit(True)).hint("merge")
     )
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
-    return score_difference(docs, "text", "__good").drop("text", "__good")
+    return score_difference(docs, "text", "good").drop("text", "good")
 
 
 QUERIES = {"op6_lm_scoring": op6_lm_scoring}

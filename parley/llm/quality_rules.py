@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import BLANKS, table
+from parley.llm.common import BLANKS, any_names, table
 
 BUCKETS = 8192
 # Added to each bucket's count.
@@ -133,6 +133,7 @@ RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
            "llr", "kept")
 
 
+@any_names("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", columns=("text", "trusted"))
 def quality_rules(
     df: DataFrame, text: str, trusted: str, buckets: int = BUCKETS, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -141,8 +142,8 @@ def quality_rules(
     ``trusted`` marks target documents (null: not one). A null or empty text has no words: it
     fails the length rule and has ratio 0. With no trusted document all ratios come from the
     smoothing alone. Very long texts are read whole, in one row, in time that grows with their
-    length, filtered by the results or not. Added names must be free; other columns and repeated
-    rows stay.
+    length, filtered by the results or not. Other columns and repeated rows stay; columns named
+    as the added ones are replaced. An empty table stays empty.
     """
     # ``buckets`` numbers, folded into one constant of the plan: a subquery cannot stand within
     # a higher-order function.
@@ -163,10 +164,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; documents labelled with quality 1 are the trusted target."""
     good = (
         table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
-        .withColumn("__good", F.lit(True)).hint("merge")
+        .withColumn("good", F.lit(True)).hint("merge")
     )
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
-    return quality_rules(docs, "text", "__good").drop("text", "__good")
+    return quality_rules(docs, "text", "good").drop("text", "good")
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import table
+from parley.llm.common import any_names, table
 from parley.operators.rowindex import index_by_order
 
 ROUNDS = 6
@@ -90,6 +90,7 @@ def place_sql(row: str, n: int, steps: int, seed: int) -> str:
     return f"aggregate(sequence(1, {steps}), {first}, (x, i) -> if(x < {n}L, x, {again}))"
 
 
+@any_names("row", "shard", "slot", columns=("order",))
 def shard_rows(
     df: DataFrame, order: Sequence[str], shards: int = SHARDS, seed: int = SEED
 ) -> DataFrame:
@@ -98,7 +99,7 @@ def shard_rows(
     ``order`` names the columns that fix the row order, nulls first. Rows equal in all of them
     are numbered in any order among themselves, so pass what tells rows apart; select narrow
     columns, as every column of ``df`` is sorted. An empty table gives an empty result. The
-    added names must not occur in ``df``.
+    columns named as the added ones are replaced.
     """
     spark = df.sparkSession
     # The last sort column spreads a large group of equal rows over range partitions.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import (
-    Windows, Words, mixed, received, row_key, ship, stored, table, utf8, words_of,
+    Windows, Words, any_names, mixed, received, row_key, ship, stored, table, utf8, words_of,
 )
 
 WINDOW = 35
@@ -274,13 +274,15 @@ def repeated_windows(df: DataFrame, text: str) -> DataFrame:
         _collect, "__k1 long, __k2 long, __at binary")
 
 
+@any_names("n_words", "n_removed", "kept", columns=("text",))
 def remove_repeats(df: DataFrame, text: str) -> DataFrame:
     """Add ``n_words``, ``n_removed`` (long) and ``kept`` (string) to every row.
 
     ``kept`` holds the words that no repeated window covers, joined by one space. A null or
     empty text has no words and keeps the empty string; texts under 35 words lose nothing. All
-    copies lose their words: no copy is spared. Other columns and repeated rows stay; the
-    added names and those that begin with two underscores must be free.
+    copies lose their words: no copy is spared. Other columns and repeated rows stay; columns
+    named as the added ones are replaced. Very long texts are read whole, an empty table stays
+    empty.
     """
     k1, k2 = row_key(text)
     # Stored: a join of two plain exchanges lets Spark split the partition of a hot text.

@@ -403,3 +403,44 @@ def test_pipeline(spark, sf):
             assert tuple(after.columns) == corpus_pipeline.COLUMNS and 0 < after.count() <= docs.count()
             docs = after
     assert after.select("doc_id").distinct().count() == docs.count()
+
+
+ADDED = {
+    "shard_rows": ("row", "shard", "slot"), "quality_rules": quality_rules.RESULTS,
+    "drop_boilerplate": ("n_lines", "n_dropped"),
+    "score_difference": ("n_tokens", "target_loss", "background_loss", "score"),
+    "find_contamination": ("n_words", "n_hit", "items"), "classify": ("held_out", "score", "predicted"),
+    "remove_repeats": ("n_words", "n_removed", "kept"), "jaccard_components": ("n_shingles", "component_id"),
+    "keep_one_of_each": (),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ADDED))
+def test_columns_of_any_names(spark, edge, name):
+    """Clashing columns of the caller give way to results and change nothing else."""
+    items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, quality int")
+    run = {
+        "shard_rows": lambda d, t: sharding.shard_rows(d, [t, "doc_id"], 3),
+        "quality_rules": lambda d, t: quality_rules.quality_rules(d, t, "extra", buckets=16),
+        "drop_boilerplate": lambda d, t: line_dedup.drop_boilerplate(d, "source", t),
+        "score_difference": lambda d, t: lm_scoring.score_difference(d, t, "extra"),
+        "find_contamination": lambda d, t: decontamination.find_contamination(d, t, items, "item_id", "text"),
+        "classify": lambda d, t: classifier.classify(d, "doc_id", t, labels),
+        "remove_repeats": lambda d, t: substring_dedup.remove_repeats(d, t),
+        "jaccard_components": lambda d, t: jaccard_join.jaccard_components(d, "doc_id", t),
+        "keep_one_of_each": lambda d, t: jaccard_join.keep_one_of_each(d, "doc_id", t),
+    }[name]
+    plain = edge.select("doc_id", "text", "source", (F.col("doc_id") == 3).alias("extra"))
+    inside = ["__k1", "__words", "__batch", "__text", "__key", "id", "node", "block"]
+    clash = plain.select("*", *(F.lit("own").alias(n) for n in inside), *(F.lit("own").alias(n.upper()) for n in ADDED[name]))
+    mine, want = run(clash, "text"), run(plain, "text")
+    kept = [] if name == "jaccard_components" else inside
+    assert mine.columns == [*(c for c in want.columns if c not in ADDED[name]), *kept, *ADDED[name]]
+    same = [c for c in want.columns if name != "shard_rows" or c not in ADDED[name]]
+    rows = sorted(map(repr, mine.select(same).collect()))
+    assert rows == sorted(map(repr, want.select(same).collect()))
+    assert all(r[c] == "own" for r in mine.collect() for c in kept)
+    # The text itself under a clashing name.
+    odd = plain.withColumnRenamed("text", "__key")
+    assert run(odd, "__key").count() == len(rows)
