@@ -90,10 +90,17 @@ def arc_header(version: int, url: str, date: str, kind: str, length: int, name:
     return f"{url} 0.0.0.0 {date} {kind}{extra} {length}\n".encode()
 
 
-def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], int, bytes]]:
-    """Header fields, position and block of each record; version blocks change the fields."""
+def arc_records(
+    content: bytes, bad: list[tuple[int, str]] | None = None
+) -> Iterator[tuple[dict[str, str], int, bytes]]:
+    """Header fields, position and block of each record; version blocks change the fields.
+
+    A malformed header or a record that ends early is an error. Given a list for them, they are
+    told there by position instead, and reading goes on at the next line that is a header.
+    """
     stream = _opened(content)
     fields = ARC_FIELDS[1].split()
+    lost = False
     while True:
         position = stream.tell()
         line = stream.readline()
@@ -102,14 +109,49 @@ def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], int, bytes]]:
         if not line.strip():
             continue  # the line feed after a record
         text = line.decode("utf-8", "replace").rstrip("\r\n")
-        if text.startswith("filedesc://"):
-            body = _exactly(stream, int(text.rsplit(" ", 1)[1]))
-            fields = body.decode("utf-8", "replace").splitlines()[1].split()
+        version = text.startswith("filedesc://")
+        values = text.rsplit(" ", 1 if version else len(fields) - 1)
+        whole = values[-1].isdigit() and (version or len(values) == len(fields))
+        if lost and whole and not version:  # a line of text may end with a number
+            date = dict(zip(fields, values))["Archive-date"]
+            whole = date.isdigit() and len(date) in (8, 12, 14)
+        if not whole:
+            if bad is None:
+                raise ValueError(f"no ARC header at byte {position}: {text[:100]}")
+            if not lost:
+                bad.append((position, f"no ARC header: {text[:100]}"))
+            lost = True
             continue
-        values = text.rsplit(" ", len(fields) - 1)
-        if len(values) != len(fields) or not values[-1].isdigit():
-            raise ValueError(f"no ARC header at byte {position}: {text[:100]}")
-        yield dict(zip(fields, values)), position, _exactly(stream, int(values[-1]))
+        try:
+            block = _exactly(stream, int(values[-1]))
+        except ValueError as problem:
+            if bad is None:
+                raise
+            bad.append((position, str(problem)))
+            return
+        lost = False
+        if version:
+            fields = block.decode("utf-8", "replace").splitlines()[1].split()
+        else:
+            yield dict(zip(fields, values)), position, block
+
+
+def bad_arc_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(archive, position, problem)`` of what a conversion that is not strict leaves out."""
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                bad: list[tuple[int, str]] = []
+                for _ in arc_records(content.as_py(), bad):
+                    pass
+                yield pa.RecordBatch.from_pydict({
+                    "archive": pa.array([archive.rsplit("/", 1)[1]] * len(bad), pa.string()),
+                    "position": pa.array([p for p, _ in bad], pa.int64()),
+                    "problem": pa.array([p for _, p in bad], pa.string())})
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "content").mapInArrow(find, "archive string, position long, problem string")
 
 
 def write_pages_as_arc(pages: DataFrame, key: str, url: str, html: str, path: str) -> None:
@@ -149,7 +191,7 @@ def write_pages_as_arc(pages: DataFrame, key: str, url: str, html: str, path: st
 
 _RECORD = (
     "archive string, position long, record_id string, url string, ip string, date string, "
-    "kind string, key string, payload_bytes long, payload_digest string"
+    "kind string, content_type string, key string, payload_bytes long, payload_digest string"
 )
 
 
@@ -165,9 +207,9 @@ def _http_field(head: bytes, name: bytes) -> str | None:
     return found[1].decode("utf-8", "replace").strip() if found else None
 
 
-def read_arc(spark: SparkSession, path: str, blocks: bool) -> DataFrame:
+def read_arc(spark: SparkSession, path: str, blocks: bool, strict: bool = True) -> DataFrame:
     """One row per ARC record with the WARC fields synthesised; ``head`` and ``payload`` too
-    if ``blocks`` is set."""
+    if ``blocks`` is set. Parts of a date that an archive leaves out are zeros."""
     names = _RECORD + (", head binary, payload binary" if blocks else "")
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +217,9 @@ def read_arc(spark: SparkSession, path: str, blocks: bool) -> DataFrame:
             for batch in batches:
                 for archive, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                     archive = archive.rsplit("/", 1)[1]
-                    for fields, position, block in arc_records(content.as_py()):
+                    for fields, position, block in arc_records(content.as_py(), None if strict else []):
                         head, payload = _split_http(block)
-                        d = fields["Archive-date"]
+                        d = fields["Archive-date"].ljust(14, "0")
                         row = {
                             "archive": archive, "position": position,
                             "record_id": str(uuid.uuid5(uuid.NAMESPACE_URL,
@@ -185,6 +227,7 @@ def read_arc(spark: SparkSession, path: str, blocks: bool) -> DataFrame:
                             "url": fields["URL"], "ip": fields["IP-address"],
                             "date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
                             "kind": "response" if head else "resource",
+                            "content_type": fields["Content-type"],
                             "key": _http_field(head, b"X-Page-Id"),
                             "payload_bytes": len(payload),
                             "payload_digest": hashlib.sha256(payload).hexdigest(),
@@ -249,7 +292,7 @@ def warc_record(row: dict) -> bytes:
             f"WARC-Refers-To-Date: {row['to_date']}",
         ]
     http = row["head"] or row["kind"] == "response"
-    kind = "application/http; msgtype=response" if http else "application/octet-stream"
+    kind = "application/http; msgtype=response" if http else row["content_type"]
     lines += [f"Content-Type: {kind}", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block
 
@@ -264,16 +307,18 @@ def warc_info(name: str) -> bytes:
     return "\r\n".join(lines).encode() + body
 
 
-def convert_arc(spark: SparkSession, arc: str, warc: str, least: int = REVISIT_BYTES) -> None:
+def convert_arc(spark: SparkSession, arc: str, warc: str, least: int = REVISIT_BYTES,
+                strict: bool = True) -> None:
     """Write the WARC archives of a folder of ARC archives.
 
-    A record that is no HTTP message becomes a resource, never a revisit. Empty payloads,
-    equal records and records without a key are kept. A malformed header or a record shorter
-    than declared ends the conversion with an error.
+    A record that is no HTTP message becomes a resource of its own content type, never a revisit.
+    Empty payloads, equal records and records without a key are kept. A malformed header or a
+    record shorter than declared ends the conversion with an error, or is left out if it is not
+    ``strict`` (``bad_arc_records`` lists them).
     """
-    records = read_arc(spark, arc, blocks=True)
+    records = read_arc(spark, arc, blocks=True, strict=strict)
     joined = records.join(
-        revisits(read_arc(spark, arc, blocks=False), least), ["archive", "position"], "left")
+        revisits(read_arc(spark, arc, blocks=False, strict=strict), least), ["archive", "position"], "left")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{TaskContext.get().partitionId():06d}.warc"

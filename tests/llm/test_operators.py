@@ -156,6 +156,43 @@ def test_arc_versions_and_errors():
             list(warc.arc_records(data[:-3]))
 
 
+def test_arc_dates_types_and_bad_records(spark, tmp_path):
+    def http(body):
+        return b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n%s" % (len(body), body)
+
+    def record(url, date, kind, block):
+        return warc.arc_header(1, url, date, kind, len(block), "n") + block + b"\n"
+
+    arc = tmp_path / "arc"
+    arc.mkdir()
+    whole = warc.arc_version_block(1, "n") + b"\n" + record("http://a/", "200001021234", "text/html", http(b"x" * 9))
+    whole += record("dns:a", "20000102", "text/dns", b"a 1 IN A 0.0.0.0")
+    (arc / "one.arc").write_bytes(whole)
+    bad = b"http://b/ broken header\nsome text 12\n" + record("http://c/", "20000102030405", "text/html", http(b"ok"))
+    (arc / "two.arc").write_bytes(whole + bad + record("http://d/", "20000102030405", "text/html", http(b"cut"))[:-3])
+    with pytest.raises(Exception, match="no ARC header|ends 2 bytes"):
+        warc.convert_arc(spark, str(arc), str(tmp_path / "strict"))
+    out = str(tmp_path / "out")
+    warc.convert_arc(spark, str(arc), out, strict=False)
+    found = [(f["warc-target-uri"], f["warc-date"], f["content-type"])
+             for p in sorted((tmp_path / "out").glob("part-*")) for f, _ in warc.warc_records(p.read_bytes())
+             if f["warc-type"] != "warcinfo"]
+    page = "application/http; msgtype=response"
+    assert sorted(found) == sorted(2 * [("dns:a", "2000-01-02T00:00:00Z", "text/dns"), ("http://a/", "2000-01-02T12:34:00Z", page)]
+                                   + [("http://c/", "2000-01-02T03:04:05Z", page)])
+    problems = sorted((r.archive, r.position, r.problem[:13]) for r in warc.bad_arc_records(spark, str(arc)).collect())
+    assert problems == [("two.arc", len(whole), "no ARC header"),
+                        ("two.arc", len(whole + bad), "archive ends ")]
+
+
+def test_warc_of_an_empty_table(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    arc, out = str(tmp_path / "arc"), str(tmp_path / "warc")
+    warc.write_pages_as_arc(pages, "page_id", "url", "html", arc)
+    warc.convert_arc(spark, arc, out)
+    assert warc.read_warc(spark, out).count() == 0
+
+
 def test_line_dedup_edge_cases(spark, edge, empty):
     rows = line_dedup.drop_boilerplate(edge, "source", "text", ratio=0.3, min_pages=2).collect()
     assert len(rows) == len(EDGE)
