@@ -262,6 +262,51 @@ def test_pack_is_close_to_the_bound():
     assert used <= 1.01 * -(-int(sizes.sum()) // 1024)
 
 
+@pytest.mark.parametrize("capacity, n", [(7, 40), (16, 200), (50, 300)])
+def test_pack_makes_the_least_sum_of_squares(capacity, n):
+    """Every choice against all open sequences: least sum, then smallest gap, then the latest."""
+    sizes = np.random.default_rng(capacity).integers(1, capacity + 1, n)
+    gaps, order, want = [], [], []  # gap of each sequence; when it came to that gap
+
+    def squares(open_gaps):
+        return sum(k * k for g, k in Counter(open_gaps).items() if g)
+
+    for step, size in enumerate(sizes.tolist()):
+        fits = [k for k, gap in enumerate(gaps) if gap >= size]
+        if not fits:
+            gaps.append(capacity)
+            order.append(step)
+            best = len(gaps) - 1
+        else:
+            best = min(fits, key=lambda k: (squares([*gaps[:k], gaps[k] - size, *gaps[k + 1:]]), gaps[k], -order[k]))
+        want.append((best, capacity - gaps[best]))
+        gaps[best] -= size
+        order[best] = step
+    sequence, offset, used = packing.pack(sizes, capacity)
+    assert list(zip(sequence.tolist(), offset.tolist())) == want and used == len(gaps)
+
+
+@pytest.mark.parametrize("slice_", [100_000, 7])
+def test_context_sums_and_pooling_by_plain_loops(monkeypatch, slice_):
+    monkeypatch.setattr(classifier, "SLICE", slice_)
+    random = np.random.default_rng(1)
+    index, pad = classifier.index_vectors(), [classifier._PAD] * classifier.NEIGHBOURS
+    ids = np.array([*pad, *random.integers(0, 5, 40), *pad, *random.integers(0, 5, 9), *pad])
+    sums = np.zeros((classifier.BUCKETS + 1, classifier.DIM + 1), np.int32)
+    classifier.add_contexts(ids, index, sums)
+    want = np.zeros_like(sums)
+    r = classifier.NEIGHBOURS
+    for i in range(r, len(ids) - r):
+        for d in range(-r, r + 1):
+            want[ids[i], : classifier.DIM] += index[ids[i + d]] if d else 0
+        want[ids[i], classifier.DIM] += 1
+    assert np.array_equal(sums[: classifier.BUCKETS], want[: classifier.BUCKETS])
+    vectors = random.random((classifier.BUCKETS, classifier.DIM))
+    own = random.integers(0, 99, 50)
+    assert classifier.pooled(own, vectors) == pytest.approx(np.mean([vectors[i] for i in own], axis=0))
+    assert not classifier.pooled(own[:0], vectors).any()
+
+
 def test_word_hashes_tell_words_apart():
     words, text = Words(), b"  a ab\tb a\nab\x0bc "
     values = words.of(text)
