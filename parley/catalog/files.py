@@ -12,7 +12,7 @@ from parley.catalog.corpus import SQL as CORPUS_SQL
 from parley.catalog.review import conversations_csv
 from parley.operators import slices, splits, validation
 from parley.plans import prep
-from parley.session import scratch_path, staged
+from parley.session import scratch_path, scratch_scope, staged
 from parley.sinks import tables as out
 from parley.sources import corpus as src
 from parley.sources import uploads
@@ -275,7 +275,8 @@ _TOTALS = ("count(*) AS rows, sum(binary_label)::BIGINT AS positives, sum(has_id
 def run_pipeline(spark, sf_dir):
     """Both sources from CSV through all gates to published tables, read back."""
     output = scratch_path(spark, "published")
-    prep.run_prep(spark, _multilabel_csv(spark, sf_dir), _scored_csv(spark, sf_dir), output)
+    with scratch_scope(spark):
+        prep.run_prep(spark, _multilabel_csv(spark, sf_dir), _scored_csv(spark, sf_dir), output)
     columns = ("binary_label", "has_identity_term", "has_obfuscation", "char_len")
     parts = [spark.read.parquet(f"{output}/main/splits.parquet").select(F.col("split").alias("artefact"), *columns)]
     parts += [

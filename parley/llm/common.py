@@ -219,9 +219,9 @@ def merged_chunks(parts: DataFrame, dtype: str, out: str, limit: int) -> DataFra
     return parts.repartition("chunk").mapInArrow(add, "chunk int, data binary")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """A table in the shared folder; see ``parley.session.staged``."""
-    return staged(df, f"llm-{name}")
+    return staged(df, f"llm-{name}", options=options)
 
 
 def ship(spark: SparkSession, value) -> Broadcast:

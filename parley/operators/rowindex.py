@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.session import scratch_path, staged
+from parley.session import COMPACT, scratch_path, staged
 
 # Tables of files or splits up to this size (some 20 MB) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
@@ -104,7 +104,7 @@ def index_by_order(df: DataFrame, order: Sequence[Column], out: str, start: int
     """
     spark = df.sparkSession
     path = scratch_path(spark, "sorted")
-    df.sort(*order).write.parquet(path)
+    df.sort(*order).write.options(**COMPACT).parquet(path)
     name = F.col("_metadata.file_name")
     rows = (
         spark.read.schema(df.schema)

@@ -17,7 +17,7 @@ from parley.operators.audit import audit_facts
 from parley.operators.facts import text_facts
 from parley.operators.standardize import corpus_from_facts, removals_from_facts
 from parley.operators.validation import Validation, validate_dataset
-from parley.session import staged
+from parley.session import remove_scratch, scratch_in, scratch_path, scratch_scope, staged
 from parley.sinks import tables as out
 from parley.sources.corpus import ScoredSchema, load_multilabel, load_scored_optional
 
@@ -75,13 +75,42 @@ def _features(
     settings: cfg.PrepSettings,
     token_length: TokenLength | None,
     score_columns: tuple[str, ...] = (),
+    path: str | None = None,
 ) -> DataFrame:
     """Flags and token lengths, stored once: every later step prunes what it reads."""
     tokens = token_length(F.col("text_clean")) if token_length else F.lit(None).cast("int")
     flagged = slices.add_flags(
         corpus.withColumn("bert_token_len", tokens), settings, score_columns
     )
-    return staged(flagged, "corpus")
+    return staged(flagged, "corpus", path)
+
+
+def _stored_corpus(
+    raw: DataFrame,
+    text_column: str,
+    label: Column,
+    label_info: Column,
+    source: str,
+    settings: cfg.PrepSettings,
+    token_length: TokenLength | None,
+    identity: tuple[str, ...] = (),
+    label_columns: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored corpus, audit and removal counts of a source.
+
+    All three come from the facts, which hold every text twice and go as soon as they are stored.
+    """
+    spark = raw.sparkSession
+    kept, audit, removal = (scratch_path(spark, n) for n in ("corpus", "audit", "removal"))
+    with scratch_scope(spark):
+        facts = staged(text_facts(
+            raw, text_column, label, label_info, settings, identity, label_columns), "facts")
+        corpus = corpus_from_facts(facts, source, settings, identity)
+        return (
+            _features(corpus, settings, token_length, identity, kept),
+            staged(audit_facts(facts), "audit", audit),
+            staged(removals_from_facts(facts, settings), "removal", removal),
+        )
 
 
 def prepare_main(
@@ -94,12 +123,9 @@ def prepare_main(
     """Prepare the multi-label source. Raises before anything is published if a gate fails."""
     unmeasured = _token_warnings(settings.multilabel_source, settings, token_length)
     label = main_label(settings, label_columns)
-    facts = staged(text_facts(
-        raw, text_column, label, lb.multilabel_json(label_columns), settings,
-        label_columns=label_columns,
-    ), "facts")
-    corpus = corpus_from_facts(facts, settings.multilabel_source, settings)
-    stored = _features(corpus, settings, token_length)
+    stored, audit, removal = _stored_corpus(
+        raw, text_column, label, lb.multilabel_json(label_columns), settings.multilabel_source,
+        settings, token_length, label_columns=label_columns)
     limits = slices.length_thresholds(stored)
     bucketed = stored.withColumn("length_bucket", slices.length_bucket(F.col("word_len"), limits))
     split = splits.stratified_split3(bucketed, settings.test_size, settings.val_size, settings.seed)
@@ -107,8 +133,8 @@ def prepare_main(
     checks.warnings[:0] = unmeasured
     split = _gated(split, checks, settings)
     summaries = {
-        "audit": audit_facts(facts),
-        "removal": removals_from_facts(facts, settings),
+        "audit": audit,
+        "removal": removal,
         # The train target is the fixed 0.70 whatever the sizes are set to.
         "split_summary": splits.split_summary(
             split, "two-stage stratified hash split", (settings.seed, settings.seed + 1),
@@ -134,10 +160,9 @@ def prepare_scored(
     text, score, identity = schema.text_column, schema.label_column, schema.identity_columns
     label = lb.score_to_binary(score, settings.score_threshold)
     numeric = raw.withColumns({c: lb.to_number(F.col(c)) for c in identity}) if identity else raw
-    facts = staged(text_facts(
-        numeric, text, label, lb.score_json(score), settings, identity, (score,)), "facts")
-    corpus = corpus_from_facts(facts, settings.scored_source, settings, identity)
-    stored = _features(corpus, settings, token_length, identity)
+    stored, audit, removal = _stored_corpus(
+        numeric, text, label, lb.score_json(score), settings.scored_source, settings, token_length,
+        identity, (score,))
     bucketed = stored.withColumn("length_bucket", slices.length_bucket(F.col("word_len"), limits))
     split = splits.stratified_split2(bucketed, settings.external_size, settings.seed + 2)
     checks = validate_dataset(split, settings.scored_source, SCORED_SPLITS, settings)
@@ -153,8 +178,8 @@ def prepare_scored(
     ]
     split = _gated(split, checks, settings)
     summaries = {
-        "audit": audit_facts(facts),
-        "removal": removals_from_facts(facts, settings),
+        "audit": audit,
+        "removal": removal,
         "split_summary": splits.split_summary(
             split, "stratified hash split", (settings.seed + 2,),
             {"aug_pool": 1.0 - settings.external_size, "external_test": settings.external_size},
@@ -178,15 +203,36 @@ def run_prep(
 ) -> PrepResult:
     """Run everything and write tables and summaries below ``output``.
 
-    All gates run before the first output is written.
+    All gates run before the first output is written, and the records read are removed by then.
     """
+    records = scratch_path(spark, "records")
+    try:
+        result, train_rows = _prepared(
+            spark, multilabel_path, scored_path, settings, fmt, token_length, records)
+    finally:
+        remove_scratch(spark, records)
+    publish(result, output, train_rows, settings)
+    return result
+
+
+def _prepared(
+    spark: SparkSession,
+    multilabel_path: str,
+    scored_path: str | None,
+    settings: cfg.PrepSettings,
+    fmt: str,
+    token_length: TokenLength | None,
+    records: str,
+) -> tuple[PrepResult, int]:
+    """Both sources, their records stored in the folder ``records``, and the rows of train."""
     dropped: list[tuple[str, str, str]] = []
     how = {"fmt": fmt, "on_malformed": settings.on_malformed, "warnings": dropped}
-    raw = load_multilabel(spark, multilabel_path, name=settings.multilabel_source, **how)
-    scored_raw, schema = (
-        load_scored_optional(spark, scored_path, name=settings.scored_source, **how)
-        if scored_path else (None, None)
-    )
+    with scratch_in(records):
+        raw = load_multilabel(spark, multilabel_path, name=settings.multilabel_source, **how)
+        scored_raw, schema = (
+            load_scored_optional(spark, scored_path, name=settings.scored_source, **how)
+            if scored_path else (None, None)
+        )
     main = prepare_main(raw, settings, token_length)
     result = PrepResult(main, warnings=dropped + main.validation.warnings)
     train_rows = main.corpus.filter(F.col("split") == "train").count()
@@ -200,8 +246,7 @@ def run_prep(
             scored_raw, schema, main.thresholds, train_rows, settings, token_length
         )
         result.warnings += result.scored.validation.warnings
-    publish(result, output, train_rows, settings)
-    return result
+    return result, train_rows
 
 
 def publish(result: PrepResult, output: str, train_rows: int, settings: cfg.PrepSettings) -> None:

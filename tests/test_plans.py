@@ -110,3 +110,27 @@ def test_selection_has_no_funnel(spark, sf):
     for name in ("tfidf_vocab", "head_subset"):
         found = re.findall(r"TakeOrderedAndProject\(limit=(\d+)", plan(catalog.QUERIES[name](spark, sf)))
         assert all(int(n) <= 1000 for n in found), name
+
+
+def test_preparation_leaves_only_what_its_tables_read(spark, tmp_path):
+    """Records and facts go before the outputs are written, and the outputs are compressed."""
+    from pathlib import Path
+
+    from parley.plans import prep
+    from parley.session import scratch_scope
+    from parley.settings import MULTILABEL_LABELS
+
+    zero = ",".join("0" for _ in MULTILABEL_LABELS[1:])
+    lines = [f'"a, ""text"" {i}",{i % 2},{zero}' for i in range(200)]
+    (tmp_path / "raw.csv").write_text("\n".join(["comment_text," + ",".join(MULTILABEL_LABELS), *lines]))
+    with scratch_scope(spark) as folder:
+        result = prep.run_prep(spark, str(tmp_path / "raw.csv"), None, str(tmp_path / "out"))
+        left = {p.name.split("-")[0] for p in Path(folder.removeprefix("file:")).iterdir()}
+        assert result.main.corpus.count() == 200
+    assert left == {"corpus", "audit", "removal", "overlaps"}
+    copies = [p for p in (tmp_path / "out/main").rglob("part-*") if ".csv/" in str(p)]
+    assert copies and all(p.name.endswith(".csv.gz") for p in copies)
+    tables = list((tmp_path / "out/main").rglob("part-*.parquet"))
+    assert tables and all(p.name.endswith(".zstd.parquet") for p in tables)
+    texts = spark.read.options(header=True, quote='"', escape='"').csv(str(tmp_path / "out/main/splits.csv"))
+    assert {r.raw_text for r in texts.collect()} == {f'a, "text" {i}' for i in range(200)}
