@@ -22,7 +22,8 @@ WORD = r"\p{L}\p{N}_"
 WORD_START = rf"(?<![{WORD}])"
 WORD_END = rf"(?![{WORD}])"
 _EITHER_EDGE = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
-WORD_TOKEN = rf"[{WORD}]{{2,}}+"
+# Of lower-case texts. Plain letters and digits come first: most characters need no look-up.
+WORD_TOKEN = rf"[a-z0-9{WORD}]{{2,}}+"
 
 URL = rf"(?iuU){WORD_START}(?:https?://|www\.)[^{WS}]++"
 # An address starts at the first word boundary of a run of local-part characters. Entering a run

@@ -1,19 +1,19 @@
 """TF-IDF over word unigrams and bigrams.
 
-Texts stay whole rows: term counts of a text come from the JVM count vectoriser and the weights
-from array expressions over its indices, so weighting a table needs no shuffle. Only fitting
-does one, on terms, with partial sums.
+Texts stay whole rows: the JVM finds their words, and Arrow kernels pair, count and weigh them
+where they are, some STEP_WORDS words at a time, so weighting a table needs no shuffle. Only
+fitting does one, on terms, with partial sums.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +21,9 @@ from parley.functions import patterns as rx
 from parley.operators.selection import most_frequent
 from parley.session import staged
 
+# Words whose terms a task holds at once (some 30 MB); a longer text is taken whole.
+STEP_WORDS = 1 << 19
+
 
 def tokens(text: Column) -> Column:
     """Lower-case words of at least two characters."""
@@ -42,6 +45,38 @@ def with_terms(df: DataFrame, text_column: str, out: str = "terms") -> DataFrame
     )
 
 
+def _steps(words: pa.ListArray) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """``(texts, terms, text of each term)`` for runs of texts, given by their words."""
+    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        limit = ends[first] - sizes[first] + STEP_WORDS
+        stop = max(first + 1, int(np.searchsorted(ends, limit, "right")))
+        flat = words.slice(first, stop - first).flatten().cast(pa.large_string())
+        text = np.repeat(np.arange(stop - first), sizes[first:stop])
+        paired = text[1:] == text[:-1]
+        mask = pa.array(paired)
+        left, right = flat.slice(0, len(mask)).filter(mask), flat.slice(len(flat) - len(mask)).filter(mask)
+        pairs = pc.binary_join_element_wise(left, right, pa.scalar(" ", pa.large_string()))
+        yield stop - first, pa.concat_arrays([flat, pairs]), np.concatenate([text, text[1:][paired]])
+        first = stop
+
+
+def _term_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and texts of the terms of each step."""
+    for batch in batches:
+        for _, terms, text in _steps(batch.column(0)):
+            coded = terms.dictionary_encode()
+            codes, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+            if n:
+                yield pa.RecordBatch.from_arrays([
+                    coded.dictionary.cast(pa.string()),
+                    pa.array(np.bincount(codes, minlength=n)),
+                    pa.array(np.bincount(np.unique(text * n + codes) % n, minlength=n)),
+                ], ["term", "tf", "df"])
+
+
 def vocabulary(
     df: DataFrame, text_column: str, max_features: int = 50_000, min_df: int = 2
 ) -> DataFrame:
@@ -50,15 +85,8 @@ def vocabulary(
     A frequent term is one partial row per task before the shuffle. All terms' counts are
     stored, and the cut among them is found from a histogram.
     """
-    termed = with_terms(df.select(text_column), text_column)
-    # Each text lists its terms, then its distinct terms: the first part counts occurrences,
-    # the second texts.
-    listed = termed.select(
-        F.size("terms").alias("n"),
-        F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"),
-    )
-    first = F.col("at") < F.col("n")
-    counted = listed.select("term", first.cast("long").alias("tf"), (~first).cast("long").alias("df"))
+    words = df.select(tokens(F.col(text_column)).alias("words"))
+    counted = words.mapInArrow(_term_counts, "term string, tf long, df long")
     counts = (
         counted.groupBy("term")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
@@ -74,15 +102,6 @@ class TfidfModel:
     terms: tuple[str, ...]
     idf: tuple[float, ...]
 
-    @cached_property
-    def _counter(self) -> CountVectorizerModel:
-        """Made once: a vocabulary takes seconds to reach the JVM."""
-        return CountVectorizerModel.from_vocabulary(
-            list(self.terms), inputCol="__terms", outputCol="__counts")
-
-    def __getstate__(self) -> dict:
-        return {"terms": self.terms, "idf": self.idf}
-
     def weights(self, df: DataFrame, text_column: str) -> DataFrame:
         """Add ``tfidf``: aligned arrays of term indices and L2-normalised weights."""
         if not self.terms:
@@ -91,33 +110,41 @@ class TfidfModel:
                 F.array().cast("array<double>").alias("weights"),
             )
             return df.withColumn("tfidf", empty)
-        counted = self._counter.transform(with_terms(df, text_column, "__terms"))
-        idf = array_literal(self.idf)
-        sparse = F.unwrap_udt("__counts")
-        raw = F.zip_with(
-            sparse["indices"], sparse["values"], lambda i, n: (F.log(n) + 1.0) * F.get(idf, i)
-        )
-        squares = F.aggregate("__raw", F.lit(0.0), lambda acc, w: acc + w * w)
+        # Nondeterministic: filters on the weights do not repeat the work.
+        weigh = F.arrow_udf(
+            _weigher(self.terms, self.idf), "struct<indices: array<int>, weights: array<double>>"
+        ).asNondeterministic()
         return (
-            counted.withColumn("__indices", sparse["indices"])
-            .withColumn("__raw", raw)
-            .withColumn("__norm", F.sqrt(squares))
-            .withColumn(
-                "tfidf",
-                F.struct(
-                    F.col("__indices").alias("indices"),
-                    # The norm as an argument: inside the lambda it would be summed per element.
-                    F.zip_with(
-                        "__raw",
-                        F.array_repeat("__norm", F.size("__raw")),
-                        lambda w, norm: w / norm,
-                    ).alias("weights"),
-                ),
-            )
-            .drop("__terms", "__counts", "__indices", "__raw", "__norm")
+            df.withColumn("__words", tokens(F.col(text_column)))
+            .withColumn("tfidf", weigh("__words"))
+            .drop("__words")
         )
 
 
+def _weigher(terms: Sequence[str], idf: Sequence[float]):
+    """From words to the indices of known terms, in order, and their L2-normalised weights."""
+    known, factors = pa.array(terms, pa.large_string()), np.array(idf, np.float64)
+
+    def weigh(words: pa.Array) -> pa.Array:
+        empty = pa.ListArray.from_arrays([0], pa.array([], pa.int32()))
+        done = [pa.StructArray.from_arrays([empty, empty.cast(pa.list_(pa.float64()))], ["indices", "weights"])]
+        for n, found, text in _steps(words):
+            codes = pc.index_in(found, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            own = codes >= 0
+            keys, counts = np.unique(text[own] * len(factors) + codes[own], return_counts=True)
+            of, index = keys // len(factors), keys % len(factors)
+            raw = (np.log(counts.astype(np.float64)) + 1.0) * factors[index]
+            norms = np.sqrt(np.bincount(of, raw * raw, n))
+            offsets = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
+            done.append(pa.StructArray.from_arrays([
+                pa.ListArray.from_arrays(offsets, pa.array(index.astype(np.int32))),
+                pa.ListArray.from_arrays(offsets, pa.array(raw / norms[of])),
+            ], ["indices", "weights"]))
+        return pa.concat_arrays(done)
+
+    return weigh
+
+
 def array_literal(values: Sequence[float]) -> Column:
     """One array constant; the optimiser folds the parse away."""
     return F.from_json(F.lit(json.dumps(list(values))), "array<double>")

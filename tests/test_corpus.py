@@ -385,3 +385,42 @@ def test_malformed_corpus_rows_fail_or_are_counted(spark, tmp_path):
         batch_score_csv(spark, str(tmp_path / "s.csv"), inputs.length_scorer)
     scored = batch_score_csv(spark, str(tmp_path / "s.csv"), inputs.length_scorer, on_malformed="drop")
     assert [r.text for r in scored.collect()] == ["x"]
+
+
+def test_terms_are_counted_and_weighed_in_steps(monkeypatch):
+    """Steps of any size give the same counts; pairs do not cross texts."""
+    import pyarrow as pa
+
+    texts = [["a1", "b1", "a1", "b1"], [], ["b1"], ["b1", "a1"], ["zz", "b1", "zz"]]
+    words = pa.array(texts, pa.list_(pa.string()))
+    wanted = {}
+    for text in texts:
+        terms = text + [f"{a} {b}" for a, b in zip(text, text[1:])]
+        for term in set(terms):
+            tf, df = wanted.get(term, (0, 0))
+            wanted[term] = (tf + terms.count(term), df + 1)
+    known, idf = ("a1", "a1 b1", "b1"), (1.5, 2.0, 1.25)
+    for size in (1, 3, 1 << 19):
+        monkeypatch.setattr(tfidf, "STEP_WORDS", size)
+        found = {}
+        for batch in tfidf._term_counts([pa.record_batch([words], ["words"])]):
+            for r in batch.to_pylist():
+                tf, df = found.get(r["term"], (0, 0))
+                found[r["term"]] = (tf + r["tf"], df + r["df"])
+        assert found == wanted
+        got = tfidf._weigher(known, idf)(words).to_pylist()
+        assert [r["indices"] for r in got] == [[0, 1, 2], [], [2], [0, 2], [2]]
+        raw = [(math.log(2) + 1) * 1.5, (math.log(2) + 1) * 2.0, (math.log(2) + 1) * 1.25]
+        norm = math.sqrt(sum(x * x for x in raw))
+        assert got[0]["weights"] == pytest.approx([x / norm for x in raw])
+    assert tfidf._weigher(known, idf)(words.slice(0, 0)).to_pylist() == []
+
+
+def test_weights_count_without_rows_of_terms(spark):
+    """Neither the vocabulary nor the weights make a row, or a JVM vector, of every term."""
+    df = spark.createDataFrame([("ab cd ab",), ("cd ef",), (None,)], "text string")
+    model = tfidf.fit_tfidf(df, "text", min_df=1)
+    weighed = model.weights(df, "text")
+    plan = weighed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "UDF(" not in plan
+    assert [len(r.tfidf.indices) for r in weighed.collect()] == [4, 3, 0]
