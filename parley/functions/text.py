@@ -2,37 +2,57 @@
 
 HTML unescaping, NFKC and full case folding have no Spark built-in. They run in two small
 Arrow UDFs that receive only the texts they can change; every other text arrives there as
-null and keeps its JVM value.
+null and keeps its JVM value. Of a batch, AT_ONCE texts at a time become Python objects.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import patterns as rx
 
 
-def unescape_nfkc_udf():
+AT_ONCE = 128
+
+
+def _text_udf(change: Callable[[str], str]):
+    """An Arrow UDF that changes texts one by one; null stays null."""
+    size = AT_ONCE
+
     # The function is nested so that it travels to the workers by value.
-    def unescape_nfkc(texts: pd.Series) -> pd.Series:
+    def changed(texts: pa.Array) -> pa.Array:
+        import pyarrow as pa
+
+        if texts.null_count == len(texts):
+            return texts
+        parts = []
+        for i in range(0, len(texts), size):
+            few = texts.slice(i, size)
+            if few.null_count < len(few):
+                few = pa.array([None if t is None else change(t) for t in few.to_pylist()], texts.type)
+            parts.append(few)
+        return pa.concat_arrays(parts)
+
+    # "Nondeterministic" keeps the optimiser from evaluating it again in pushed-down filters.
+    return F.arrow_udf(changed, "string").asNondeterministic()
+
+
+def unescape_nfkc_udf():
+    def unescape_nfkc(text: str) -> str:
         import html
         import unicodedata
 
-        return texts.map(
-            lambda t: unicodedata.normalize("NFKC", html.unescape(t)), na_action="ignore"
-        )
+        return unicodedata.normalize("NFKC", html.unescape(text))
 
-    # "Nondeterministic" keeps the optimiser from evaluating it again in pushed-down filters.
-    return F.pandas_udf(unescape_nfkc, "string").asNondeterministic()
+    return _text_udf(unescape_nfkc)
 
 
 def casefold_udf():
-    def casefold(texts: pd.Series) -> pd.Series:
-        return texts.map(str.casefold, na_action="ignore")
-
-    return F.pandas_udf(casefold, "string").asNondeterministic()
+    return _text_udf(str.casefold)
 
 
 def _unstable(text: Column) -> Column:

@@ -373,3 +373,25 @@ def test_piece_trie_takes_the_longest_piece():
     assert counter.words("Ab\x01c  d-e\u00a0É日本") == ["abc", "d", "-", "e", "e", "日", "本"]
     assert counter.words("Ab\x01c\td-e!") == ["abc", "d", "-", "e", "!"]
     assert counter.length(None) == 2 and counter.length("abc ABC x") == 2 + 2 + 2 + 1
+
+
+def test_a_batch_is_changed_a_few_texts_at_a_time():
+    """Python holds AT_ONCE texts of a batch; null stays null, and order is kept."""
+    import pyarrow as pa
+
+    from parley.functions import text as tx
+
+    seen = []
+
+    def change(text):
+        seen.append(text)
+        return text.casefold()
+
+    texts = [None if i % 3 == 0 else f"Straße {i}" for i in range(5 * tx.AT_ONCE + 7)]
+    changed = tx._text_udf(change).func
+    out = changed(pa.array(texts, pa.string()))
+    assert isinstance(out, pa.StringArray)
+    assert out.to_pylist() == [t and f"strasse {i}" for i, t in enumerate(texts)]
+    assert len(seen) == sum(t is not None for t in texts)
+    assert changed(pa.nulls(3, pa.string())).to_pylist() == [None] * 3
+    assert changed(pa.array([], pa.string())).to_pylist() == []
