@@ -82,7 +82,7 @@ def batched(df: DataFrame, text: str, batch_bytes: int) -> DataFrame:
                 [*batch.columns, pa.array(number)], [*batch.schema.names, "__batch"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return stored(df.mapInArrow(deal, f"{fields}, __batch long"), "lm-rows")
+    return stored(df.mapInArrow(deal, f"{fields}, __batch long"), "lm-rows", compression="zstd")
 
 
 def own_counts(rows: DataFrame, text: str, target: str, bits: int, batch_bytes: int) -> DataFrame:
@@ -173,7 +173,7 @@ def answers(counts: DataFrame, bits: int) -> DataFrame:
 
     return stored(counts.groupBy("chunk").applyInArrow(
         merge, "__batch long, chunk long, target binary, background binary, words long, "
-               "n_target long, n_background long"), "lm-counts")
+               "n_target long, n_background long"), "lm-counts", compression="zstd")
 
 
 def batch_losses(texts: Iterable[str | None], counts: pa.Table, bits: int, vocabulary: int,
