@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.catalog import inputs, sql
@@ -115,6 +115,62 @@ def batch_score_csv(spark, sf_dir):
     return scored.select("conv_id", "turn", "cleaned_text", "toxic_probability", "numeric_label")
 
 
+_COLUMNS = "sample_id, split, binary_label, raw_text, text_clean"
+_CELLS = ("sample_id", "split", "binary_label", "raw_text", "text_clean")
+
+
+def _tagged(rows: DataFrame, artefact: Column, form: Column) -> DataFrame:
+    cells = [F.col(c).cast("int") if c == "binary_label" else F.col(c) for c in _CELLS]
+    return rows.select(form.alias("format"), *cells, artefact.alias("artefact"))
+
+
+def _stored(spark, path: str) -> dict[str, DataFrame]:
+    """A table's Parquet files and their CSV copy."""
+    copy = _read_csv(spark, f"{path}.csv")
+    return {
+        "parquet": spark.read.parquet(f"{path}.parquet"),
+        **({"csv": copy} if copy.columns else {}),
+    }
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    """Rows and two exact sums of digests of all cells, of each table in each format."""
+    cells = [x for c in _CELLS for x in (F.col(c), F.col(c).isNull())]
+    digests = [F.xxhash64(F.lit(seed), *cells).cast("decimal(20,0)") for seed in (1, 2)]
+    return rows.groupBy("artefact", "format").agg(F.count(F.lit(1)), *map(F.sum, digests))
+
+
+def _side_by_side(
+    tables: dict[str, dict[str, DataFrame]], home: DataFrame, holds: dict[str, Column]
+) -> DataFrame:
+    """All rows of all formats of ``tables``, the copies of a row next to each other.
+
+    ``home`` are stored rows, of which each table should hold those that meet its condition. All
+    files are read and summed up first: a table with other rows, in either format, is returned as
+    it is read. Copies that stand apart would take several times the space when they are written.
+    """
+    read = {n: [_tagged(rows, F.lit(n), F.lit(f)) for f, rows in forms.items()] for n, forms in tables.items()}
+    name = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in holds.items()])))
+    every = [*(rows for forms in read.values() for rows in forms), _tagged(home, name, F.lit("home"))]
+    found = {(r[0], r[1]): r[2:] for r in _sums(reduce(DataFrame.unionByName, every)).collect()}
+    equal = [n for n in tables
+             if found.get((n, "parquet")) == found.get((n, "csv")) == found.get((n, "home"))]
+    parts = [rows for n in tables if n not in equal for rows in read[n]]
+    if equal:
+        copies = F.array_compact(F.array(*[
+            F.when(holds[n], F.struct(F.lit(f).alias("format"), F.lit(n).alias("artefact")))
+            for n in equal for f in ("parquet", "csv")]))
+        rows = home.withColumn("__copy", F.explode(copies))
+        parts.append(_tagged(rows, F.col("__copy.artefact"), F.col("__copy.format")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _one_table(spark, path: str) -> DataFrame:
+    stored = spark.read.parquet(f"{path}.parquet")
+    name = path.rsplit("/", 1)[1]
+    return _side_by_side({name: _stored(spark, path)}, stored, {name: F.lit(True)})
+
+
 @query(
     "write_split_tables",
     f"WITH {sql.MAIN} SELECT f AS format, sample_id, split, binary_label, raw_text, text_clean FROM main, (VALUES ('csv'), ('parquet')) t(f)",
@@ -122,23 +178,7 @@ def batch_score_csv(spark, sf_dir):
 def write_split_tables(spark, sf_dir):
     folder = scratch_path(spark, "tables")
     out.write_split_tables(inputs.split_corpus(spark, sf_dir), folder)
-    columns = ("sample_id", "split", F.col("binary_label").cast("int"), "raw_text", "text_clean")
-    stored = spark.read.parquet(f"{folder}/splits.parquet").select(F.lit("parquet").alias("format"), *columns)
-    copy = _read_csv(spark, f"{folder}/splits.csv").select(F.lit("csv").alias("format"), *columns)
-    return stored.unionByName(copy)
-
-
-_COLUMNS = "sample_id, split, binary_label, raw_text, text_clean"
-
-
-def _both_formats(spark, folder: str, name: str):
-    """A table's Parquet files and their CSV copy, with the columns that are compared."""
-    columns = ("sample_id", "split", F.col("binary_label").cast("int"), "raw_text", "text_clean")
-    stored = spark.read.parquet(f"{folder}/{name}.parquet").select(F.lit("parquet").alias("format"), *columns)
-    copy = _read_csv(spark, f"{folder}/{name}.csv")
-    if copy.columns:
-        stored = stored.unionByName(copy.select(F.lit("csv").alias("format"), *columns))
-    return stored.withColumn("artefact", F.lit(name))
+    return _one_table(spark, f"{folder}/splits").drop("artefact")
 
 
 @query(
@@ -152,7 +192,7 @@ def _both_formats(spark, folder: str, name: str):
 def write_slice_tables(spark, sf_dir):
     folder = scratch_path(spark, "tables")
     out.write_slice_tables(inputs.split_corpus(spark, sf_dir), folder)
-    return reduce(DataFrame.unionByName, [_both_formats(spark, folder, n) for n in out.SLICE_FLAGS])
+    return reduce(DataFrame.unionByName, [_one_table(spark, f"{folder}/{n}") for n in out.SLICE_FLAGS])
 
 
 @query(
@@ -190,12 +230,15 @@ _CAPPED = (
     + f" UNION ALL SELECT 'aug_pool_capped', {_COLUMNS} FROM ({_CAPPED})) SELECT f AS format, t.* FROM t, (VALUES ('csv'), ('parquet')) v(f)",
 )
 def write_scored_outputs(spark, sf_dir):
+    """Every row of every file is read back. The disjoint tables hold all rows between them."""
     folder = scratch_path(spark, "tables")
-    out.write_scored_outputs(
-        inputs.split_scored(spark, sf_dir), folder, inputs.main_train_rows(spark, sf_dir)
+    index, corpus = inputs.split_scored_once(spark, sf_dir)
+    holds = out.write_scored_outputs(
+        corpus, folder, inputs.main_train_rows(spark, sf_dir), index=index
     )
-    names = (*_SCORED_TABLES, "aug_pool_capped")
-    return reduce(DataFrame.unionByName, [_both_formats(spark, folder, n) for n in names])
+    home = [spark.read.parquet(f"{folder}/{n}.parquet") for n in out.DISJOINT]
+    tables = {n: _stored(spark, f"{folder}/{n}") for n in holds}
+    return _side_by_side(tables, reduce(DataFrame.unionByName, home), holds)
 
 
 @query(

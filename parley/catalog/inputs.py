@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import labels as lb
 from parley.operators import slices, splits
-from parley.operators.standardize import removal_summary, standardize
+from parley.operators.standardize import removal_summary, standardize, standardize_once
 from parley.settings import MULTILABEL_LABELS, PrepSettings
 from parley.session import staged
 
@@ -133,6 +133,17 @@ def split_scored(spark, sf_dir) -> DataFrame:
     return splits.stratified_split2(stored)
 
 
+def split_scored_once(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """``split_scored`` to be written once, without a stored copy, and its stored ids and splits."""
+    index, corpus = standardize_once(
+        scored(spark, sf_dir), "scored", "text", lb.score_to_binary("toxicity", 0.5),
+        lb.score_json("toxicity"), carry=IDENTITY,
+    )
+    split = splits.split2_column(index)
+    flagged = slices.add_flags(corpus, score_columns=IDENTITY)
+    return index.withColumn("split", split), flagged.withColumn("split", split)
+
+
 def predictions(spark, sf_dir) -> DataFrame:
     """All documents with the stand-in probability as a model's output."""
     return documents(spark, sf_dir).select(

@@ -162,6 +162,18 @@ def stratified_split3(
     )
 
 
+def split2_column(
+    slim: DataFrame,
+    external_size: float = PrepSettings.external_size,
+    seed: int = PrepSettings.seed + 2,
+    strata: str = "binary_label",
+    id_column: str = "sample_id",
+) -> Column:
+    """The ``split`` of :func:`stratified_split2`, found from classes and ids."""
+    external, _ = _stage(slim, strata, external_size, seed, id_column, _class_counts(slim, strata))
+    return F.when(external, "external_test").otherwise("aug_pool")
+
+
 def stratified_split2(
     df: DataFrame,
     external_size: float = PrepSettings.external_size,
@@ -171,22 +183,28 @@ def stratified_split2(
 ) -> DataFrame:
     """Add ``split`` (aug_pool, external_test)."""
     slim = df.select(strata, id_column)
-    external, _ = _stage(slim, strata, external_size, seed, id_column, _class_counts(slim, strata))
-    return df.withColumn("split", F.when(external, "external_test").otherwise("aug_pool"))
+    return df.withColumn("split", split2_column(slim, external_size, seed, strata, id_column))
 
 
-def capped_sample(
+def capped_condition(
     df: DataFrame, rows: int, seed: int = PrepSettings.seed + 4, id_column: str = "sample_id"
-) -> DataFrame:
-    """Exactly ``min(rows, count)`` rows without replacement."""
+) -> Column:
+    """What the rows of :func:`capped_sample` fulfil, and no other row of ``df``."""
     keyed = df.select(id_column).withColumns(
         {"__all": F.lit(0), "__key": order_key(seed, id_column)}
     )
     total = keyed.count()
     if rows >= total:
-        return df
+        return F.lit(True)
     cuts = key_cuts(keyed, "__all", "__key", {0: rows}, {0: total})
-    return df.filter(order_key(seed, id_column) <= cuts[0])
+    return order_key(seed, id_column) <= cuts[0]
+
+
+def capped_sample(
+    df: DataFrame, rows: int, seed: int = PrepSettings.seed + 4, id_column: str = "sample_id"
+) -> DataFrame:
+    """Exactly ``min(rows, count)`` rows without replacement."""
+    return df.filter(capped_condition(df, rows, seed, id_column))
 
 
 def split_summary(

@@ -25,6 +25,27 @@ def _survivors(facts: DataFrame, settings: PrepSettings) -> DataFrame:
     return facts
 
 
+def _numbers(rows: DataFrame, settings: PrepSettings) -> DataFrame:
+    """The row numbers that stay, with the sample numbers they get."""
+    slim = rows.select(ROW, F.col("text_hash_normalized").alias("hash"))
+    if settings.remove_duplicates:
+        slim = slim.groupBy("hash").agg(F.min(ROW).alias(ROW))
+    return index_by_key(slim.select(ROW), ROW, "__number")
+
+
+def _sample_id(source: str) -> Column:
+    return F.format_string(f"{source}_%08d", F.col("__number"))
+
+
+def _corpus(numbered: DataFrame, source: str, carry: tuple[str, ...]) -> DataFrame:
+    return (
+        numbered.withColumn("sample_id", _sample_id(source))
+        .withColumn("source_dataset", F.lit(source))
+        .withColumn("text_tfidf", tx.casefold(F.col("text_clean")))
+        .select(*CORPUS_COLUMNS, *carry)
+    )
+
+
 def corpus_from_facts(
     facts: DataFrame, source: str, settings: PrepSettings = PrepSettings(),
     carry: tuple[str, ...] = (),
@@ -35,17 +56,35 @@ def corpus_from_facts(
     texts are shuffled once, by row number.
     """
     rows = _survivors(facts, settings)
-    slim = rows.select(ROW, F.col("text_hash_normalized").alias("hash"))
-    if settings.remove_duplicates:
-        slim = slim.groupBy("hash").agg(F.min(ROW).alias(ROW))
-    numbered = index_by_key(slim.select(ROW), ROW, "__number")
-    return (
-        rows.join(numbered, ROW)
-        .withColumn("sample_id", F.format_string(f"{source}_%08d", F.col("__number")))
-        .withColumn("source_dataset", F.lit(source))
-        .withColumn("text_tfidf", tx.casefold(F.col("text_clean")))
-        .select(*CORPUS_COLUMNS, *carry)
-    )
+    return _corpus(rows.join(_numbers(rows, settings), ROW), source, carry)
+
+
+def standardize_once(
+    raw: DataFrame,
+    source: str,
+    text_column: str,
+    label: Column,
+    label_info: Column,
+    settings: PrepSettings = PrepSettings(),
+    carry: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """The corpus of :func:`standardize` for a caller that writes it once, and its stored index:
+    the ids and classes of its rows.
+
+    No text is stored on the way, and raw ones only are shuffled: each is normalised for its hash,
+    and those that stay again when the corpus is written.
+    """
+    def facts(rows: DataFrame, *columns: str) -> DataFrame:
+        return text_facts(rows, text_column, label, label_info, settings, columns, profile=False)
+
+    slim = facts(raw).select(
+        ROW, "binary_label", "raw_blank", "clean_blank", "no_label", "text_hash_normalized")
+    rows = _survivors(staged(slim, "facts"), settings)
+    numbers = staged(_numbers(rows, settings), "numbers")
+    index = rows.join(numbers, ROW).select(_sample_id(source).alias("sample_id"), "binary_label")
+    texts = raw.withColumn(ROW, F.col(ROW).cast("long")).join(numbers, ROW)
+    kept = _survivors(facts(texts, *carry, "__number"), settings)
+    return staged(index, "index"), _corpus(kept, source, carry)
 
 
 def standardize(

@@ -61,9 +61,26 @@ def scratch_in(folder: str) -> Iterator[str]:
         _SCOPE.reset(token)
 
 
-def remove_scratch(spark: SparkSession, folder: str) -> None:
+def _file_system(spark: SparkSession, folder: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove_scratch(spark: SparkSession, folder: str) -> None:
+    files, path = _file_system(spark, folder)
+    files.delete(path, True)
+
+
+def move_folder(spark: SparkSession, folder: str, to: str) -> bool:
+    """Gives a written folder another name, in place of what has it. False if there is no such folder."""
+    files, path = _file_system(spark, folder)
+    if not files.exists(path):
+        return False
+    target = _file_system(spark, to)[1]
+    files.delete(target, True)
+    if not files.rename(path, target):
+        raise OSError(f"{folder} cannot be moved to {to}")
+    return True
 
 
 @contextmanager

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
-from parley.operators.splits import capped_sample
-from parley.session import COMPACT
+from parley.operators.splits import capped_condition
+from parley.session import COMPACT, move_folder, remove_scratch
 from parley.settings import PrepSettings
 
 SLICE_FLAGS = {
@@ -65,21 +66,30 @@ def export_simple(df: DataFrame, folder: str) -> None:
         f"{folder}/simple.csv")
 
 
-def scored_outputs(
+def scored_conditions(
     df: DataFrame, main_train_rows: int, settings: PrepSettings = PrepSettings()
-) -> dict[str, DataFrame]:
-    """The tables derived from a split scored source."""
-    pool = df.filter(F.col("split") == "aug_pool")
+) -> dict[str, Column]:
+    """Which rows of a split scored source each of its tables holds."""
+    pool = F.col("split") == "aug_pool"
     return {
         "aug_pool_full": pool,
-        "external_test": df.filter(F.col("split") == "external_test"),
-        "aug_pool_capped": capped_sample(pool, main_train_rows, settings.seed + 4),
-        "aug_pool_identity": pool.filter(F.col("has_identity_term") == 1),
-        "obfuscation_slice": df.filter(F.col("has_obfuscation") == 1),
-        "implicit_proxy_slice": df.filter(F.col("implicit_proxy") == 1),
+        "external_test": F.col("split") == "external_test",
+        "aug_pool_capped": pool & capped_condition(
+            df.filter(pool), main_train_rows, settings.seed + 4),
+        "aug_pool_identity": pool & (F.col("has_identity_term") == 1),
+        "obfuscation_slice": F.col("has_obfuscation") == 1,
+        "implicit_proxy_slice": F.col("implicit_proxy") == 1,
     }
 
 
+def scored_outputs(
+    df: DataFrame, main_train_rows: int, settings: PrepSettings = PrepSettings()
+) -> dict[str, DataFrame]:
+    """The tables derived from a split scored source."""
+    conditions = scored_conditions(df, main_train_rows, settings)
+    return {name: df.filter(holds) for name, holds in conditions.items()}
+
+
 def scored_output_counts(df: DataFrame, main_train_rows: int) -> DataFrame:
     """Rows of the first four scored outputs, from one aggregation."""
     pool = F.col("split") == "aug_pool"
@@ -92,11 +102,38 @@ def scored_output_counts(df: DataFrame, main_train_rows: int) -> DataFrame:
     return row.unpivot([], row.columns, "artefact", "rows")
 
 
+# The scored tables that share no row; the others hold rows of these.
+DISJOINT = ("aug_pool_full", "external_test")
+
+
 def write_scored_outputs(
-    df: DataFrame, folder: str, main_train_rows: int, settings: PrepSettings = PrepSettings()
-) -> None:
-    for name, table in scored_outputs(df, main_train_rows, settings).items():
-        write_both(table, f"{folder}/{name}")
+    df: DataFrame, folder: str, main_train_rows: int, settings: PrepSettings = PrepSettings(),
+    index: DataFrame | None = None,
+) -> dict[str, Column]:
+    """Writes the tables, and returns which rows each of them holds.
+
+    The rows are made in one pass, which writes the disjoint tables; all else is read from these.
+    So ``df`` need not be stored, if an ``index`` of its ids and splits is.
+    """
+    spark = df.sparkSession
+    conditions = scored_conditions(df if index is None else index, main_train_rows, settings)
+    table = F.lit("rest")
+    for name in DISJOINT:
+        table = F.when(conditions[name], name).otherwise(table)
+    parts = f"{folder}/rows-{uuid.uuid4().hex}"
+    try:
+        df.withColumn("__table", table).write.partitionBy("__table").options(**COMPACT).parquet(parts)
+        rows = spark.read.schema(df.schema).parquet(parts)
+        for name, holds in conditions.items():
+            if name not in DISJOINT:
+                write_both(rows.filter(holds).select(*df.columns), f"{folder}/{name}")
+        for name in DISJOINT:
+            if not move_folder(spark, f"{parts}/__table={name}", f"{folder}/{name}.parquet"):
+                df.limit(0).write.mode("overwrite").options(**COMPACT).parquet(f"{folder}/{name}.parquet")
+            write_csv(spark.read.parquet(f"{folder}/{name}.parquet"), f"{folder}/{name}.csv")
+    finally:
+        remove_scratch(spark, parts)
+    return conditions
 
 
 def _json_safe(column: str, kind: str) -> Column:

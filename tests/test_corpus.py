@@ -5,14 +5,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley import catalog
-from parley.catalog import inputs
+from parley.catalog import files, inputs
 from parley.errors import SchemaError, ValidationError
 from parley.functions import labels as lb
 from parley.operators import audit, dedup, leakage, metrics, slices, splits, tfidf, validation
+from parley.operators import standardize as standardize_module
 from parley.operators.modeling import LinearScorer, balanced_class_weights, fit_logistic, score_comments
 from parley.operators.rowindex import index_by_key, index_by_order
 from parley.operators.standardize import removal_summary, standardize
 from parley.settings import PrepSettings
+from parley.sinks import tables as out
 
 
 def corpus(spark, rows, settings=PrepSettings()):
@@ -424,3 +426,70 @@ def test_weights_count_without_rows_of_terms(spark):
     plan = weighed._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "UDF(" not in plan
     assert [len(r.tfidf.indices) for r in weighed.collect()] == [4, 3, 0]
+
+
+SCORED_ROWS = "sample_id string, split string, binary_label int, has_identity_term int, has_obfuscation int, implicit_proxy int, raw_text string, text_clean string"
+
+
+def scored_rows(spark, n=40):
+    return spark.createDataFrame([
+        (f"s_{i:08d}", None if i == 7 else "external_test" if i % 5 == 0 else "aug_pool", i % 2,
+         None if i == 3 else int(i % 3 == 0), int(i % 4 == 0), int(i % 7 == 0), f' "a", {i}\nb ', f"a {i} b")
+        for i in range(n)], SCORED_ROWS)
+
+
+def test_scored_outputs_are_written_from_one_pass(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        made.add(1)
+        return text
+
+    df = scored_rows(spark)
+    expected = {n: sorted(t.collect()) for n, t in out.scored_outputs(df, 9).items()}
+    texts = df.withColumn("raw_text", told.asNondeterministic()("raw_text"))
+    for _ in range(2):  # the second run writes over the first
+        made.value = 0
+        out.write_scored_outputs(texts, str(tmp_path), 9, index=df)
+        assert made.value == 40
+        assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == sorted(
+            f"{n}.{kind}" for n in expected for kind in ("parquet", "csv"))
+        for name, rows in expected.items():
+            stored = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+            assert stored.columns == df.columns
+            assert sorted(map(repr, stored.collect())) == sorted(map(repr, rows))
+            copy = files._read_csv(spark, f"{tmp_path}/{name}.csv")
+            assert sorted(copy.select("sample_id", "raw_text").collect()) == [(r[0], r[6]) for r in rows]
+    assert len(expected["aug_pool_capped"]) == 9
+    out.write_scored_outputs(df.filter("split = 'aug_pool'"), str(tmp_path), 9)
+    assert spark.read.parquet(f"{tmp_path}/external_test.parquet").count() == 0
+
+
+def test_copies_of_a_row_are_returned_side_by_side(spark):
+    home = scored_rows(spark)
+    holds = {"all": F.lit(True), "odd": F.col("binary_label") == 1, "other": F.col("has_obfuscation") == 1}
+    tables = {n: {f: home.filter(c) for f in ("parquet", "csv")} for n, c in holds.items()}
+    # One cell of a copy differs: this table is returned as it is read.
+    tables["other"]["csv"] = tables["other"]["csv"].withColumn(
+        "raw_text", F.when(F.col("sample_id") == "s_00000008", "x").otherwise(F.col("raw_text")))
+    rows = files._side_by_side(tables, home, holds).collect()
+    expected = [(f, *r) for n in holds for f, t in tables[n].items() for r in t.select(
+        *files._CELLS, F.lit(n).alias("artefact")).collect()]
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, expected))
+    ids = [r["sample_id"] for r in rows if r["artefact"] != "other"]
+    assert sum(a != b for a, b in zip(ids, ids[1:])) == len(set(ids)) - 1 == 39
+
+
+def test_standardize_once_stores_no_text(spark, monkeypatch):
+    stored = []
+    keep = standardize_module.staged
+    monkeypatch.setattr(standardize_module, "staged", lambda df, *a: stored.append(df.columns) or keep(df, *a))
+    twice = [*ROWS, (30, "more", None), (31, "two of one row", 1), (31, "two of one row", 1), (31, "else", 0), (None, "none", 1)]
+    expected, raw = corpus(spark, twice)
+    stored.clear()
+    index, rows = standardize_module.standardize_once(raw, "s", "text", F.col("label"), F.lit("{}"))
+    assert rows.columns == expected.columns
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, expected.collect()))
+    assert sorted(map(repr, index.collect())) == sorted(map(repr, expected.select("sample_id", "binary_label").collect()))
+    assert stored and not {"raw_text", "text_clean", "text_tfidf"} & {c for columns in stored for c in columns}
