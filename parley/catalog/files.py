@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,9 +31,9 @@ def query(name: str, statement: str | None = None):
     return add
 
 
-def _csv(df, spark, name: str) -> str:
+def _csv(df, spark, name: str, **options: str) -> str:
     path = scratch_path(spark, name)
-    df.write.options(header=True, quote='"', escape='"').csv(path)
+    df.write.options(header=True, quote='"', escape='"', **options).csv(path)
     return path
 
 
@@ -40,14 +41,59 @@ def _read_csv(spark, path):
     return spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path)
 
 
-def _multilabel_csv(spark, sf_dir) -> str:
-    rows = inputs.labelled(spark, sf_dir)
-    return _csv(rows.orderBy("source_row_index").drop("source_row_index"), spark, "multilabel")
+# Tables that are read in more file splits than this are sorted as a whole.
+_SPLITS = 10_000
 
 
-def _scored_csv(spark, sf_dir) -> str:
-    rows = inputs.scored(spark, sf_dir)
-    return _csv(rows.orderBy("source_row_index").drop("source_row_index"), spark, "scored")
+def _ranges(rows: DataFrame, key: str) -> DataFrame | None:
+    """The range of keys of each file split and its place in their order, if no two ranges overlap
+    and no row changes its task before it is written; else None."""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    if re.search(r"(?<!Broadcast)Exchange", plan):
+        return None
+    found = (
+        rows.groupBy(*inputs.SPLIT)
+        .agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count_if(F.col(key).isNull()).alias("nulls"))
+        .limit(_SPLITS + 1).collect()
+    )
+    if not 0 < len(found) <= _SPLITS or any(r.nulls for r in found):
+        return None
+    found.sort(key=lambda r: r.low)
+    if any(a.high >= b.low for a, b in zip(found, found[1:])):
+        return None
+    names = ", ".join(f"{c} {t}" for c, t in zip(inputs.SPLIT, ("string", "long")))
+    return rows.sparkSession.createDataFrame(
+        [(r[0], r[1], r.low, r.high, f"{i:05d}") for i, r in enumerate(found)],
+        f"{names}, low long, high long, place string")
+
+
+def _ordered_csv(rows: DataFrame, spark, name: str, **options: str) -> str:
+    """The rows as CSV files whose names follow the order of ``source_row_index``.
+
+    Tables whose file splits already hold one range of keys each are sorted split by split, others
+    as a whole, for which all texts are shuffled.
+    """
+    key = "source_row_index"
+    ranges = _ranges(rows, key)
+    if ranges is None:
+        return _csv(rows.orderBy(key).drop(key, *inputs.SPLIT), spark, name, **options)
+    moved = F.raise_error(F.lit("the tables were split anew while they were read")).cast("string")
+    place = F.when(F.col(key).between(F.col("low"), F.col("high")), F.col("place")).otherwise(moved)
+    placed = (
+        rows.join(F.broadcast(ranges), list(inputs.SPLIT), "left").withColumn("place", place)
+        .sortWithinPartitions("place", key).drop(key, "low", "high", *inputs.SPLIT)
+    )
+    path = scratch_path(spark, name)
+    placed.write.partitionBy("place").options(header=True, quote='"', escape='"', **options).csv(path)
+    return path
+
+
+def _multilabel_csv(spark, sf_dir, **options: str) -> str:
+    return _ordered_csv(inputs.labelled(spark, sf_dir, inputs.SPLIT), spark, "multilabel", **options)
+
+
+def _scored_csv(spark, sf_dir, **options: str) -> str:
+    return _ordered_csv(inputs.scored(spark, sf_dir, inputs.SPLIT), spark, "scored", **options)
 
 
 @query(
@@ -319,7 +365,8 @@ def run_pipeline(spark, sf_dir):
     """Both sources from CSV through all gates to published tables, read back."""
     output = scratch_path(spark, "published")
     with scratch_scope(spark):
-        prep.run_prep(spark, _multilabel_csv(spark, sf_dir), _scored_csv(spark, sf_dir), output)
+        sources = [make(spark, sf_dir, compression="gzip") for make in (_multilabel_csv, _scored_csv)]
+        prep.run_prep(spark, *sources, output)
     columns = ("binary_label", "has_identity_term", "has_obfuscation", "char_len")
     parts = [spark.read.parquet(f"{output}/main/splits.parquet").select(F.col("split").alias("artefact"), *columns)]
     parts += [

@@ -29,9 +29,18 @@ def spread(df: DataFrame, sf_dir: str, *key: str) -> DataFrame:
     return df.repartition(cores, *key) if few else df
 
 
-def documents(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread(docs, sf_dir, "doc_id")
+# The split of a file that a document is read from.
+SPLIT = ("__file", "__split")
+
+
+def _texts(spark, sf_dir, split: tuple[str, ...] = ()) -> DataFrame:
+    places = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "text", *[c.alias(name) for c, name in zip(places, split)])
+
+
+def documents(spark, sf_dir, split: tuple[str, ...] = ()) -> DataFrame:
+    return spread(_texts(spark, sf_dir, split), sf_dir, "doc_id")
 
 
 def comments(spark, sf_dir) -> DataFrame:
@@ -48,10 +57,9 @@ def comments(spark, sf_dir) -> DataFrame:
     return spread(docs.union(turns).union(pages), sf_dir, "src", "id")
 
 
-def labelled(spark, sf_dir) -> DataFrame:
+def labelled(spark, sf_dir, split: tuple[str, ...] = ()) -> DataFrame:
     """Documents with six label columns, as a multi-label source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = _texts(spark, sf_dir, split).join(table(spark, sf_dir, "labels"), "doc_id")
     return spread(rows, sf_dir, "doc_id").select(
         F.col("doc_id").alias("source_row_index"),
         F.col("doc_id").cast("string").alias("id"),
@@ -62,6 +70,7 @@ def labelled(spark, sf_dir) -> DataFrame:
         F.lit(None).cast("int").alias("threat"),
         F.lit(0).alias("insult"),
         F.lit(0).alias("identity_hate"),
+        *split,
     )
 
 
@@ -76,15 +85,16 @@ def ratio(multiplier: int, column: str = "doc_id"):
     return ((F.col(column) * multiplier) % 10007) / 10006.0
 
 
-def scored(spark, sf_dir) -> DataFrame:
+def scored(spark, sf_dir, split: tuple[str, ...] = ()) -> DataFrame:
     """All documents with a toxicity score and two identity scores."""
     score = ratio(7919)
-    return documents(spark, sf_dir).select(
+    return documents(spark, sf_dir, split).select(
         F.col("doc_id").alias("source_row_index"),
         "text",
         score.alias("toxicity"),
         F.when(F.col("doc_id") % 10 != 0, ratio(31) * 0.6).alias("female"),
         (ratio(104729) * 0.55).alias("muslim"),
+        *split,
     )
 
 

@@ -42,6 +42,31 @@ def with_small_table(rows: DataFrame, small: DataFrame, keys: Sequence[str],
     )
 
 
+def with_numbers(rows: DataFrame, numbers: DataFrame, key: str, number: str) -> DataFrame:
+    """``rows.join(numbers, key)`` for a stored table that numbers keys in their order, without gaps.
+
+    Wide rows are not shuffled for it: 64 keys in a row become one bit mask with the number of the
+    first, and these are joined as a small table. Repeated keys are joined as they are.
+    """
+    chunk = F.shiftright(key, 6).alias("__chunk")
+    bits = F.expr(f"bit_or(shiftleft(1L, cast(`{key}` & 63 AS int)))")
+    packed = staged(
+        numbers.filter(F.col(key).isNotNull()).groupBy(chunk)
+        .agg(bits.alias("__mask"), F.min(number).alias("__first"), F.count(F.lit(1)).alias("__rows")),
+        "packed",
+    )
+    if not packed.filter(F.col("__rows") != F.bit_count("__mask")).isEmpty():
+        return rows.join(numbers, key)
+    before = F.expr(f"~shiftleft(-1L, cast(`{key}` & 63 AS int))")
+    place = F.bit_count(F.col("__mask").bitwiseAND(before))
+    joined = with_small_table(rows.withColumn("__chunk", F.shiftright(key, 6)), packed.drop("__rows"), ["__chunk"])
+    return (
+        joined.filter(F.expr(f"shiftright(`__mask`, cast(`{key}` & 63 AS int)) & 1") == 1)
+        .withColumn(number, F.col("__first") + place)
+        .drop("__chunk", "__mask", "__first")
+    )
+
+
 def index_by_key(df: DataFrame, key: str, out: str, start: int = 0) -> DataFrame:
     """Number rows in the order of a unique key, whatever its values are."""
     return index_by_order(df, [F.col(key)], out, start)

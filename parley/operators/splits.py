@@ -140,6 +140,21 @@ def _stage(slim: DataFrame, strata: str, share: float, seed: int, id_column: str
     return _at_most(strata, order_key(seed, id_column), cuts), rest_quota
 
 
+def split3_column(
+    slim: DataFrame,
+    test_size: float = PrepSettings.test_size,
+    val_size: float = PrepSettings.val_size,
+    seed: int = PrepSettings.seed,
+    strata: str = "binary_label",
+    id_column: str = "sample_id",
+) -> Column:
+    """The ``split`` of :func:`stratified_split3`, found from classes and ids."""
+    is_test, rest = _stage(slim, strata, test_size, seed, id_column, _class_counts(slim, strata))
+    relative = val_size / (1.0 - test_size)
+    is_val, _ = _stage(slim.filter(~is_test), strata, relative, seed + 1, id_column, rest)
+    return F.when(is_test, "test").when(is_val, "val").otherwise("train")
+
+
 def stratified_split3(
     df: DataFrame,
     test_size: float = PrepSettings.test_size,
@@ -154,12 +169,7 @@ def stratified_split3(
     projection.
     """
     slim = df.select(strata, id_column)
-    is_test, rest = _stage(slim, strata, test_size, seed, id_column, _class_counts(slim, strata))
-    relative = val_size / (1.0 - test_size)
-    is_val, _ = _stage(slim.filter(~is_test), strata, relative, seed + 1, id_column, rest)
-    return df.withColumn(
-        "split", F.when(is_test, "test").when(is_val, "val").otherwise("train")
-    )
+    return df.withColumn("split", split3_column(slim, test_size, val_size, seed, strata, id_column))
 
 
 def split2_column(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.operators.facts import ROW, text_facts
-from parley.operators.rowindex import index_by_key
+from parley.operators.rowindex import index_by_key, with_numbers
 from parley.session import staged
 from parley.settings import PrepSettings
 
@@ -71,20 +71,37 @@ def standardize_once(
     """The corpus of :func:`standardize` for a caller that writes it once, and its stored index:
     the ids and classes of its rows.
 
-    No text is stored on the way, and raw ones only are shuffled: each is normalised for its hash,
-    and those that stay again when the corpus is written.
+    No text is stored or shuffled on the way: each is normalised for its hash, and those that stay
+    again when the corpus is written.
     """
-    def facts(rows: DataFrame, *columns: str) -> DataFrame:
-        return text_facts(rows, text_column, label, label_info, settings, columns, profile=False)
+    facts = text_facts(raw, text_column, label, label_info, settings, profile=False)
+    slim = staged(facts.select(
+        ROW, "binary_label", "raw_blank", "clean_blank", "no_label", "text_hash_normalized"), "facts")
+    index, corpus = corpus_from_slim_facts(
+        slim, raw, source, text_column, label, label_info, settings, carry, ("binary_label",))
+    return staged(index, "index"), corpus
 
-    slim = facts(raw).select(
-        ROW, "binary_label", "raw_blank", "clean_blank", "no_label", "text_hash_normalized")
-    rows = _survivors(staged(slim, "facts"), settings)
+
+def corpus_from_slim_facts(
+    facts: DataFrame,
+    raw: DataFrame,
+    source: str,
+    text_column: str,
+    label: Column,
+    label_info: Column,
+    settings: PrepSettings = PrepSettings(),
+    carry: tuple[str, ...] = (),
+    columns: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """The ids and some ``columns`` of the rows that stay, from stored facts that need not hold
+    texts, and the corpus, whose texts are normalised again as it is written."""
+    rows = _survivors(facts, settings)
     numbers = staged(_numbers(rows, settings), "numbers")
-    index = rows.join(numbers, ROW).select(_sample_id(source).alias("sample_id"), "binary_label")
-    texts = raw.withColumn(ROW, F.col(ROW).cast("long")).join(numbers, ROW)
-    kept = _survivors(facts(texts, *carry, "__number"), settings)
-    return staged(index, "index"), _corpus(kept, source, carry)
+    index = rows.join(numbers, ROW).select(_sample_id(source).alias("sample_id"), *columns)
+    texts = with_numbers(raw.withColumn(ROW, F.col(ROW).cast("long")), numbers, ROW, "__number")
+    kept = _survivors(text_facts(
+        texts, text_column, label, label_info, settings, (*carry, "__number"), profile=False), settings)
+    return index, _corpus(kept, source, carry)
 
 
 def standardize(

@@ -103,6 +103,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_SCOPE.get() or scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# Tables dealt over folders are dealt over a few: splits.
+_OPEN_FILES = 8
+
+
+@contextmanager
+def unsorted_writes(spark: SparkSession) -> Iterator[None]:
+    """Rows that are dealt over folders are written as they come, a file open for each folder.
+
+    Spark sorts each task's rows by folder otherwise, and spills them where they are many texts.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(_OPEN_FILES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 # How texts are stored: a quarter smaller than with the default codec, in the same time.
 COMPACT = {"compression": "zstd"}
 
